@@ -42,9 +42,7 @@ def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    back = bpe.decode(bpe.encode(docs, path, pattern), path, pattern)
-    same = F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")
-    return back.withColumn("n_tokens", F.size("ids").cast("long")).withColumn("round_trip", same).drop("text", "decoded")
+    return bpe.encode(docs, path, pattern, add=("ids", "n_tokens", "round_trip"), keep_text=False)
 
 
 STAGES = [

@@ -5,16 +5,19 @@ become token-position rows; a recursive query joins neighbouring rows with the m
 leftmost pair of least rank, until no word has a pair. Decoding joins token-position rows with the vocabulary and
 aggregates the pieces in order.
 
-Words repeat, so both directions keep what they worked out in a bounded two-generation memory of the worker: a text is cut
-at blanks, and only pieces not met lately go through the query. That is exact, since a merge never crosses a match of
-the split pattern and decoding is concatenation. Texts stay in their partition: there is no shuffle.
+Words repeat, so a worker keeps the ids of what it met lately in a memory of bounded size: a text is cut at blanks, and
+only pieces not in memory go through the recursive query. That is exact, since a merge never crosses a match of the split
+pattern. Texts stay in their partition: there is no shuffle.
 """
 
 from __future__ import annotations
 
 import base64
 import contextlib
+import hashlib
 from collections.abc import Iterator
+from itertools import chain, compress, islice
+from operator import not_
 
 import duckdb
 import numpy as np
@@ -27,7 +30,7 @@ from pyspark.sql import types as T
 
 from recordmill.llm.common import ship, table
 
-REMEMBERED = 300_000
+REMEMBERED = 700_000
 WORDS_A_QUERY = 20_000
 #: Words longer than this go through the query one at a time, so that the rows of a query stay few.
 LONG_WORD = 256
@@ -60,23 +63,29 @@ from tokens join vocabulary using (id) group by tokens.w
 """
 
 
-class Memory(dict):
-    """A dict of bounded size: when full, it becomes the old generation, whose entries return when used."""
+class Memory:
+    """Values by key, of bounded number: when full, the young become the old generation, whose entries return when used."""
 
     def __init__(self, most: int = REMEMBERED):
-        super().__init__()
-        self.most, self.old = most, {}
-
-    def __missing__(self, key):
-        value = self.old[key]  # KeyError: not known
-        self.put(key, value)
-        return value
-
-    def put(self, key, value) -> None:
-        if len(self) >= self.most:
-            self.old = dict(self)
-            self.clear()
-        self[key] = value
+        self.most, self.young, self.old = most, {}, {}
+
+    def recall(self, rows: list[list], learn) -> list[list]:
+        """The values of rows of keys, of which learn() works out those not remembered."""
+        found = [list(map(self.young.get, row)) for row in rows]
+        lacking = set(chain.from_iterable(compress(row, map(not_, values)) for row, values in zip(rows, found) if None in values))
+        if not lacking:
+            return found
+        here = {k: v for k in lacking if (v := self.old.get(k)) is not None}
+        if fresh := list(lacking - here.keys()):
+            here.update(zip(fresh, learn(fresh)))
+        self.put({k: v for k, v in here.items() if len(k) <= LONG_WORD})
+        return [[here[k] if v is None else v for k, v in zip(row, values)] if None in values else values for row, values in zip(rows, found)]
+
+    def put(self, values: dict) -> None:
+        if len(self.young) + len(values) > self.most:
+            self.old, self.young = self.young, {}
+            values = dict(islice(values.items(), self.most))
+        self.young.update(values)
 
 
 class Codec:
@@ -98,9 +107,11 @@ class Codec:
         ids = np.array(list(self.ranks.values()), np.int32)
         # A byte is held as the character of that number, as a string of bytes need not be UTF-8.
         self._load("vocabulary", {"id": pa.array(ids), "chars": pa.array([t.decode("latin-1") for t in self.ranks])})
-        self.opens = np.zeros(int(ids.max(initial=0)) + 1, bool)  # tokens that begin with a blank
-        self.opens[[r for t, r in self.ranks.items() if t[:1] == b" "]] = True
-        self.words, self.units, self.runs = Memory(), Memory(), Memory()
+        self.known = np.zeros(int(ids.max(initial=0)) + 1, bool)
+        self.known[ids] = True
+        self.decimals = list(map(str, range(len(self.known))))
+        self.single = {int(i): i.tobytes() for i in ids}
+        self.units = Memory()
 
     def _load(self, name: str, columns: dict[str, pa.Array]) -> None:
         self.db.register("loading", pa.table(columns))
@@ -127,102 +138,67 @@ class Codec:
         return [flat[4 * s : 4 * e] for s, e in zip([0, *ends[:-1].tolist()], ends.tolist())]
 
     def _learn_words(self, words: set[str]) -> dict[str, bytes]:
-        """Ids of words that are not in memory; they go to memory too."""
+        """Ids of matches of the split pattern."""
         found, short, long = {}, [], []
         for word in words:
-            raw = word.encode("utf-8", "surrogatepass")
+            raw = word.encode()
             if (rank := self.ranks.get(raw)) is not None:
-                found[word] = np.int32(rank).tobytes()
+                found[word] = self.single[rank]
             else:
                 (short if len(raw) <= LONG_WORD else long).append((word, raw))
         for batch in [*(short[i : i + WORDS_A_QUERY] for i in range(0, len(short), WORDS_A_QUERY)), *([x] for x in long)]:
             found.update(zip([w for w, _ in batch], self._contract([raw for _, raw in batch])))
-        for word, ids in found.items():
-            if len(word) <= LONG_WORD:
-                self.words.put(word, ids)
         return found
 
-    def _learn(self, pieces_of: dict[str, list[str]]) -> dict[str, bytes]:
-        """Ids of texts, each given with its matches of the split pattern."""
-        known: dict[str, bytes] = {}
-        fresh: set[str] = set()
-        for pieces in pieces_of.values():
-            for p in pieces:
-                if p not in known and p not in fresh:
-                    try:
-                        known[p] = self.words[p]
-                    except KeyError:
-                        fresh.add(p)
-        known |= self._learn_words(fresh)
-        return {text: b"".join([known[p] for p in pieces]) for text, pieces in pieces_of.items()}
+    def ids_digest(self, ids: bytes) -> str:
+        return hashlib.sha256(",".join(map(self.decimals.__getitem__, np.frombuffer(ids, np.int32).tolist())).encode()).hexdigest()
+
+    def _learn(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts that are split as a whole."""
+        pieces_of = [self._pieces(t) for t in texts]
+        known = self._learn_words(set(chain.from_iterable(pieces_of)))
+        return [known[pieces[0]] if len(pieces) == 1 else b"".join(map(known.__getitem__, pieces)) for pieces in pieces_of]
+
+    def _pieces(self, text: str) -> list[str]:
+        """The matches of the split pattern; the commonest forms, a word of letters with or without a mark, need no search."""
+        if text[:1] == " " and text[1:].isalpha():
+            return [text]
+        if text[:1] == " " and text[-1] in ".,;:!?" and text[1:-1].isalpha():
+            return [text[:-1], text[-1]]
+        return self.split.findall(text)
+
+    def _learn_units(self, units: list[str]) -> list[bytes | bool]:
+        """Ids of a blank and the unit; False for a unit that cannot be split apart from its neighbours."""
+        apart = [bool(u) and not u[0].isspace() and not u[-1].isspace() for u in units]
+        ids = iter(self._learn([" " + u for u, a in zip(units, apart) if a]))
+        return [a and next(ids) for a in apart]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as the bytes of an int32 array.
 
-        A text is cut before each single blank that stands between two characters that are no white space: no match of
+        A text is cut at each single blank that stands between two characters that are no white space: no match of
         the split pattern reaches over such a place. Texts with other white space next to a blank are split as a whole.
         """
-        units = self.units
-        cut = [_units(t) for t in texts]
-        fresh: dict[str, list[str]] = {}
-        here: dict[str, bytes] = {}
-        for parts in cut:
-            for p in parts:
-                if p not in here and p not in fresh:
-                    try:
-                        here[p] = units[p]
-                    except KeyError:
-                        fresh[p] = self.split.findall(p)
-        learned = self._learn(fresh)
-        here |= learned
-        for p, ids in learned.items():
-            if len(p) <= LONG_WORD:
-                units.put(p, ids)
-        return [b"".join([here[p] for p in parts]) for parts in cut]
-
-    def decode(self, rows: list[np.ndarray]) -> list[bytes]:
-        """The bytes of each row of ids. An id that the vocabulary lacks raises ValueError."""
-        cut = []
-        fresh: dict[bytes, None] = {}
-        here: dict[bytes, bytes] = {}
-        for ids in rows:
-            ids = np.ascontiguousarray(ids, np.int32)
-            if len(ids) and (ids.min() < 0 or ids.max() >= len(self.opens)):
-                raise ValueError("token id outside the vocabulary")
-            # Runs of tokens up to the next that opens with a blank, or 64 tokens, are what is remembered.
-            starts = np.unique(np.r_[np.flatnonzero(self.opens[ids]), np.arange(0, len(ids), 64)]).tolist() if len(ids) else []
-            flat = ids.tobytes()
-            parts = [flat[4 * s : 4 * e] for s, e in zip(starts, [*starts[1:], len(ids)])]
-            cut.append(parts)
-            for p in parts:
-                if p not in here and p not in fresh:
-                    try:
-                        here[p] = self.runs[p]
-                    except KeyError:
-                        fresh[p] = None
-        keys = list(fresh)
-        for at in range(0, len(keys), WORDS_A_QUERY):
-            some = keys[at : at + WORDS_A_QUERY]
-            sizes = np.array([len(k) // 4 for k in some])
-            w = np.repeat(np.arange(len(some), dtype=np.int32), sizes)
-            pos = np.arange(len(w)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            got = self._query(DECODE, {"w": w, "g": w.astype(np.int64) << 32 | pos, "id": np.frombuffer(b"".join(some), np.int32)})
-            if got.num_rows < len(some):
-                raise ValueError("token id outside the vocabulary")
-            for i, chars in zip(got.column(0).to_pylist(), got.column(1).to_pylist()):
-                here[some[i]] = raw = chars.encode("latin-1")
-                self.runs.put(some[i], raw)
-        return [b"".join([here[p] for p in parts]) for parts in cut]
-
-
-def _units(text: str) -> list[str]:
-    if not text:
-        return []
-    parts = text.split(" ")
-    for p in parts:
-        if not p or p[0].isspace() or p[-1].isspace():
-            return [text]
-    return [parts[0], *[" " + p for p in parts[1:]]]
+        heads, tails = [], []
+        for t in texts:
+            head, *tail = t.split(" ")
+            heads.append(head)
+            tails.append(tail)
+        found = self.units.recall(tails, self._learn_units)
+        for i, (head, ids) in enumerate(zip(heads, found)):
+            if ids and (not head or head[-1].isspace() or False in ids):
+                heads[i], found[i] = texts[i], []
+        return [first + b"".join(ids) for first, ids in zip(self._learn(heads), found)]
+
+    def decode(self, rows: list[bytes]) -> list[bytes]:
+        """The bytes that each row of ids, an int32 array's bytes, stands for. An id that the vocabulary lacks raises ValueError."""
+        ids = np.frombuffer(b"".join(rows), np.int32)
+        if len(ids) and (ids.min() < 0 or ids.max() >= len(self.known) or not self.known[ids].all()):
+            raise ValueError("token id outside the vocabulary")
+        w = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) // 4 for r in rows])
+        got = self._query(DECODE, {"w": w, "g": np.arange(len(ids)), "id": ids})
+        chars = dict(zip(got.column(0).to_pylist(), got.column(1).to_pylist()))
+        return [chars.get(i, "").encode("latin-1") for i in range(len(rows))]
 
 
 _codecs: dict[str, Codec] = {}
@@ -261,8 +237,14 @@ def rank_file(docs: DataFrame, path: str):
         return docs.sparkSession.sparkContext.broadcast(f.read())
 
 
-def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text") -> DataFrame:
-    """The input's rows and columns with ``ids``: the token ids of the text, null as empty text.
+#: What a pass over the texts can add to a row, and its type.
+ADDS = {"ids": T.ArrayType(T.IntegerType()), "n_tokens": T.LongType(), "ids_sha256": T.StringType(), "decoded_sha256": T.StringType(), "round_trip": T.BooleanType()}
+
+
+def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", add: tuple[str, ...] = ("ids",), keep_text: bool = True) -> DataFrame:
+    """The input's rows and columns with the columns ``add``: the token ids of the text, null as empty text, or what
+    follows from them: n_tokens, ids_sha256 of the comma-joined ids, and, by decoding the ids, decoded_sha256 of the
+    bytes and round_trip (the bytes are the text's).
 
     As the tiktoken library's encode_ordinary: a match that is itself a token is that token, any other is contracted.
     ``path`` is a file of base64 tokens and ranks, read on the driver.
@@ -270,15 +252,28 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text") ->
     ship(docs.sparkSession)
     ranks = rank_file(docs, path)
     at = docs.columns.index(text_col)
+    kept = [i for i in range(len(docs.columns)) if keep_text or i != at]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with codec(f"{path} {pattern}", lambda: (ranks.value, pattern)) as c:
             for whole in batches:
                 for b in _chunks(whole, at):
-                    ids = c.encode([t or "" for t in b.column(at).to_pylist()])
-                    yield pa.RecordBatch.from_arrays([*b.columns, _ids_array(ids)], names=[*b.schema.names, "ids"])
-
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
+                    texts = [t or "" for t in b.column(at).to_pylist()]
+                    ids = c.encode(texts)
+                    made: dict[str, pa.Array] = {}
+                    if "ids" in add:
+                        made["ids"] = _ids_array(ids)
+                    if "n_tokens" in add:
+                        made["n_tokens"] = pa.array([len(x) // 4 for x in ids], pa.int64())
+                    if "ids_sha256" in add:
+                        made["ids_sha256"] = pa.array([c.ids_digest(x) for x in ids])
+                    if "decoded_sha256" in add or "round_trip" in add:
+                        raw = c.decode(ids)
+                        made["decoded_sha256"] = pa.array([hashlib.sha256(r).hexdigest() for r in raw])
+                        made["round_trip"] = pa.array([r == t.encode() for r, t in zip(raw, texts)])
+                    yield pa.RecordBatch.from_arrays([*[b.column(i) for i in kept], *[made[a] for a in add]], names=[*[b.schema.names[i] for i in kept], *add])
+
+    return docs.mapInArrow(run, T.StructType([*[docs.schema[i] for i in kept], *[T.StructField(a, ADDS[a]) for a in add]]))
 
 
 def decode(rows: DataFrame, path: str, pattern: str, ids_col: str = "ids") -> DataFrame:
@@ -290,11 +285,11 @@ def decode(rows: DataFrame, path: str, pattern: str, ids_col: str = "ids") -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with codec(f"{path} {pattern}", lambda: (ranks.value, pattern)) as c:
             for whole in batches:
-                for start in range(0, whole.num_rows, 1024):
-                    b = whole.slice(start, 1024)
+                for start in range(0, whole.num_rows, 512):
+                    b = whole.slice(start, 512)
                     ids = b.column(at)
-                    offsets, flat = ids.offsets.to_numpy(), ids.values.to_numpy(zero_copy_only=False)
-                    raw = c.decode([flat[s:e] for s, e in zip(offsets[:-1], offsets[1:])])
+                    offsets, flat = ids.offsets.to_numpy(), ids.values.to_numpy(zero_copy_only=False).astype(np.int32)
+                    raw = c.decode([flat[s:e].tobytes() for s, e in zip(offsets[:-1], offsets[1:])])
                     out = pa.array([r if v else None for r, v in zip(raw, ids.is_valid().to_pylist())], pa.binary())
                     yield pa.RecordBatch.from_arrays([*b.columns, out], names=[*b.schema.names, "decoded"])
 
@@ -302,15 +297,9 @@ def decode(rows: DataFrame, path: str, pattern: str, ids_col: str = "ids") -> Da
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_tokens, ids_sha256, decoded_sha256): the texts encoded, and the ids decoded."""
-    coded = encode(docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text")), path, pattern).drop("text")
-    back = decode(coded, path, pattern)
-    return back.select(
-        id_col,
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
-        F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
-    )
+    """(id, n_tokens, ids_sha256, decoded_sha256): the texts encoded, and the ids decoded, in one pass."""
+    narrow = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text"))
+    return encode(narrow, path, pattern, add=("n_tokens", "ids_sha256", "decoded_sha256"), keep_text=False)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
