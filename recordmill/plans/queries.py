@@ -40,7 +40,7 @@ UNION = f"""select file_path, label, sum(s) as seconds from (select file_path, l
 AUDIT = f"select label, sum(seconds) as seconds, 100*sum(seconds)/sum(sum(seconds)) over () prop_pct from ({UNION}) group by label"
 EVENTS = f"(select distinct file_path, label, start_time, stop_time from ({COHORT}))"
 NATURAL = f"(select label, s as seconds, 100*s/sum(s) over () prop_pct from (select case label when 'click' then 'focal' when 'view' then 'focal' when 'error' then 'generalized' else label end as label, sum(stop_time-start_time) s from {EVENTS} group by 1))"
-WINDOWED = f"(select label, n windows, n*4.096 as seconds, 100.0*n/sum(n) over () prop_pct from (select case macro_class when 'a' then 'focal' else macro_class end as label, count(*) n from {r.WINDOWS} group by 1))"
+WINDOWED = f"(select label, n windows, cast(n*4.096 as double) as seconds, 100.0*n/sum(n) over () prop_pct from (select case macro_class when 'a' then 'focal' else macro_class end as label, count(*) n from {r.WINDOWS} group by 1))"
 WINDOW_MAP = {"a": "focal"}
 
 
@@ -80,7 +80,7 @@ def _(spark, d):
 
 @register(
     "compare_distributions",
-    f"""select source, label, round(seconds,2) as seconds, round(prop_pct,4) prop_pct, round(seconds/3600,4) hours, round(max(prop_pct) over () * 1.18,4) pct_limit, round(max(seconds/3600) over () * 1.18,3) hours_limit,
+    f"""select source, label, round(seconds,2) as seconds, round(prop_pct,4) prop_pct, round(seconds/3600,4) as hours, round(max(prop_pct) over () * 1.18,4) pct_limit, round(max(seconds/3600) over () * 1.18,3) hours_limit,
  case label when 'focal' then 'Focal events' else upper(left(label,1))||lower(substr(label,2)) end display from (select 'natural' source, label, seconds, prop_pct from {NATURAL} union all select 'windowed', label, seconds, prop_pct from {WINDOWED})""",
 )
 def _(spark, d):
