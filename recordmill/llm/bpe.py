@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from recordmill.llm.common import ship, table
 
-REMEMBERED = 700_000
+REMEMBERED = 400_000
 WORDS_A_QUERY = 20_000
 #: Words longer than this go through the query one at a time, so that the rows of a query stay few.
 LONG_WORD = 256
@@ -102,7 +102,7 @@ class Codec:
                     pairs.append(left << 32 | right)
                     merged.append(rank)
         self.byte_ids = np.array([self.ranks.get(bytes([i]), -1) for i in range(256)], np.int32)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "250MB"})
         self._load("merges", {"pair": pa.array(pairs, pa.int64()), "id": pa.array(merged, pa.int32())})
         ids = np.array(list(self.ranks.values()), np.int32)
         # A byte is held as the character of that number, as a string of bytes need not be UTF-8.

@@ -10,15 +10,20 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BATCH_ROWS = 1000
 ROOT = str(Path(__file__).resolve().parents[2])
 
 
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package from the place where the driver found it.
+    """Let Python workers import this package from the place where the driver found it, and keep their batches small.
 
     On a cluster the package is installed or passed with --py-files; this only adds the driver's own path, which
-    serves local sessions whose working directory is another one.
+    serves local sessions whose working directory is another one. Arrow batches of documents hold ``BATCH_ROWS`` rows
+    where the session has not been given another number, as Spark's 10,000 whole texts at once take hundreds of MB.
     """
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(size, "10000") == "10000":
+        spark.conf.set(size, str(BATCH_ROWS))
     env = spark.sparkContext.environment
     known = env.get("PYTHONPATH", "").split(os.pathsep)
     if ROOT not in known:
