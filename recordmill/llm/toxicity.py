@@ -30,7 +30,7 @@ MOST_WORDS, MOST_STEMS, STEM = 600, 150, 5
 # Common insults and abuse, lower case.
 INSULTS = (
     "idiot idiots moron morons stupid dumb dumbass loser losers scum trash garbage clown clowns pathetic worthless disgusting imbecile cretin "
-    "fool jerk bastard bitch asshole shit crap fuck fucking damn vermin filth hate kill die ugly liar pig retard freak creep "
+    "fool jerk bastard bitch asshole shit crap fuck fucking damn vermin filth hate kill ugly liar pig retard freak creep "
     "dumm idiotin arschloch scheisse scheiße trottel depp abschaum versager wertlos "
     "idiote imbécile connard salaud merde ordure crétin débile "
     "idiota estúpido imbécil basura mierda cabrón asqueroso inútil"
@@ -40,7 +40,7 @@ SECOND_PERSON = "you your yours yourself u ur du dich dir dein deine ihr euch eu
 
 _KEEP = b"$@"
 _TO_TOKENS = bytes(c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 or c in _KEEP else 32 for c in range(256))
-_LEET = bytes.maketrans(b"013457@$", b"oleastas")
+_LEETS = (bytes.maketrans(b"013457@$", b"oieastas"), bytes.maketrans(b"013457@$", b"oleastas"))
 _MIXED = re.compile(rb"(?<![^ ])(?=[^ ]*[a-z])(?=[^ ]*[0-9@$])[^ ]+")
 _SPACED = re.compile(rb"(?<![^ ])(?:[a-z] +){3,}[a-z](?![^ ])")
 _MARKS = np.frombuffer(b"!?.,;:*#%&\"'()-", np.uint8)
@@ -80,7 +80,7 @@ class Lexicon:
         hidden = 0
         mixed = _MIXED.findall(joined) if counts[48:58].any() or counts[36] or counts[64] else []
         for w in mixed:
-            hidden += w.translate(_LEET) in self.known
+            hidden += any(w.translate(t) in self.known for t in _LEETS)
         spaced = _SPACED.findall(joined)
         for run in spaced:
             hidden += run.replace(b" ", b"") in self.known
