@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from recordmill.llm.common import ship, table
+from recordmill.llm.common import map_batches, ship, table, without
 
 REMEMBERED = 400_000
 WORDS_A_QUERY = 20_000
@@ -244,7 +244,7 @@ ADDS = {"ids": T.ArrayType(T.IntegerType()), "n_tokens": T.LongType(), "ids_sha2
 def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", add: tuple[str, ...] = ("ids",), keep_text: bool = True) -> DataFrame:
     """The input's rows and columns with the columns ``add``: the token ids of the text, null as empty text, or what
     follows from them: n_tokens, ids_sha256 of the comma-joined ids, and, by decoding the ids, decoded_sha256 of the
-    bytes and round_trip (the bytes are the text's).
+    bytes and round_trip (the bytes are the text's). They replace columns of the same names.
 
     As the tiktoken library's encode_ordinary: a match that is itself a token is that token, any other is contracted.
     ``path`` is a file of base64 tokens and ranks, read on the driver.
@@ -252,7 +252,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", add
     ship(docs.sparkSession)
     ranks = rank_file(docs, path)
     at = docs.columns.index(text_col)
-    kept = [i for i in range(len(docs.columns)) if keep_text or i != at]
+    kept = [i for i in without(docs.columns, add) if keep_text or i != at]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with codec(f"{path} {pattern}", lambda: (ranks.value, pattern)) as c:
@@ -273,14 +273,15 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", add
                         made["round_trip"] = pa.array([r == t.encode() for r, t in zip(raw, texts)])
                     yield pa.RecordBatch.from_arrays([*[b.column(i) for i in kept], *[made[a] for a in add]], names=[*[b.schema.names[i] for i in kept], *add])
 
-    return docs.mapInArrow(run, T.StructType([*[docs.schema[i] for i in kept], *[T.StructField(a, ADDS[a]) for a in add]]))
+    return map_batches(docs, run, T.StructType([*[docs.schema[i] for i in kept], *[T.StructField(a, ADDS[a]) for a in add]]))
 
 
 def decode(rows: DataFrame, path: str, pattern: str, ids_col: str = "ids") -> DataFrame:
-    """The input's rows and columns with ``decoded``: the bytes of the tokens. Null ids give null; unknown ids raise."""
+    """The input's rows and columns with ``decoded``, which replaces a column of that name: the bytes of the tokens. Null ids give null; unknown ids raise."""
     ship(rows.sparkSession)
     ranks = rank_file(rows, path)
     at = rows.columns.index(ids_col)
+    kept = without(rows.columns, ["decoded"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with codec(f"{path} {pattern}", lambda: (ranks.value, pattern)) as c:
@@ -291,9 +292,9 @@ def decode(rows: DataFrame, path: str, pattern: str, ids_col: str = "ids") -> Da
                     offsets, flat = ids.offsets.to_numpy(), ids.values.to_numpy(zero_copy_only=False).astype(np.int32)
                     raw = c.decode([flat[s:e].tobytes() for s, e in zip(offsets[:-1], offsets[1:])])
                     out = pa.array([r if v else None for r, v in zip(raw, ids.is_valid().to_pylist())], pa.binary())
-                    yield pa.RecordBatch.from_arrays([*b.columns, out], names=[*b.schema.names, "decoded"])
+                    yield pa.RecordBatch.from_arrays([*[b.column(i) for i in kept], out], names=[*[b.schema.names[i] for i in kept], "decoded"])
 
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("decoded", T.BinaryType())]))
+    return map_batches(rows, run, T.StructType([*[rows.schema[i] for i in kept], T.StructField("decoded", T.BinaryType())]))
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

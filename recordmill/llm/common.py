@@ -5,10 +5,13 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BATCH_ROWS = 1000
 ROOT = str(Path(__file__).resolve().parents[2])
@@ -58,6 +61,39 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def quoted(names: list[str]) -> list[Column]:
+    """The columns of these very names, dots and backticks included."""
+    return [F.col("`" + n.replace("`", "``") + "`") for n in names]
+
+
+def unused(columns: list[str], *names: str) -> list[str]:
+    """The names, each with as many underscores before it as keep it apart from the columns in any case of letters."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def without(columns: list[str], names: tuple[str, ...] | list[str]) -> list[int]:
+    """Positions of the columns that bear none of the names in any case of letters."""
+    gone = {n.lower() for n in names}
+    return [i for i, c in enumerate(columns) if c.lower() not in gone]
+
+
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType) -> DataFrame:
+    """mapInArrow over columns named by position, as it reads a name with a dot as a path; the result's names are the schema's."""
+    names = schema.names
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in run(batches):
+            yield pa.RecordBatch.from_arrays(b.columns, names=names)
+
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]).mapInArrow(named, schema)
+
+
 def held_out(doc_id: str, modulus: int, remainder: int) -> Column:
     """crc32 of the id as text falls on the remainder; rows without an id are held out too, so never learned from."""
     crc = F.crc32(F.col(doc_id).cast("string").cast("binary"))

@@ -18,11 +18,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from recordmill.llm.common import fresh_path, ship, table
+from recordmill.llm.common import fresh_path, map_batches, quoted, ship, table, unused, without
 
 WINDOW = 13
 BLOCK = 3
@@ -101,7 +101,7 @@ HITS = T.StructType(
 )
 
 
-def _searcher(patterns, text_at: int, before_at: int | None):
+def _searcher(patterns, text_at: int, before_at: int | None, made: str):
     names = [f.name for f in HITS]
     kinds = [pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.string())]
 
@@ -120,7 +120,7 @@ def _searcher(patterns, text_at: int, before_at: int | None):
             columns = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
             hits = pa.StructArray.from_arrays(columns, names=names)
             keep = [(c, n) for i, (c, n) in enumerate(zip(b.columns, b.schema.names)) if i != before_at]
-            yield pa.RecordBatch.from_arrays([*[c for c, _ in keep], hits], names=[*[n for _, n in keep], "__hits"])
+            yield pa.RecordBatch.from_arrays([*[c for c, _ in keep], hits], names=[*[n for _, n in keep], made])
 
     return run
 
@@ -133,8 +133,8 @@ def pattern_blocks(benchmark: DataFrame, item_col: str, text_col: str, block_byt
     return [items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == i) for i in range(n)]
 
 
-def find(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = 16 << 20) -> DataFrame:
-    """The input's rows and columns, and a struct ``__hits`` (n_words, starts, ends, items).
+def find(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = 16 << 20, hits: str = "__hits") -> DataFrame:
+    """The input's rows and columns, and a struct ``hits`` (n_words, starts, ends, items), which replaces a column of that name.
 
     starts and ends are the merged word ranges, end exclusive, inside any occurrence of a window; items are the ids, as
     sorted strings, of items with an occurrence. Null text has no words. Items without id or words are passed over; equal
@@ -142,13 +142,13 @@ def find(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col
     """
     spark = docs.sparkSession
     ship(spark)
-    out = docs
+    out = docs.select(*quoted([docs.columns[i] for i in without(docs.columns, [hits])]))
     blocks = pattern_blocks(benchmark, item_col, item_text, block_bytes)
     for i, block in enumerate(blocks):
         patterns = spark.sparkContext.broadcast(Patterns([tuple(r) for r in block.collect()], window))
-        before = out.columns.index("__hits") if i else None
-        schema = T.StructType([f for f in out.schema if f.name != "__hits"] + [T.StructField("__hits", HITS)])
-        out = out.mapInArrow(_searcher(patterns, out.columns.index(text_col), before), schema)
+        before = out.columns.index(hits) if i else None
+        schema = T.StructType([f for f in out.schema if f.name != hits] + [T.StructField(hits, HITS)])
+        out = map_batches(out, _searcher(patterns, out.columns.index(text_col), before, hits), schema)
         if i < len(blocks) - 1:  # one block of patterns in memory at a time
             path = fresh_path(spark, "hits")
             out.write.parquet(path)
@@ -156,23 +156,33 @@ def find(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col
     return out
 
 
+def hit_words(hits: Column) -> Column:
+    return F.aggregate(F.zip_with(hits["starts"], hits["ends"], lambda s, e: (e - s).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)
+
+
+def contaminated(hits: Column) -> Column:
+    """At least one word is hit, and at least one in twenty."""
+    n_hit = hit_words(hits)
+    return (n_hit > 0) & (20 * n_hit >= hits["n_words"])
+
+
 def summary(found: DataFrame, *keep: str) -> DataFrame:
     """``keep`` columns with n_words, n_hit, n_items, items_sha256 and contaminated."""
     h = F.col("__hits")
-    n_hit = F.aggregate(F.zip_with(h["starts"], h["ends"], lambda s, e: (e - s).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)
-    return (
-        found.withColumn("n_words", h["n_words"])
-        .withColumn("n_hit", n_hit)
-        .withColumn("n_items", F.size(h["items"]).cast("long"))
-        .withColumn("items_sha256", F.sha2(F.array_join(h["items"], ","), 256))
-        .withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
-        .select(*keep, "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    return found.select(
+        *quoted(list(keep)),
+        h["n_words"].alias("n_words"),
+        hit_words(h).alias("n_hit"),
+        F.size(h["items"]).cast("long").alias("n_items"),
+        F.sha2(F.array_join(h["items"], ","), 256).alias("items_sha256"),
+        contaminated(h).alias("contaminated"),
     )
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
-    """The input's rows and columns without documents of which at least one word in twenty is hit."""
-    return summary(find(docs, benchmark, text_col), *docs.columns).where(~F.col("contaminated")).select(*docs.columns)
+    """The input's rows and columns, whatever they are named, without documents of which at least one word in twenty is hit."""
+    (hits,) = unused(docs.columns, "__hits")
+    return find(docs, benchmark, text_col, hits=hits).where(~contaminated(F.col(hits))).select(*quoted(docs.columns))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

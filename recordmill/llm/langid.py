@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from recordmill.llm.common import hash_fraction, held_out, ship, stash, table
+from recordmill.llm.common import hash_fraction, held_out, map_batches, quoted, ship, stash, table, unused, without
 
 WIDTH = 2048
 #: Training documents of each language, at most about this many.
@@ -156,7 +156,8 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text", names:
     at = docs.columns.index(text_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     ship(docs.sparkSession)
-    kept = [f for f in docs.schema if f.name not in names]
+    kept = without(docs.columns, names)
+    told = [docs.columns[i] for i in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
@@ -168,17 +169,17 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text", names:
                 if rows:
                     for i, (lang, s) in zip(rows, model.predict(np.array([trigrams(texts[i]) for i in rows], np.float64))):
                         langs[i], scores[i] = lang, s
-            columns = [b.column(b.schema.get_field_index(f.name)) for f in kept]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(langs), pa.array(scores)], names=[*[f.name for f in kept], *names])
+            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in kept], pa.array(langs), pa.array(scores)], names=[*told, *names])
 
-    return docs.mapInArrow(run, T.StructType([*kept, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())]))
+    return map_batches(docs, run, T.StructType([*[docs.schema[i] for i in kept], T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())]))
 
 
 def accepted(docs: DataFrame, least_score: float = 0.0, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The input's rows and columns without documents of undetermined language or a score below ``least_score``."""
+    """The input's rows and columns, whatever they are named, without documents of undetermined language or a score below ``least_score``."""
+    lang, sure = unused(docs.columns, "__lang", "__sure")
     model = fit(docs, id_col, text_col, lang_col)
-    marked = predict(docs, model, text_col, ("__lang", "__sure"))
-    return marked.where((F.col("__lang") != "und") & (F.col("__sure") >= least_score)).select(*docs.columns)
+    marked = predict(docs, model, text_col, (lang, sure))
+    return marked.where((F.col(lang) != "und") & (F.col(sure) >= least_score)).select(*quoted(docs.columns))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

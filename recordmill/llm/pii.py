@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from recordmill.llm.common import ship, table
+from recordmill.llm.common import map_batches, ship, table, without
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -208,41 +208,50 @@ SPAN = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.Struct
 _SPAN = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
 
-def _finder(text_at: int, with_redacted: bool):
+def _finder(text_at: int, kept: list[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         told = lambda spans: [{"kind": k, "start": s, "end": e} for k, s, e in spans]
         for b in batches:
-            base, added, clean = [], [], []
+            base, added = [], []
             for text in b.column(text_at).to_pylist():
                 found, more = find(text)
                 base.append(told(found))
                 added.append(told(more))
-                if with_redacted:
-                    clean.append(None if text is None else redact(text, in_order([*found, *more])))
-            columns = [*b.columns, pa.array(base, _SPAN), pa.array(added, _SPAN)]
-            names = [*b.schema.names, "__base", "__added"]
-            if with_redacted:
-                columns[text_at] = pa.array(clean, pa.string())
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            columns = [*[b.column(i) for i in kept], pa.array(base, _SPAN), pa.array(added, _SPAN)]
+            yield pa.RecordBatch.from_arrays(columns, names=[*[b.schema.names[i] for i in kept], "__base", "__added"])
+
+    return run
+
+
+def _redactor(text_at: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            clean = []
+            for text in b.column(text_at).to_pylist():
+                base, added = find(text)
+                clean.append(None if text is None else redact(text, in_order([*base, *added])))
+            columns = list(b.columns)
+            columns[text_at] = pa.array(clean, pa.string())
+            yield pa.RecordBatch.from_arrays(columns, names=b.schema.names)
 
     return run
 
 
 def spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The input's rows and columns with ``__base`` and ``__added``: arrays of (kind, start, end), sorted.
+    """The input's rows and columns with ``__base`` and ``__added``: arrays of (kind, start, end), sorted, which replace columns of these names.
 
     Null or empty text has none; repeated rows give repeated results; an empty table gives an empty result.
     """
     ship(docs.sparkSession)
-    schema = T.StructType([*docs.schema.fields, T.StructField("__base", SPAN), T.StructField("__added", SPAN)])
-    return docs.mapInArrow(_finder(docs.columns.index(text_col), False), schema)
+    kept = without(docs.columns, ["__base", "__added"])
+    schema = T.StructType([*[docs.schema[i] for i in kept], T.StructField("__base", SPAN), T.StructField("__added", SPAN)])
+    return map_batches(docs, _finder(docs.columns.index(text_col), kept), schema)
 
 
 def redacted(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The input's rows and columns with every span, base or added, replaced by its kind in brackets; null text stays null."""
     ship(docs.sparkSession)
-    schema = T.StructType([*docs.schema.fields, T.StructField("__base", SPAN), T.StructField("__added", SPAN)])
-    return docs.mapInArrow(_finder(docs.columns.index(text_col), True), schema).drop("__base", "__added")
+    return map_batches(docs, _redactor(docs.columns.index(text_col)), docs.schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

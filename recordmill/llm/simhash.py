@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from recordmill.llm.common import ship, stash, table
+from recordmill.llm.common import map_batches, quoted, ship, stash, table, unused
 
 SEED = 42
 RADIUS = 4
@@ -333,32 +333,33 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, block_rows: int = 4096) -> DataFrame:
-    """The input's rows and columns, one row of each component: that with the smallest id, of repeated rows any one.
+    """The input's rows and columns, whatever they are named, one row of each component: that with the smallest id, of repeated rows any one.
 
     A component in which no row has an id keeps one of its rows too.
     """
     prints, members = _members(docs, id_col, text_col, radius, block_rows)
-    kept = prints.join(members, "fp").where("id = component_id").select(F.col("id").alias("__kept")).distinct()
-    named = docs.join(kept, docs[id_col] == kept["__kept"], "left_semi")
+    kept_id, n, print_col, root = unused(docs.columns, "__kept", "__n", "__fp", "__root")
+    kept = prints.join(members, "fp").where("id = component_id").select(F.col("id").alias(kept_id)).distinct()
+    named = docs.join(kept, F.col(id_col) == F.col(kept_id), "left_semi")
     first = Window.partitionBy(id_col).orderBy(F.xxhash64(text_col))
-    named = named.withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n")
-    nameless = _with_print(docs.where(F.col(id_col).isNull()), text_col)
-    least = Window.partitionBy("__root").orderBy("__fp")
-    nameless = nameless.join(members.where("component_id is null").select(F.col("fp").alias("__fp"), F.col("root").alias("__root")), "__fp")
-    nameless = nameless.withColumn("__n", F.row_number().over(least)).where("__n = 1").select(*docs.columns)
+    named = named.withColumn(n, F.row_number().over(first)).where(F.col(n) == 1).drop(n)
+    nameless = _with_print(docs.where(F.col(id_col).isNull()), text_col, print_col)
+    least = Window.partitionBy(root).orderBy(print_col)
+    nameless = nameless.join(members.where("component_id is null").select(F.col("fp").alias(print_col), F.col("root").alias(root)), print_col)
+    nameless = nameless.withColumn(n, F.row_number().over(least)).where(F.col(n) == 1).select(*quoted(docs.columns))
     return named.unionByName(nameless)
 
 
-def _with_print(docs: DataFrame, text_col: str) -> DataFrame:
-    """The rows with their fingerprint as __fp."""
+def _with_print(docs: DataFrame, text_col: str, name: str) -> DataFrame:
+    """The rows with their fingerprint as the column ``name``, which is none of theirs."""
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.fromiter((fingerprint(t) for t in b.column(at).to_pylist()), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fps.view(np.int64))], names=[*b.schema.names, "__fp"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fps.view(np.int64))], names=[*b.schema.names, name])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__fp", T.LongType())]))
+    return map_batches(docs, run, T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())]))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
