@@ -3,7 +3,7 @@
 Base spans come from the plain patterns over the source text. A chain of transducers then rewrites disguises (look-alike
 characters, spelled digits, "at" and "dot" written out) while recording, for each character made, the source range it
 came from; identifiers found in the rewritten text are mapped back to source characters and added where no base span of
-that kind overlaps them. Texts that hold no disguise at all skip the rewriting.
+that kind covers them wholly. Texts that hold no disguise at all skip the rewriting.
 """
 
 from __future__ import annotations
@@ -186,9 +186,8 @@ def find(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str,
     added = []
     for kind, s, e in detect("".join(c for c, _, _ in made)):
         s, e = made[s][1], made[e - 1][2]
-        if all(e <= a or b <= s for a, b in taken[kind]):
+        if not any(a <= s and e <= b for a, b in taken[kind]):
             added.append((kind, s, e))
-            taken[kind].append((s, e))
     return base, in_order(added)
 
 

@@ -182,6 +182,20 @@ def test_deobfuscation_maps_back_to_the_source():
         assert pii.find(text) == ([], [])
 
 
+def test_added_spans_reach_beyond_base_spans():
+    cases = {
+        "to jоhn@example.com!": ("email", "jоhn@example.com", "to [EMAIL]!"),
+        "to john\u200b.smith@example.com!": ("email", "john\u200b.smith@example.com", "to [EMAIL]!"),
+        "to john@exаmple.co.uk!": ("email", "john@exаmple.co.uk", "to [EMAIL]!"),
+        "tel +49 30 12345６７８!": ("phone", "+49 30 12345６７８", "tel [PHONE]!"),
+    }
+    for text, (kind, part, clean) in cases.items():
+        base, added = pii.find(text)
+        assert [(k, text[s:e]) for k, s, e in added] == [(kind, part)], (text, base, added)
+        assert base == brute_spans(text) and pii.redact(text, pii.in_order([*base, *added])) == clean
+    assert pii.find("a@b.co, naïvе") == (brute_spans("a@b.co, naïvе"), [])
+
+
 def test_pii_query(spark, small):
     got = {r["doc_id"]: r for r in queries.QUERIES["op10_pii"](spark, small).collect()}
     told = lambda spans: ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
