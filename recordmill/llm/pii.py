@@ -107,15 +107,23 @@ _DIGIT_WORD = "|".join(sorted(map(re.escape, _DIGIT_WORDS), key=len, reverse=Tru
 #: At least seven digits in a row of which at least four are spelled; a leading "plus" becomes the sign.
 _SPELLED = re.compile(rf"(?<!\w)(?:(?:plus|\+)[ \-]*)?(?:(?:{_DIGIT_WORD}|[0-9])(?:[ \-,.]+|(?!\w))){{6,}}(?:{_DIGIT_WORD}|[0-9])(?!\w)", re.I)
 _SPELLED_PART = re.compile(rf"plus|{_DIGIT_WORD}|[0-9]|\+", re.I)
-_MANY_SPELLED = re.compile(rf"(?:(?<!\w)(?:{_DIGIT_WORD})(?!\w)[ \-,.]+){{3}}", re.I)
-
-_DOT = r"(?:\s*[\[({<]\s*(?:dot|punkt|point|punto|\.)\s*[\])}>]\s*|\s+(?:dot|punkt|point|punto)\s+|\s*\.\s*(?=[A-Za-z]{2,6}(?!\w)))"
-_PLAIN_DOT = r"(?:\s*[\[({<]\s*(?:dot|punkt|point|punto|\.)\s*[\])}>]\s*|\s+(?:dot|punkt|point|punto)\s+|\.)"
-_AT = r"(?:\s*[\[({<]\s*(?:at|arroba|arobase|@)\s*[\])}>]\s*|\s+at\s+|\s*@\s*)"
+#: Of four spelled digits in such a run some word without a "plus" before it is followed by another digit, however they are dealt.
+_SOME_SPELLED = re.compile(rf"(?<!\w)(?:{_DIGIT_WORD})[ \-,.]+(?:{_DIGIT_WORD}|[0-9])(?!\w)", re.I)
+
+_WRITTEN_DOT = r"(?:\s*[\[({<]\s*(?:dot|punkt|point|punto|\.)\s*[\])}>]\s*|\s+(?:dot|punkt|point|punto)\s+)"
+_PLAIN_DOT = rf"(?:{_WRITTEN_DOT}|\.)"
+_SURE_AT = r"(?:\s*[\[({<]\s*(?:at|arroba|arobase|@)\s*[\])}>]\s*|\s*@\s*)"
+_LOCAL_RUN = r"[A-Za-z0-9._%+-]++"
+_LOCAL_PART = rf"{_LOCAL_RUN}(?:{_WRITTEN_DOT}{_LOCAL_RUN})*+"
+_LABEL = r"[A-Za-z0-9-]+"
+#: In "write me at jane dot doe at example dot com" the first "at" is prose: what follows it is an address with an "at" of its own.
+_AT = rf"(?:{_SURE_AT}|\s+at\s+(?!{_LOCAL_PART}(?:{_SURE_AT}{_LABEL}\.?|\s+at\s+{_LABEL}(?:\.{_LABEL})*{_WRITTEN_DOT}){_LABEL}))"
 #: A disguised address needs either a bracketed "at", or a written-out "dot"; plain prose with "at" is left alone.
-_DISGUISED = re.compile(rf"([A-Za-z0-9._%+-]+){_AT}([A-Za-z0-9-]+(?:{_PLAIN_DOT}[A-Za-z0-9-]+)+)", re.I)
-_AT_PART = re.compile(_AT, re.I)
-_DOT_PART = re.compile(_DOT, re.I)
+#: Local parts without a domain match too, with an empty second group, so that a long chain of dots is read only once.
+_DISGUISED = re.compile(rf"(?<![A-Za-z0-9._%+-])({_LOCAL_PART})(?:{_AT}({_LABEL}(?:{_PLAIN_DOT}{_LABEL})+))?", re.I)
+_DISGUISED_NUMBERS = re.compile(rf"(?<![0-9])[0-9]++(?:{_PLAIN_DOT}[0-9]++){{3,}}", re.I)
+_ANY_DOT = re.compile(_PLAIN_DOT, re.I)
+_LOCAL_DOT = re.compile(_WRITTEN_DOT, re.I)
 _DISGUISE_SIGN = re.compile(r"[\[({<]\s*(?:at|arroba|arobase|@|dot|punkt|point|punto|\.)\s*[\])}>]|\sdot\s|\spunkt\s|\spunto\s|\spoint\s", re.I)
 
 Made = list[tuple[str, int, int]]  # what stands there now, and the source range it came from
@@ -151,24 +159,47 @@ def _spelled_edits(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
+def _local_dots(text: str, start: int, end: int, rest: str) -> list[tuple[int, int]]:
+    """Written dots of a local part, from its end back to one that reads as prose.
+
+    A word other than "dot" that stands without brackets ("our contact point jane@...") counts only where the domain uses it too.
+    """
+    out: list[tuple[int, int]] = []
+    for m in reversed(list(_LOCAL_DOT.finditer(text, start, end))):
+        word = m[0].strip().lower()
+        if word in ("punkt", "point", "punto") and not re.search(rf"\s{word}\s", rest, re.I):
+            break
+        out.insert(0, m.span())
+    return out
+
+
 def _address_edits(text: str) -> list[tuple[int, int, str]]:
     out = []
     for m in _DISGUISED.finditer(text):
-        if not _DISGUISE_SIGN.search(text, m.start(), m.end()):
+        if m[2] is None:
             continue
-        a = _AT_PART.search(text, m.end(1), m.start(2))
-        out.append((a.start(), m.start(2), "@"))
-        for d in re.finditer(_PLAIN_DOT, text[m.start(2) : m.end(2)], re.I):
-            if len(d[0]) > 1:
-                out.append((m.start(2) + d.start(), m.start(2) + d.end(), "."))
+        dots = _local_dots(text, *m.span(1), m[2])
+        if not dots and not _DISGUISE_SIGN.search(text, m.end(1), m.end()):
+            continue
+        out += [(s, e, ".") for s, e in dots]
+        out.append((m.end(1), m.start(2), "@"))
+        out += _dot_edits(text, m.start(2), m.end(2))
     return out
 
 
+def _dot_edits(text: str, start: int, end: int) -> list[tuple[int, int, str]]:
+    return [(d.start(), d.end(), ".") for d in _ANY_DOT.finditer(text, start, end) if len(d[0]) > 1]
+
+
+def _number_edits(text: str) -> list[tuple[int, int, str]]:
+    return [x for m in _DISGUISED_NUMBERS.finditer(text) for x in _dot_edits(text, *m.span())]
+
+
 def deobfuscate(text: str) -> Made | None:
     """The text with disguises undone, each character with its source range; None where there is nothing to undo."""
     made: Made | None = None
     current = text
-    for sign, edits_of in ((None if text.isascii() else _LOOKALIKE, _lookalike_edits), (_MANY_SPELLED, _spelled_edits), (_DISGUISE_SIGN, _address_edits)):
+    for sign, edits_of in ((None if text.isascii() else _LOOKALIKE, _lookalike_edits), (_SOME_SPELLED, _spelled_edits), (_DISGUISE_SIGN, _address_edits), (_DISGUISE_SIGN, _number_edits)):
         if sign is not None and sign.search(current) and (edits := edits_of(current)):
             made = _rewrite(made if made is not None else _identity(text), edits)
             current = "".join(c for c, _, _ in made)

@@ -196,6 +196,39 @@ def test_added_spans_reach_beyond_base_spans():
     assert pii.find("a@b.co, naïvе") == (brute_spans("a@b.co, naïvе"), [])
 
 
+def test_gates_and_edits_cover_the_whole_disguise():
+    whole = {
+        "write to me at {jane dot doe at example dot com} now": "email",
+        "{jane[dot]doe[at]example[dot]com}": "email",
+        "so {jane (dot) x (dot) doe@example.com}.": "email",
+        "à {jean point dupont at exemple point fr}": "email",
+        "mail {joe at example dot com} at noon": "email",
+        "call {plus four 9 three 0 one 2 three 4 five 6}": "phone",
+        "call {+ four 9 3 one 0 3 zero 4 5 6 2 nine} now": "phone",
+        "host {192[.]168[.]1[.]1} up": "ip",
+        "host {10 dot 0 dot 0 dot 1}, up": "ip",
+        "host {10(dot)0.0 [dot] 1}": "ip",
+    }
+    for marked, kind in whole.items():
+        text, start, end = marked.replace("{", "").replace("}", ""), marked.index("{"), marked.index("}") - 1
+        base, added = pii.find(text)
+        assert (kind, start, end) in added, (text, base, added)
+        clean = pii.redact(text, pii.in_order([*base, *added]))
+        assert clean == f"{text[:start]}[{kind.upper()}]{text[end:]}", clean
+    for text in ("300 dot 0 dot 0 dot 1", "the point made at example.com", "1 dot 2 dot 3", "one 2 three 4 five"):
+        assert pii.find(text) == ([], []), text
+    text = "our contact point jane@example.com"
+    assert pii.find(text) == ([("email", 18, 34)], [])
+    assert pii.find("a dot " * 20_000) == pii.find("1 dot " * 3) == ([], [])
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["one", "zwei", "trois", "4", "5", "nine"]), st.sampled_from([" ", "-", ", "])), min_size=7, max_size=14), st.sampled_from(["", "plus", "+ "]))
+def test_the_gate_of_spelled_digits_misses_none(parts, sign):
+    text = sign + "".join(w + gap for w, gap in parts)
+    assert pii._SOME_SPELLED.search(text) or not pii._spelled_edits(text)
+
+
 def test_pii_query(spark, small):
     got = {r["doc_id"]: r for r in queries.QUERIES["op10_pii"](spark, small).collect()}
     told = lambda spans: ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
