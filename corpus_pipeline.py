@@ -17,7 +17,7 @@ ORACLE_SQL = None
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language cannot be told (no text, or no letter in it) go."""
+    """Documents whose language cannot be told go: no text, no letter in it, or a score of the model below langid.LEAST_SCORE."""
     return langid.accepted(docs)
 
 

@@ -43,6 +43,18 @@ def test_texts_without_letters_are_undetermined(spark):
     assert all(r["lang_pred"] == "und" for r in langid.predict(docs, None).collect())
 
 
+def test_the_model_decides_which_documents_stay(spark):
+    docs = spark.read.parquet(f"{D}/documents.parquet").select("doc_id", "text", "lang")
+    junk = ["1234 a 5555", "972ab68b", "ieqh524yng5by1a2rogubbb8ayn1b7o259owoo3s", "1" * 300 + " k"]
+    mixed = docs.unionByName(spark.createDataFrame([(-1 - i, t, None) for i, t in enumerate(junk)], "doc_id long, text string, lang string"))
+    kept = {r["doc_id"] for r in langid.accepted(mixed).select("doc_id").collect()}
+    assert not any(i < 0 for i in kept)
+    clean = [r["doc_id"] for r in docs.collect() if langid.has_letter(r["text"]) and len(r["text"]) >= 20]
+    assert sum(i in kept for i in clean) >= 0.995 * len(clean)
+    unlabelled = spark.createDataFrame([(1, "words", None), (2, "12", None), (3, None, None), (4, "é 1", None)], "doc_id long, text string, lang string")
+    assert {r["doc_id"] for r in langid.accepted(unlabelled).collect()} == {1, 4}
+
+
 @pytest.mark.parametrize("module,label", [(quality, "quality"), (toxicity, "toxic")])
 def test_scores_without_enough_labels(spark, module, label):
     docs = spark.createDataFrame([(1, "a b", "s"), (1, "a b", "s"), (None, None, "s"), (3, "x" * 100_000, None)], "doc_id long, text string, score string")
