@@ -350,6 +350,15 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ra
     return named.unionByName(nameless)
 
 
+def weighted(docs: DataFrame, weight_col: str, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, block_rows: int = 4096) -> DataFrame:
+    """The rows of a bounded table, one broadcast row a fingerprint, with 1 / the rows of their component as ``weight_col``."""
+    prints, members = _members(docs, id_col, text_col, radius, block_rows)
+    sizes = prints.join(members, "fp").groupBy("root").agg((1 / F.count(F.lit(1))).alias(weight_col))
+    (name,) = unused(docs.columns, "__fp")
+    of = members.join(sizes, "root").select(F.col("fp").alias(name), weight_col)
+    return _with_print(docs, text_col, name).join(F.broadcast(of), name).drop(name)
+
+
 def _with_print(docs: DataFrame, text_col: str, name: str) -> DataFrame:
     """The rows with their fingerprint as the column ``name``, which is none of theirs."""
     at = docs.columns.index(text_col)

@@ -21,6 +21,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from recordmill.llm import simhash
 from recordmill.llm.common import hash_fraction, held_out, one_label, ship, stash, table
 
 #: Training documents of each class from which the lexicon is learned, and labelled rows for trees and calibration.
@@ -126,34 +127,38 @@ class Lexicon:
 
 
 def _term_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct words (kind w) and stems (kind s) of each document, with its label."""
+    """Distinct words (kind w) and stems (kind s) of each document, with its label and weight."""
     for b in batches:
-        kinds, terms, labels = [], [], []
-        for text, label in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+        kinds, terms, labels, weights = [], [], [], []
+        for text, label, weight in zip(*(b.column(i).to_pylist() for i in range(3))):
             distinct = set(tokens(text))
             stems = {w[:STEM] for w in distinct if len(w) > STEM}
             terms += [*distinct, *stems]
             kinds += ["w"] * len(distinct) + ["s"] * len(stems)
             labels += [label] * (len(distinct) + len(stems))
-        yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(terms, pa.binary()), pa.array(labels, pa.int32())], names=["kind", "term", "label"])
+            weights += [weight] * (len(distinct) + len(stems))
+        columns = [pa.array(kinds, pa.string()), pa.array(terms, pa.binary()), pa.array(labels, pa.int32()), pa.array(weights, pa.float64())]
+        yield pa.RecordBatch.from_arrays(columns, names=["kind", "term", "label", "weight"])
 
 
 def learn_lexicon(docs: DataFrame, training: DataFrame, sizes: dict[int, int]) -> Lexicon:
     """Words and stems whose log-odds for toxic documents are high, each seen in enough of them.
 
-    Documents with an equal opening count once, so that a group of copies doesn't make its own words look toxic.
+    Near-duplicates of one label (SimHash components) share the weight of one document, so that a group of copies doesn't
+    make its own words look toxic; no document of the sample is left out, and sums are rounded to be equal in every run.
     """
     share = F.when(F.col("label") == 1, min(0.5, LEXICON_ROWS / max(sizes.get(1, 0), 1))).otherwise(min(0.5, LEXICON_ROWS / max(sizes.get(0, 0), 1)))
     chosen = training.where(hash_fraction("doc_id") < share)  # at most about LEXICON_ROWS of each class, so small enough to broadcast
-    sample = docs.join(F.broadcast(chosen), "doc_id").select("text", "label").dropDuplicates(["text"])
-    sample = sample.withColumn("opening", F.left("text", F.lit(40))).dropDuplicates(["opening"]).select("text", "label")
-    sample = stash(sample, "lexicon-sample")
-    n = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
+    sample = stash(docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label"), "lexicon-sample")
+    parts = [simhash.weighted(sample.where(F.col("label") == label), "weight", "doc_id") for label in (0, 1)]
+    sample = stash(parts[0].unionByName(parts[1]).select("text", "label", "weight"), "lexicon-weights")
+    n = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.round(F.sum("weight"), 6).alias("n")).collect()}
     pos, neg = n.get(1, 0), n.get(0, 0)
     if not pos or not neg:
         return Lexicon({}, {})
-    counts = sample.mapInArrow(_term_batches, "kind string, term binary, label int").groupBy("kind", "term")
-    counts = counts.agg(F.sum("label").alias("pos"), F.sum(1 - F.col("label")).alias("neg"))
+    counts = sample.mapInArrow(_term_batches, "kind string, term binary, label int, weight double").groupBy("kind", "term")
+    total = lambda label: F.round(F.sum(F.when(F.col("label") == label, F.col("weight")).otherwise(0.0)), 6)
+    counts = counts.agg(total(1).alias("pos"), total(0).alias("neg"))
     odds = F.log((F.col("pos") + 0.5) / (pos + 1)) - F.log((F.col("neg") + 0.5) / (neg + 1))
     least = max(5, pos // 400)
     strong = counts.where(F.col("pos") >= least).withColumn("odds", odds).where("odds > 2.5")

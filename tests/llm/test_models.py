@@ -2,6 +2,7 @@
 
 import gzip
 import io
+import random
 
 import duckdb
 import pytest
@@ -65,6 +66,19 @@ def test_scores_without_enough_labels(spark, module, label):
     assert module.score(docs.limit(0), one).count() == 0
 
 
+def test_the_lexicon_reads_beyond_a_common_opening(spark):
+    rnd = random.Random(3)
+    prose = lambda: " ".join("".join(rnd.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(40))
+    header = "Posted on the public board of the town, all rights reserved: "
+    rows = [(i, header + prose() + (" zorgle" if i % 2 else ""), i % 2) for i in range(400)]
+    copied = "kopiert " + prose()
+    rows += [(400 + i, f"{copied} {i}", 1) for i in range(100)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    training = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, label int")
+    found = [toxicity.learn_lexicon(docs.repartition(n), training, {0: 200, 1: 300}).words for n in (2, 7)]
+    assert b"zorgle" in found[0] and b"kopiert" not in found[0] and found[0] == found[1]
+
+
 def test_statistics_and_features_are_finite():
     lexicon = toxicity.Lexicon({b"clown": 3.0}, {b"lowei": 4.0})
     for text in (None, "", " ", "a", "\x00", "é" * 1000, "A!" * 50_000, "you clown loweiab 1d10t i d i o t"):
