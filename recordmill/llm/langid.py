@@ -2,8 +2,9 @@
 
 Features are hashed byte trigrams of the lower-cased text with everything but letters blanked. A multinomial logistic
 model tells the families apart; for each pair of languages of one family a linear support vector machine casts a vote.
-Both are trained by Spark ML on a bounded, language-balanced sample of training documents. Scoring is one pass in which
-the text stays in its partition.
+Both are trained in Spark on a language-balanced sample of training documents, bounded for each language: the logistic
+model by Spark ML, the machines in one task for each two blocks of a family's languages, by dual coordinate descent.
+Scoring is one pass in which the text stays in its partition.
 """
 
 from __future__ import annotations
@@ -11,11 +12,11 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import combinations
+from itertools import combinations, product
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.classification import LinearSVC, LogisticRegression
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,8 +29,10 @@ WIDTH = 2048
 LEAST_SCORE = 0.5
 #: Training documents of each language, at most about this many.
 ROWS_PER_LANGUAGE = 1500
-#: Languages learned, the most frequent ones.
-MOST_LANGUAGES = 200
+#: Languages of a family in a block; a task trains the pairs of two blocks.
+BLOCK = 4
+#: Regularisation of the machines, and passes over their rows.
+REG, PASSES = 1e-4, 15
 
 # Language families by ISO 639-1 code; a code not named here is a family of its own.
 FAMILIES = {
@@ -115,46 +118,88 @@ class Model:
 
 def _feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        rows = [trigrams(t) for t in b.column(1).to_pylist()]
+        rows = [trigrams(t) for t in b.column(3).to_pylist()]
         offsets = pa.array(np.arange(len(rows) + 1, dtype=np.int32) * WIDTH)
         flat = np.concatenate(rows) if rows else np.zeros(0, np.float32)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(offsets, pa.array(flat))], names=["lang", "x"])
+        yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.ListArray.from_arrays(offsets, pa.array(flat))], names=["family", "place", "turn", "x"])
+
+
+def svm(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
+    """Weights and offset of a linear machine with hinge loss for labels -1 and 1, by dual coordinate descent in a fixed order."""
+    w, c = np.zeros(x.shape[1], np.float32), 0.0
+    if not len(y) or (y == y[0]).all():
+        return w, float(y[0]) if len(y) else 0.0
+    most, alpha, square = 1 / (REG * len(y)), np.zeros(len(y)), (x * x).sum(axis=1) + 1.0
+    order = np.random.default_rng(7)
+    for _ in range(PASSES):
+        for i in order.permutation(len(y)).tolist():
+            new = min(max(alpha[i] - (y[i] * (float(x[i] @ w) + c) - 1) / square[i], 0.0), most)
+            if new != alpha[i]:
+                step = float((new - alpha[i]) * y[i])
+                w += np.float32(step) * x[i]
+                c += step
+                alpha[i] = new
+    return w, c
+
+
+def _pair_trainer(sizes: list[int]):
+    """For the rows of a family's blocks p and q: the machines of all pairs of p with q, of p within itself where they are one."""
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        of, p, q = (k.as_py() for k in key)
+        rows = rows.combine_chunks().sort_by([("turn", "ascending"), ("place", "ascending")])
+        place = rows["place"].to_numpy()
+        x = pa.concat_arrays(rows["x"].chunks).flatten().to_numpy().reshape(-1, WIDTH)
+        block = lambda k: range(k * BLOCK, min((k + 1) * BLOCK, sizes[of]))
+        out = []
+        for i, j in combinations(block(p), 2) if p == q else product(block(p), block(q)):
+            two = np.flatnonzero((place == i) | (place == j))
+            w, c = svm(x[two], np.where(place[two] == j, 1.0, -1.0))
+            out.append({"family": of, "i": i, "j": j, "w": w.tobytes(), "c": c})
+        return pa.Table.from_pylist(out, pa.schema([("family", pa.int32()), ("i", pa.int32()), ("j", pa.int32()), ("w", pa.binary()), ("c", pa.float64())]))
+
+    return run
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
-    """Learn from documents not on crc32 remainder 0 of 5 with a text and a language; None where there are none."""
+    """Learn every language of the documents not on crc32 remainder 0 of 5 with a text and a language; None where there are none."""
     ship(docs.sparkSession)
     rows = docs.where(~held_out(id_col, 5, 0) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = rows.groupBy(F.col(lang_col).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
+    counts = {r["lang"]: r["count"] for r in rows.groupBy(F.col(lang_col).alias("lang")).count().collect()}
     if not counts:
         return None
-    langs = sorted(r["lang"] for r in counts)
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, ROWS_PER_LANGUAGE / r["count"]))])
-    sample = rows.where(hash_fraction(id_col) < F.coalesce(share[F.col(lang_col)], F.lit(0.0))).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    made = stash(sample.mapInArrow(_feature_batches, "lang string, x array<float>"), "language-sample")
-    vectors = made.select("lang", array_to_vector("x").alias("features")).persist()
-    try:
-        members: dict[str, list[str]] = {}
-        for lang in langs:
-            members.setdefault(family(lang), []).append(lang)
-        names = sorted(members)
-        weights, offsets = np.zeros((len(names), WIDTH)), np.zeros(len(names))
-        if len(names) > 1:
-            at = F.create_map(*[F.lit(x) for lang in langs for x in (lang, float(names.index(family(lang))))])
-            model = LogisticRegression(maxIter=25, regParam=1e-4, standardization=False, family="multinomial").fit(vectors.select("features", at[F.col("lang")].alias("label")))
-            learned = model.coefficientMatrix.toArray()  # the last families may have no row in the sample
-            weights[: len(learned)], offsets[: len(learned)] = learned, model.interceptVector.toArray()
-            offsets[len(learned) :] = -1e9
-        pairs: dict[str, list[tuple[int, int, np.ndarray, float]]] = {}
-        for name, own in members.items():
-            pairs[name] = []
-            for (i, a), (j, b) in combinations(enumerate(own), 2):
-                two = vectors.where(F.col("lang").isin(a, b)).select("features", (F.col("lang") == b).cast("double").alias("label"))
-                svm = LinearSVC(maxIter=25, regParam=1e-4, standardization=False).fit(two)
-                pairs[name].append((i, j, svm.coefficients.toArray(), float(svm.intercept)))
-        return Model(names, weights, offsets, members, pairs)
-    finally:
-        vectors.unpersist()
+    members: dict[str, list[str]] = {}
+    for lang in sorted(counts):
+        members.setdefault(family(lang), []).append(lang)
+    names = sorted(members)
+    sizes = [len(members[n]) for n in names]
+    told = [(lang, min(1.0, ROWS_PER_LANGUAGE / counts[lang]), f, i) for f, n in enumerate(names) for i, lang in enumerate(members[n])]
+    told = docs.sparkSession.createDataFrame(told, "lang string, share double, family int, place int")  # a row a language
+    sample = rows.select(F.col(lang_col).alias("lang"), F.xxhash64(id_col).alias("turn"), hash_fraction(id_col).alias("at"), F.col(text_col).alias("text"))
+    sample = sample.join(F.broadcast(told), "lang").where("at < share").select("family", "place", "turn", "text")
+    made = stash(sample.mapInArrow(_feature_batches, "family int, place int, turn long, x array<float>"), "language-sample")
+    weights, offsets = np.zeros((len(names), WIDTH)), np.zeros(len(names))
+    if len(names) > 1:
+        vectors = made.select(array_to_vector("x").alias("features"), F.col("family").cast("double").alias("label")).persist()
+        try:
+            model = LogisticRegression(maxIter=25, regParam=1e-4, standardization=False, family="multinomial").fit(vectors)
+        finally:
+            vectors.unpersist()
+        learned = model.coefficientMatrix.toArray()  # the last families may have no row in the sample
+        weights[: len(learned)], offsets[: len(learned)] = learned, model.interceptVector.toArray()
+        offsets[len(learned) :] = -1e9
+    pairs: dict[str, list[tuple[int, int, np.ndarray, float]]] = {n: [] for n in names}
+    several = [(f, k, [[min(k, o), max(k, o)] for o in range(-(-n // BLOCK))]) for f, n in enumerate(sizes) if n > 1 for k in range(-(-n // BLOCK))]
+    if several:
+        where = docs.sparkSession.createDataFrame(several, "family int, block int, tasks array<array<int>>")
+        dealt = made.withColumn("block", F.floor(F.col("place") / BLOCK).cast("int")).join(F.broadcast(where), ["family", "block"]).withColumn("task", F.explode("tasks"))
+        dealt = dealt.select("family", F.col("task")[0].alias("p"), F.col("task")[1].alias("q"), "place", "turn", "x")
+        trained = dealt.groupBy("family", "p", "q").applyInArrow(_pair_trainer(sizes), "family int, i int, j int, w binary, c double")
+        for r in trained.collect():
+            pairs[names[r["family"]]].append((r["i"], r["j"], np.frombuffer(r["w"], np.float32), r["c"]))
+    for own in pairs.values():
+        own.sort(key=lambda x: x[:2])
+    return Model(names, weights, offsets, members, pairs)
 
 
 def predict(docs: DataFrame, model: Model | None, text_col: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:

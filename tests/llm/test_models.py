@@ -56,6 +56,19 @@ def test_the_model_decides_which_documents_stay(spark):
     assert {r["doc_id"] for r in langid.accepted(unlabelled).collect()} == {1, 4}
 
 
+def test_every_language_is_learned(spark):
+    rows = [(f"{k}-{i}", f"{chr(97 + k % 26)}{chr(97 + k // 26)}q " * 8, f"x{k}") for k in range(210) for i in range(3 if k == 209 else 5)]
+    rows += [(f"r{k}-{i}", f"z{chr(97 + k)}w " * 8, f"en-{k}") for k in range(6) for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, lang string")
+    model = langid.fit(docs)
+    trained = {r["lang"] for r in docs.where(~langid.held_out("doc_id", 5, 0)).select("lang").collect()}
+    assert {x for langs in model.languages.values() for x in langs} == trained and len(trained) > 200
+    regional = len(model.languages["germanic"])
+    assert [x[:2] for x in model.pairs["germanic"]] == [(i, j) for i in range(regional) for j in range(i + 1, regional)]
+    got = [(r["lang"], r["lang_pred"]) for r in langid.predict(docs, model).collect() if r["lang"] in trained]
+    assert sum(a == b for a, b in got) >= 0.9 * len(got) and ("x209", "x209") in got
+
+
 @pytest.mark.parametrize("module,label", [(quality, "quality"), (toxicity, "toxic")])
 def test_scores_without_enough_labels(spark, module, label):
     docs = spark.createDataFrame([(1, "a b", "s"), (1, "a b", "s"), (None, None, "s"), (3, "x" * 100_000, None)], "doc_id long, text string, score string")
