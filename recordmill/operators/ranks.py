@@ -145,7 +145,7 @@ def kruskal(df: DataFrame, features: list[str], ids: list[str], target: str = "m
     n = F.col("n")
     h = F.try_divide(F.lit(12.0) / (n * (n + 1)) * F.col("s") - 3 * (n + 1), 1 - F.try_divide(F.col("tied"), n * n * n - n))
     tests = per.join(tied, "feature").withColumn("h", F.when(F.col("k") > 1, h))
-    tests = tests.withColumn("p", F.when(F.col("k") == 3, F.exp(-F.col("h") / 2)).otherwise(_chi2_tails("h", F.col("k") - 1)) if len(classes) != 3 else F.when(F.col("k") == 3, F.exp(-F.col("h") / 2)))
+    tests = tests.withColumn("p", F.when(F.col("k") == 3, F.exp(-F.col("h") / 2)).otherwise(_chi2_tails("h", F.col("k") - 1)))
     tests = holm(tests, "p").withColumn("epsilon_sq", epsilon_squared(F.col("h"), n))
     e, p = F.col("epsilon_sq"), F.col("p_holm")
     magnitude = F.when(e < 0.01, "negligible").when(e < 0.08, "small").when(e < 0.26, "medium").when(e.isNotNull(), "large")

@@ -136,6 +136,10 @@ def test_ranks_and_tests_against_numpy(spark):
     assert math.isclose(sum(r["explained"] for r in variance.collect()), 1) and scores.count() == sum(r[3] is not None for r in rows)
     constant = spark.createDataFrame([(i, "focal" if i % 2 else "background", 1.0) for i in range(6)], "id long, macro_class string, x double")
     assert ranks.kruskal(constant, ["x"], ["id"]).first()["h"] is None
+    two = spark.createDataFrame([(i, "focal" if i % 2 else "background", float(i + 10 * (i % 2)), float(i)) for i in range(20)] + [(20, "generalized", None, 3.0)], "id long, macro_class string, x double, y double")
+    got = {r["feature"]: r for r in ranks.kruskal(two, ["x", "y"], ["id"]).collect()}
+    assert got["x"]["k"] == 2 and abs(got["x"]["p"] - ranks.chi2_tail(got["x"]["h"], 1)) < 1e-12
+    assert got["x"]["p_holm"] == min(1.0, 2 * got["x"]["p"]) and got["x"]["h_text"].endswith("*") and got["y"]["k"] == 3
 
 
 def test_mutual_information_against_numpy(spark):
