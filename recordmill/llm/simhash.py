@@ -335,19 +335,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, block_rows: int = 4096) -> DataFrame:
     """The input's rows and columns, whatever they are named, one row of each component: that with the smallest id, of repeated rows any one.
 
-    A component in which no row has an id keeps one of its rows too.
+    A component in which no row has an id keeps one of its rows too. An id whose rows fall in several components stands
+    for each of those of which it is the smallest, by a row of that very component.
     """
     prints, members = _members(docs, id_col, text_col, radius, block_rows)
-    kept_id, n, print_col, root = unused(docs.columns, "__kept", "__n", "__fp", "__root")
-    kept = prints.join(members, "fp").where("id = component_id").select(F.col("id").alias(kept_id)).distinct()
-    named = docs.join(kept, F.col(id_col) == F.col(kept_id), "left_semi")
+    kept_id, n, print_col, root, component = unused(docs.columns, "__kept", "__n", "__fp", "__root", "__component")
+    ids = prints.where("id is not null").join(members, "fp").groupBy(F.col("id").alias(kept_id))
+    ids = stash(ids.agg(F.max(F.col("id") == F.col("component_id")).alias("least"), (F.min("root") != F.max("root")).alias("spread")).where("least"), "kept")
+    named = docs.join(ids.where("not spread").select(kept_id), F.col(id_col) == F.col(kept_id), "left_semi")
     first = Window.partitionBy(id_col).orderBy(F.xxhash64(text_col))
     named = named.withColumn(n, F.row_number().over(first)).where(F.col(n) == 1).drop(n)
-    nameless = _with_print(docs.where(F.col(id_col).isNull()), text_col, print_col)
+    spread = stash(ids.where("spread").select(kept_id), "spread")  # so few as a rule that Spark broadcasts them
+    others = docs.join(spread, F.col(id_col) == F.col(kept_id), "left_semi").unionByName(docs.where(F.col(id_col).isNull()))
+    of = members.select(F.col("fp").alias(print_col), F.col("root").alias(root), F.col("component_id").alias(component))
+    others = _with_print(others, text_col, print_col).join(of, print_col).where(F.col(id_col).eqNullSafe(F.col(component)))
     least = Window.partitionBy(root).orderBy(print_col)
-    nameless = nameless.join(members.where("component_id is null").select(F.col("fp").alias(print_col), F.col("root").alias(root)), print_col)
-    nameless = nameless.withColumn(n, F.row_number().over(least)).where(F.col(n) == 1).select(*quoted(docs.columns))
-    return named.unionByName(nameless)
+    others = others.withColumn(n, F.row_number().over(least)).where(F.col(n) == 1).select(*quoted(docs.columns))
+    return named.unionByName(others)
 
 
 def weighted(docs: DataFrame, weight_col: str, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, block_rows: int = 4096) -> DataFrame:

@@ -99,6 +99,15 @@ def test_long_chains_become_one_component(spark):
     assert set(got.values()) == {-40, 100} and len(got) == 104
 
 
+def test_keep_one_of_ids_in_several_components(spark):
+    texts = [" ".join(f"{c}{i}" for i in range(60)) for c in "abcdefgh"]
+    rows = [(0, texts[0])] + [(1, t) for t in texts] + [(2, texts[1]), (3, texts[2]), (None, texts[3])]
+    for swap in (1, -1):
+        docs = spark.createDataFrame(rows[::swap], "doc_id long, text string")
+        kept = sorted((r["doc_id"], r["text"]) for r in simhash.keep_one(docs).collect())
+        assert kept == [(0, texts[0])] + [(1, t) for t in texts[1:]]
+
+
 def test_keep_one_keeps_columns_and_one_row_of_each_group(spark):
     docs = spark.createDataFrame([(1, "a b c d e", "p"), (1, "a b c d e", "p"), (2, "a b c d e", "q"), (None, "x y z w v u", "r"), (None, "a b c d e", "s"), (7, None, "t"), (8, "", "u")], "doc_id long, text string, fp string")
     kept = simhash.keep_one(docs)
