@@ -1,28 +1,69 @@
-"""Tables written once, and running sums that no single task has to hold."""
+"""Tables written once, running sums and exact quantiles that no single task has to hold, joins with hot keys."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Relative accuracy of the sketch that brackets a quantile, and the rows of a group below which no bracket is drawn.
+ACCURACY, LEAST_BRACKETED = 10_000, 20_000
 
-def stash(df: DataFrame, name: str) -> DataFrame:
-    """Write to the folder that the cluster shares (spark.checkpoint.dir; a temporary one only if unset) and read again."""
-    spark = df.sparkSession
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, spark.checkpoint.dir. Only a local session may do without: it gets a temporary one."""
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         place = "file://" + tempfile.mkdtemp(prefix="recordmill-")
         spark.conf.set("spark.checkpoint.dir", place)
-    path = f"{place.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return place.rstrip("/")
+
+
+def _file_system(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    place, fs = _file_system(spark, path)
+    return fs.exists(place)
+
+
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Delete tables that nothing will read again."""
+    for path in paths:
+        place, fs = _file_system(spark, path)
+        fs.delete(place, True)
+
+
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A new path in this application's folder below the shared one, which is deleted when the driver's JVM ends."""
+    folder = f"{shared_dir(spark)}/recordmill-{spark.sparkContext.applicationId}"
+    place, fs = _file_system(spark, folder)
+    if not fs.exists(place):
+        fs.mkdirs(place)
+        fs.deleteOnExit(place)
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """The rows written once to the shared folder and read again, and the path: cuts lineage and survives lost executors."""
+    spark = df.sparkSession
+    path = fresh_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
-def running_sum(df: DataFrame, keys: list[str], order: list[str], amount: str, name: str) -> DataFrame:
-    """``df`` with ``name``: the sum of ``amount`` over the rows of the same keys up to and with this one.
+def stash(df: DataFrame, name: str) -> DataFrame:
+    return written(df, name)[0]
+
+
+def running_sums(df: DataFrame, keys: list[str], order: list[str], amounts: dict[str, str]) -> DataFrame:
+    """``df`` with, for each amount, a column of the given name: its sum over the rows of the same keys up to and with this one.
 
     Rows are range-partitioned by keys and order, so that one key may spread over many tasks; each task sums its own rows,
     and the totals of (task, key), a few rows a task, give what has to be added.
@@ -31,8 +72,93 @@ def running_sum(df: DataFrame, keys: list[str], order: list[str], amount: str, n
     dealt = stash(df.repartitionByRange(*cols).sortWithinPartitions(*cols).withColumn("__part", F.spark_partition_id()), "ranged")
     local = Window.partitionBy(*keys, "__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    totals = dealt.groupBy(*keys, "__part").agg(F.sum(amount).alias("__total")).withColumn("__before", F.coalesce(F.sum("__total").over(before), F.lit(0))).drop("__total")
-    return dealt.withColumn("__local", F.sum(amount).over(local)).join(totals, [*keys, "__part"]).withColumn(name, F.col("__local") + F.col("__before")).drop("__local", "__before", "__part")
+    totals = dealt.groupBy(*keys, "__part").agg(*[F.sum(a).alias(f"__t_{n}") for a, n in amounts.items()])
+    totals = totals.select(*keys, "__part", *[F.coalesce(F.sum(f"__t_{n}").over(before), F.lit(0)).alias(f"__b_{n}") for n in amounts.values()])
+    sums = dealt.withColumns({f"__l_{n}": F.sum(a).over(local) for a, n in amounts.items()}).join(totals, [*keys, "__part"])
+    return sums.select(*df.columns, *[(F.col(f"__l_{n}") + F.col(f"__b_{n}")).alias(n) for n in amounts.values()])
+
+
+def running_sum(df: DataFrame, keys: list[str], order: list[str], amount: str, name: str) -> DataFrame:
+    return running_sums(df, keys, order, {amount: name})
+
+
+def _between(probability: float, n: Column) -> tuple[Column, Column, Column]:
+    """The 1-based places of the two rows about a quantile, and the weight of the second."""
+    at = (n - 1) * F.lit(float(probability))
+    low = F.floor(at).cast("long")
+    return low + 1, F.ceil(at).cast("long") + 1, at - low
+
+
+def mixed(low: Column, high: Column, weight: Column) -> Column:
+    """Linear interpolation between two neighbouring values."""
+    return F.when(low == high, low).otherwise((1 - weight) * low + weight * high)
+
+
+def quantiles(long: DataFrame, keys: list[str], probabilities: list[float], value: str = "value") -> DataFrame:
+    """(keys, n, q): exact quantiles, linearly interpolated, of each group's non-null values; q is an array in the order asked.
+
+    One pass sketches each group within bounded memory and brackets every quantile by values whose ranks are known to
+    lie on either side of it. A second pass counts rows by distinct value within the brackets, a few ten-thousandths of a
+    group, and by gap between them. No row is shuffled otherwise. Groups must be few (features, classes), as a row of
+    each is broadcast.
+    """
+    v = long.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__v"))
+    step = 3 / ACCURACY
+    ends = [min(1.0, max(0.0, p + s)) for p in probabilities for s in (-step, step)]
+    sketch = v.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("__v", ends, ACCURACY).alias("__s"), F.min("__v").alias("__min"), F.max("__v").alias("__max"))
+    n, x = F.col("n"), F.col("__v")
+    bound = {}
+    for i, end in enumerate(ends):
+        whole = (n < LEAST_BRACKETED) | F.lit(end in (0.0, 1.0))
+        bound[f"__e{i}"] = F.when(whole, F.col("__max" if i % 2 else "__min")).otherwise(F.col("__s")[i])
+    sketch = sketch.where("n > 0").withColumns(bound).drop("__s", "__min", "__max")
+    near = v.join(F.broadcast(sketch), keys) if keys else v.crossJoin(F.broadcast(sketch))  # a row a group
+    inside = [x.between(F.col(f"__e{i}"), F.col(f"__e{i + 1}")) for i in range(0, len(ends), 2)]
+    outside = ~F.greatest(*inside, F.lit(False))
+    # A row between the brackets stands after the last bracket below it.
+    gap = F.greatest(F.lit(float("-inf")), *[F.when(F.col(f"__e{i + 1}") < x, F.col(f"__e{i + 1}")).otherwise(float("-inf")) for i in range(0, len(ends), 2)])
+    held = near.select(*keys, "n", F.when(outside, gap).otherwise(x).alias("__v"), outside.alias("__gap")).groupBy(*keys, "n", "__v", "__gap").agg(F.count(F.lit(1)).alias("__m"))
+    held = held.withColumn("__upto", F.sum("__m").over(Window.partitionBy(*keys).orderBy("__v", "__gap").rowsBetween(Window.unboundedPreceding, 0)))
+    spot, pick = F.struct("__v", "__gap"), []
+    for i, p in enumerate(probabilities):
+        first, second, _ = _between(p, n)
+        pick += [F.min(F.when(F.col("__upto") >= place, spot)).alias(f"__q{i}_{side}") for side, place in ((0, first), (1, second))]
+    picked = held.groupBy(*keys, "n").agg(*pick)
+    out = []
+    for i, p in enumerate(probabilities):
+        low, high = F.col(f"__q{i}_0"), F.col(f"__q{i}_1")
+        q = mixed(low["__v"], high["__v"], _between(p, n)[2])
+        # The sketch's bounds are proven; a breach must not pass unseen.
+        out.append(F.when(low["__gap"] | high["__gap"], F.raise_error(F.lit("quantile outside its bracket")).cast("double")).otherwise(q))
+    return picked.select(*keys, "n", F.array(*out).alias("q"))
+
+
+def column_quantiles(df: DataFrame, columns: dict[str, Column], probabilities: list[float]) -> DataFrame:
+    """One row with an array column for each named expression: its exact quantiles, null where it has no value."""
+    names = list(columns)
+    long = df.select(*[c.cast("double").alias(n) for n, c in columns.items()]).unpivot([], names, "feature", "value")
+    found = quantiles(long, ["feature"], probabilities)
+    return found.agg(*[F.max(F.when(F.col("feature") == n, F.col("q"))).alias(n) for n in names])
+
+
+def hot_keys(counts: DataFrame, amount: str, share: int = 2000, least: int = 1000) -> DataFrame:
+    """The rows of ``counts`` (one a key) whose amount is above 1/``share`` of all and above ``least``: at most ``share`` rows."""
+    total = counts.agg(F.sum(amount).alias("__all"))
+    return counts.crossJoin(F.broadcast(total)).where((F.col(amount) > F.col("__all") / share) & (F.col(amount) > least)).drop("__all")  # one row
+
+
+def join_salted(left: DataFrame, right: DataFrame, on: list[str], hot: DataFrame, salt: list[str], salts: int = 64) -> DataFrame:
+    """Inner join of ``left`` with ``right``, which is unique on ``on``; rows of the keys in ``hot`` are spread over ``salts`` tasks.
+
+    ``hot`` has the columns ``on``, at most a few thousand rows (see hot_keys) and is broadcast. The salt is a hash of the
+    left columns ``salt``, so a task that runs again deals its rows alike.
+    """
+    marked = F.broadcast(hot.select(*on).distinct().withColumn("__hot", F.lit(True)))
+    at = F.when(F.col("__hot"), F.pmod(F.xxhash64(*salt), F.lit(salts)).cast("int")).otherwise(0)
+    copies = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    dealt = left.join(marked, on, "left").withColumn("__salt", at).drop("__hot")
+    spread = right.join(marked, on, "left").withColumn("__salt", F.explode(copies)).drop("__hot")
+    return dealt.join(spread, [*on, "__salt"]).drop("__salt")
 
 
 def share(part: Column, whole: Column, factor: float = 100.0) -> Column:
