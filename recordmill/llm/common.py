@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
@@ -13,50 +11,29 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BATCH_ROWS = 1000
+from recordmill.operators.shared import discard, exists, fresh_path, hot_keys, join_salted, shared_dir, stash, written  # noqa: F401
+
+#: Bytes of an Arrow batch that goes to a Python worker, unless one row is larger.
+BATCH_BYTES = 4 << 20
 ROOT = str(Path(__file__).resolve().parents[2])
 
 
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package from the place where the driver found it, and keep their batches small.
+    """Let Python workers import this package from the place where the driver found it, and bound their batches by bytes.
 
     On a cluster the package is installed or passed with --py-files; this only adds the driver's own path, which
-    serves local sessions whose working directory is another one. Arrow batches of documents hold ``BATCH_ROWS`` rows
-    where the session has not been given another number, as Spark's 10,000 whole texts at once take hundreds of MB.
+    serves local sessions whose working directory is another one. Only Spark's default of 64 MB a batch is lowered, as
+    Python objects take several times the bytes; another bound of the session stays, and so does its number of rows.
     """
-    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(size, "10000") == "10000":
-        spark.conf.set(size, str(BATCH_ROWS))
+    size = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(size) == "67108864b":
+        spark.conf.set(size, f"{BATCH_BYTES}b")
     env = spark.sparkContext.environment
     known = env.get("PYTHONPATH", "").split(os.pathsep)
     if ROOT not in known:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, known)])
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where that is unset."""
-    place = spark.conf.get("spark.checkpoint.dir", None)
-    if not place:
-        place = "file://" + tempfile.mkdtemp(prefix="recordmill-")
-        spark.conf.set("spark.checkpoint.dir", place)
-    return place.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def stash(df: DataFrame, name: str) -> DataFrame:
-    """Write once to the shared folder and read again: cuts lineage, survives lost executors, and is read many times.
-
-    Used only for narrow tables (ids, fingerprints, features), never for texts.
-    """
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
