@@ -2,15 +2,17 @@
 
 Base spans come from the plain patterns over the source text. A chain of transducers then rewrites disguises (look-alike
 characters, spelled digits, "at" and "dot" written out) while recording, for each character made, the source range it
-came from; identifiers found in the rewritten text are mapped back to source characters and added where no base span of
-that kind covers them wholly. Texts that hold no disguise at all skip the rewriting.
+came from (two arrays of integers, none where nothing was rewritten); identifiers found in the rewritten text are mapped
+back to source characters and added where no base span of that kind covers them wholly. Texts that hold no disguise at all skip the rewriting.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -95,6 +97,8 @@ _LOOKALIKES |= {chr(0xFF01 + i): chr(0x21 + i) for i in range(94)}  # full-width
 _LOOKALIKES |= {chr(base + i): str(i) for base in (0x0660, 0x06F0, 0x0966, 0x1D7CE, 0x1D7D8, 0x1D7E2, 0x1D7EC, 0x1D7F6) for i in range(10)}  # other digits
 _LOOKALIKES |= {c: "" for c in "\u200b\u200c\u200d\u2060\ufeff\u00ad"}  # characters without width
 _LOOKALIKE = re.compile("[" + re.escape("".join(_LOOKALIKES)) + "]")
+_UNDISGUISED = str.maketrans(_LOOKALIKES)
+_WIDTHLESS = np.array([ord(c) for c, plain in _LOOKALIKES.items() if not plain], np.uint32)
 
 # Digits in words.
 _DIGIT_WORDS = {
@@ -126,25 +130,36 @@ _ANY_DOT = re.compile(_PLAIN_DOT, re.I)
 _LOCAL_DOT = re.compile(_WRITTEN_DOT, re.I)
 _DISGUISE_SIGN = re.compile(r"[\[({<]\s*(?:at|arroba|arobase|@|dot|punkt|point|punto|\.)\s*[\])}>]|\sdot\s|\spunkt\s|\spunto\s|\spoint\s", re.I)
 
-Made = list[tuple[str, int, int]]  # what stands there now, and the source range it came from
 
-
-def _identity(text: str) -> Made:
-    return [(c, i, i + 1) for i, c in enumerate(text)]
-
-
-def _rewrite(made: Made, edits: list[tuple[int, int, str]]) -> Made:
-    """Replace ranges of the current text; every new character carries the source range of the whole replaced run."""
-    out, at = [], 0
-    for s, e, new in edits:
-        out += made[at:s]
-        out += [(c, made[s][1], made[e - 1][2]) for c in new]
-        at = e
-    return out + made[at:]
-
-
-def _lookalike_edits(text: str) -> list[tuple[int, int, str]]:
-    return [(m.start(), m.end(), _LOOKALIKES[m[0]]) for m in _LOOKALIKE.finditer(text)]
+class Made:
+    """A rewritten text, and for each of its characters the source range that it came from."""
+
+    def __init__(self, text: str):
+        """Look-alikes undone: one character each, or none, so that ranges are single characters of the source."""
+        self.text = text.translate(_UNDISGUISED)
+        if len(self.text) == len(text):
+            self.starts = np.arange(len(text), dtype=np.int32)
+        else:
+            codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+            self.starts = np.flatnonzero(~np.isin(codes, _WIDTHLESS)).astype(np.int32)
+        self.ends = self.starts + 1
+
+    def rewrite(self, edits: list[tuple[int, int, str]]) -> None:
+        """Replace ranges, given in order and apart, each by a text whose every character carries the whole range's source."""
+        s, e = np.array([x[0] for x in edits]), np.array([x[1] for x in edits])
+        sizes = np.array([len(x[2]) for x in edits])
+        cover = np.zeros(len(self.text) + 1, np.int8)
+        cover[s] += 1
+        cover[e] -= 1
+        kept = np.flatnonzero(np.cumsum(cover[:-1]) == 0)
+        order = np.argsort(np.concatenate([kept, np.repeat(s, sizes)]), kind="stable")
+        self.starts = np.concatenate([self.starts[kept], np.repeat(self.starts[s], sizes)])[order]
+        self.ends = np.concatenate([self.ends[kept], np.repeat(self.ends[e - 1], sizes)])[order]
+        out, at = [], 0
+        for start, end, new in edits:
+            out += [self.text[at:start], new]
+            at = end
+        self.text = "".join([*out, self.text[at:]])
 
 
 def _spelled_edits(text: str) -> list[tuple[int, int, str]]:
@@ -196,13 +211,13 @@ def _number_edits(text: str) -> list[tuple[int, int, str]]:
 
 
 def deobfuscate(text: str) -> Made | None:
-    """The text with disguises undone, each character with its source range; None where there is nothing to undo."""
-    made: Made | None = None
-    current = text
-    for sign, edits_of in ((None if text.isascii() else _LOOKALIKE, _lookalike_edits), (_SOME_SPELLED, _spelled_edits), (_DISGUISE_SIGN, _address_edits), (_DISGUISE_SIGN, _number_edits)):
-        if sign is not None and sign.search(current) and (edits := edits_of(current)):
-            made = _rewrite(made if made is not None else _identity(text), edits)
-            current = "".join(c for c, _, _ in made)
+    """The text with disguises undone; None where there is nothing to undo."""
+    made = Made(text) if not text.isascii() and _LOOKALIKE.search(text) else None
+    for sign, edits_of in ((_SOME_SPELLED, _spelled_edits), (_DISGUISE_SIGN, _address_edits), (_DISGUISE_SIGN, _number_edits)):
+        current = made.text if made else text
+        if sign.search(current) and (edits := edits_of(current)):
+            made = made or Made(text)
+            made.rewrite(edits)
     return made
 
 
@@ -213,11 +228,12 @@ def find(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str,
     made = deobfuscate(text)
     if made is None:
         return base, []
-    taken = {k: [(s, e) for kind, s, e in base if kind == k] for k in KINDS}
+    taken = {k: [(s, e) for kind, s, e in base if kind == k] for k in KINDS}  # apart and in order, within a kind
     added = []
-    for kind, s, e in detect("".join(c for c, _, _ in made)):
-        s, e = made[s][1], made[e - 1][2]
-        if not any(a <= s and e <= b for a, b in taken[kind]):
+    for kind, s, e in detect(made.text):
+        s, e = int(made.starts[s]), int(made.ends[e - 1])
+        at = bisect_right(taken[kind], s, key=lambda x: x[0])
+        if not at or taken[kind][at - 1][1] < e:
             added.append((kind, s, e))
     return base, in_order(added)
 
