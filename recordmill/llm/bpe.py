@@ -32,9 +32,12 @@ from recordmill.llm.common import map_batches, ship, table, without
 
 REMEMBERED = 400_000
 WORDS_A_QUERY = 20_000
-#: Words longer than this go through the query one at a time, so that the rows of a query stay few.
+#: Words longer than this go through a query of their own, one at a time, and are not remembered.
 LONG_WORD = 256
 
+# Fixed value: the split pattern for which cutting at blanks is proven; with any other, texts are split plainly.
+WHOLE_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
 ENCODE = """
 with recursive t(k, w, g, id) as (
   select 0, w, g, id from tokens
@@ -57,6 +60,48 @@ last as (select w, max(k) k from t group by w)
 select t.w, t.id from t join last using (w, k) order by t.g
 """
 
+#: The same for one long word, in far fewer rounds. A round contracts every pair whose rank is the least within ``reach``
+#: bytes on either side, where reach is three times the longest token that occurs in the word. That gives what one
+#: contraction at a time would give: a token that a lower pair farther off could grow into is too short to come near
+#: (it is a token that occurs), so nothing touches the pair before its turn. Of equal pairs that overlap, every second
+#: one from the left counts. Equal pairs in reach go together unless what one of them makes could merge with a neighbour
+#: at no higher rank ("rough"); then only the first of them goes. Rows that are gone have the id -1; the recursion keeps
+#: one state, not all.
+ENCODE_LONG = """
+with recursive t(g, id) using key (g) as (
+  select g, id from tokens
+  union
+  (with live as (
+     select g, id, lag(id) over o before_id, lead(g) over o next_g, lead(id) over o next_id, lead(id, 2) over o after_id
+     from recurring.t where id >= 0 window o as (order by g)),
+   pairs as (
+     select live.*, m.id merged from live left join merges m on m.pair = live.id::bigint << 32 | live.next_id),
+   near as (
+     select *, lag(merged) over (order by g) previous,
+            min(merged) over (order by g range between {reach} preceding and 1 preceding) least_before,
+            min(merged) over (order by g range between current row and {reach} following) least_after
+     from pairs),
+   tested as (
+     select n.g, n.next_g, n.merged, n.previous, n.least_before, n.least_after,
+            case when least(a.id, b.id, c.id) <= n.merged then n.merged end rough
+     from near n left join merges a on a.pair = case when n.merged = n.least_after then n.before_id::bigint << 32 | n.merged end
+                 left join merges b on b.pair = case when n.merged = n.least_after then n.merged::bigint << 32 | n.after_id end
+                 left join merges c on c.pair = case when n.merged = n.least_after then n.merged::bigint << 32 | n.merged end
+     where n.merged is not null),
+   runs as (
+     select g, next_g, merged, merged = least_after and (coalesce(least_before > merged, true) or least_before = merged and coalesce(
+              min(rough) over (order by g range between {reach} preceding and current row) > merged, true)) ready,
+            sum(case when merged = previous then 0 else 1 end) over (order by g rows unbounded preceding) run
+     from tested),
+   chosen as (
+     select g, next_g, merged from (
+       select *, row_number() over r place, first_value(ready) over r head_ready from runs window r as (partition by run order by g))
+     where ready and head_ready and place % 2 = 1)
+   select g, merged from chosen union all select next_g, -1 from chosen)
+)
+select id from t where id >= 0 order by g
+"""
+
 DECODE = """
 select tokens.w, string_agg(vocabulary.chars, '' order by tokens.g) chars
 from tokens join vocabulary using (id) group by tokens.w
@@ -94,13 +139,18 @@ class Codec:
     def __init__(self, rank_lines: bytes, pattern: str):
         self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, rank_lines.splitlines())}
         self.split = regex.compile(pattern)
+        self.plain = pattern != WHOLE_WORDS
         pairs, merged = [], []
+        self.sizes: dict[bytes, list[int]] = {}
         for token, rank in self.ranks.items():
+            if len(token) > 3:
+                self.sizes.setdefault(token[:3], []).append(len(token))
             for i in range(1, len(token)):
                 left, right = self.ranks.get(token[:i]), self.ranks.get(token[i:])
                 if left is not None and right is not None:
                     pairs.append(left << 32 | right)
                     merged.append(rank)
+        self.sizes = {head: sorted(set(sizes), reverse=True) for head, sizes in self.sizes.items()}
         self.byte_ids = np.array([self.ranks.get(bytes([i]), -1) for i in range(256)], np.int32)
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "250MB"})
         self._load("merges", {"pair": pa.array(pairs, pa.int64()), "id": pa.array(merged, pa.int32())})
@@ -137,6 +187,23 @@ class Codec:
         flat = ids.tobytes()
         return [flat[4 * s : 4 * e] for s, e in zip([0, *ends[:-1].tolist()], ends.tolist())]
 
+    def _longest_token(self, word: bytes) -> int:
+        """The length of the longest token that occurs in the word, 3 at least."""
+        best = 3
+        for i in range(len(word) - 3):
+            for size in self.sizes.get(word[i : i + 3], ()):
+                if size <= best:
+                    break
+                if word[i : i + size] in self.ranks:
+                    best = size
+                    break
+        return best
+
+    def _contract_long(self, word: bytes) -> bytes:
+        ids = self.byte_ids[np.frombuffer(word, np.uint8)]
+        sql = ENCODE_LONG.format(reach=3 * self._longest_token(word))
+        return self._query(sql, {"g": np.arange(len(word)), "id": ids}).column(0).to_numpy().astype(np.int32).tobytes()
+
     def _learn_words(self, words: set[str]) -> dict[str, bytes]:
         """Ids of matches of the split pattern."""
         found, short, long = {}, [], []
@@ -146,8 +213,9 @@ class Codec:
                 found[word] = self.single[rank]
             else:
                 (short if len(raw) <= LONG_WORD else long).append((word, raw))
-        for batch in [*(short[i : i + WORDS_A_QUERY] for i in range(0, len(short), WORDS_A_QUERY)), *([x] for x in long)]:
+        for batch in (short[i : i + WORDS_A_QUERY] for i in range(0, len(short), WORDS_A_QUERY)):
             found.update(zip([w for w, _ in batch], self._contract([raw for _, raw in batch])))
+        found.update((word, self._contract_long(raw)) for word, raw in long)
         return found
 
     def ids_digest(self, ids: bytes) -> str:
@@ -161,6 +229,8 @@ class Codec:
 
     def _pieces(self, text: str) -> list[str]:
         """The matches of the split pattern; the commonest forms, a word of letters with or without a mark, need no search."""
+        if self.plain:
+            return [m[0] for m in self.split.finditer(text) if m[0]]
         if text[:1] == " " and text[1:].isalpha():
             return [text]
         if text[:1] == " " and text[-1] in ".,;:!?" and text[1:-1].isalpha():
@@ -179,6 +249,8 @@ class Codec:
         A text is cut at each single blank that stands between two characters that are no white space: no match of
         the split pattern reaches over such a place. Texts with other white space next to a blank are split as a whole.
         """
+        if self.plain:
+            return self._learn(texts)
         heads, tails = [], []
         for t in texts:
             head, *tail = t.split(" ")
