@@ -1,10 +1,11 @@
 """WARC archives: writing captures as transactions, reading records, assembling transactions.
 
 Writing: each page becomes a request, a response (or revisit) and a metadata record, the latter two tied to the first
-concerned by WARC-Concurrent-To. Which of the pages with equal payloads is the response comes from a partially aggregated
-groupBy on the digest, joined back (a skewed digest is split by the skew-join rule). Archives are written by Spark's text
-writer with the record separator of the format between records, so any store that Spark reaches will do; a file holds at
-most ``captures_per_file`` captures.
+concerned by WARC-Concurrent-To. Which of the rows with equal payloads is the response comes from a partially aggregated
+groupBy on the digest, joined back (a skewed digest is split by the skew-join rule), and is settled before anything is
+written: the archive holds one response a payload, and every record has an identifier of its own. Archives are written by
+Spark's text writer with the record separator of the format between records, so any store that Spark reaches will do. A
+file is bounded by bytes: pages are written in classes of size, each with a number of captures a file to match.
 
 Reading: binaryFile rows go through a streaming parser; a record's payload may be left out. Assembly joins the request and
 metadata records to their response by the concurrent-to identifier, and gives one nested row a capture.
@@ -21,11 +22,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from recordmill.llm.common import fresh_path, ship, stash, table
+from recordmill.llm.common import discard, fresh_path, ship, stash, table, written
 
 END = "\r\n\r\n"
 DATE = "2024-01-01T00:00:00Z"
 LEAST_BYTES = 100
+#: Bytes of payload in an archive file, unless one page is larger, and captures in it.
+FILE_BYTES, FILE_CAPTURES = 256 << 20, 2000
 
 RECORDS = (
     "file string, at long, type string, record_id string, concurrent_to string, target_uri string, date string, content_type string, "
@@ -33,13 +36,21 @@ RECORDS = (
 )
 
 
-def _urn(*parts: Column) -> Column:
-    """A record identifier that depends on the parts alone."""
-    h = F.md5(F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("\u0000")) for p in parts]))
+def _urn(text: Column) -> Column:
+    """A record identifier that depends on the text alone."""
+    h = F.md5(text)
     cut = [F.substring(h, s, n) for s, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *cut), F.lit(">"))
 
 
+def _target(url: Column) -> Column:
+    """The url with each blank and control character percent-encoded, so that it stays within its header line."""
+    plain = url
+    for code in (*range(33), 127):
+        plain = F.replace(plain, F.lit(chr(code)), F.lit(f"%{code:02X}"))
+    return F.when(url.rlike("[\\x00-\\x20\\x7F]"), plain).otherwise(url)
+
+
 def _record(headers: list[Column], block: Column) -> Column:
     length = F.concat(F.lit("Content-Length: "), F.octet_length(block).cast("string"))
     return F.concat(F.concat_ws("\r\n", F.lit("WARC/1.1"), *headers, length), F.lit(END), block)
@@ -50,20 +61,63 @@ def _header(name: str, value: Column) -> Column:
     return F.concat(F.lit(f"{name}: "), value)
 
 
-def archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = LEAST_BYTES, captures_per_file: int = 2000) -> None:
+def _base(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
+    html = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
+    return pages.select(F.col(id_col).alias("id"), _target(F.col(url_col).cast("string")).alias("url"), html.alias("html"), F.sha2(html, 256).alias("digest"), F.octet_length(html).cast("long").alias("n"))
+
+
+def _told(base: DataFrame, least_bytes: int) -> tuple[DataFrame, str]:
+    """The rows with ``revisit`` and, for revisits, ``first_id``; and the path of the narrow table that settles it.
+
+    Rows of a payload are ordered by id, null last, then url. Rows equal in all of these cannot be told apart: where they
+    are the first, one is the response and the others are revisits of it. Such rows are counted a partition of the input
+    at a time and made anew from the counts, so that a row repeated very often is no task's burden.
+    """
+    spark = base.sparkSession
+    order = F.struct(F.col("id").isNull().alias("id_null"), "id", F.col("url").isNull().alias("url_null"), "url")
+    same = base.where(F.col("n") >= least_bytes).groupBy("digest", "id", "url").agg(F.count(F.lit(1)).alias("m"))
+    firsts = same.groupBy("digest").agg(F.min(F.struct(order.alias("o"), "m")).alias("f"), F.sum("m").alias("copies")).where("copies > 1")
+    firsts, path = written(firsts.select("digest", F.col("f.o.id").alias("first_id"), F.col("f.o.url").alias("first_url"), F.col("f.m").alias("alike"), F.lit(True).alias("several")), "payloads")
+    joined = base.withColumn("part", F.spark_partition_id()).join(firsts, "digest", "left")
+    first = F.col("id").eqNullSafe(F.col("first_id")) & F.col("url").eqNullSafe(F.col("first_url"))
+    alike = F.coalesce(F.col("several") & first & (F.col("alike") > 1), F.lit(False))
+    told = joined.where(~alike).select(*base.columns, F.coalesce(F.col("several") & ~first, F.lit(False)).alias("revisit"), "first_id")
+    if firsts.where("alike > 1").isEmpty():
+        return told, path
+    rows = joined.where(alike)
+    keys = ["digest", "id", "url", "n"]
+    response = rows.groupBy(*keys).agg(F.first("html").alias("html")).select(*base.columns, F.lit(False).alias("revisit"), F.col("id").alias("first_id"))
+    counts = rows.groupBy(*keys, "part").agg(F.count(F.lit(1)).alias("m"))
+    counts = counts.withColumn("m", F.col("m") - (F.row_number().over(Window.partitionBy(*keys).orderBy("part")) == 1).cast("long")).where("m > 0")
+    again = counts.withColumn("turn", F.explode(F.sequence(F.lit(1).cast("long"), "m"))).withColumn("html", F.lit(None).cast("string"))
+    return told.unionByName(response).unionByName(again.select(*base.columns, F.lit(True).alias("revisit"), F.col("id").alias("first_id"))), path
+
+
+def _classes(base: DataFrame, small: int) -> list[tuple[int, int]]:
+    """Bounds (above, up to) of payload sizes, each class 16 times the last: as many as the largest page needs, one at least."""
+    top = base.agg(F.max("n")).first()[0] or 0
+    edges = [-1, small]
+    while edges[-1] < top:
+        edges.append(edges[-1] * 16)
+    return list(zip(edges, edges[1:]))
+
+
+def archive(
+    pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = LEAST_BYTES, file_bytes: int = FILE_BYTES, file_captures: int = FILE_CAPTURES
+) -> None:
     """Write a transaction for every row of ``pages``.
 
     Null html is an empty payload; a null url gives no target header, and control characters and blanks of a url are
     percent-encoded. Of rows with equal payloads of at least ``least_bytes`` bytes that with the smallest id is the
-    response, a null id counting as larger than any; without any id each is a response. Repeated rows are all written.
+    response, a null id counting as larger than any and, of equal ids, the smaller url coming first; all others, repeated
+    rows of the response's own page too, are revisits that name it. An empty table gives no records.
     """
-    html = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
-    base = pages.select(
-        F.col(id_col).alias("id"), F.regexp_replace(F.regexp_replace(F.col(url_col), "[\\x00-\\x1F\\x7F]", "%0A"), " ", "%20").alias("url"), html.alias("html"), F.sha2(html, 256).alias("digest"), F.octet_length(html).cast("long").alias("n")
-    )
-    firsts = base.where(F.col("n") >= least_bytes).groupBy("digest").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("copies")).where("copies > 1").select("digest", "first_id")
-    told = base.join(firsts, "digest", "left").withColumn("revisit", F.coalesce(F.col("first_id").isNotNull() & ~F.col("id").eqNullSafe(F.col("first_id")), F.lit(False)))
-    main, asked, about = (_urn(F.lit(role), F.col("id"), F.col("url"), F.col("digest")) for role in ("response", "request", "metadata"))
+    base = _base(pages, id_col, url_col, html_col)
+    told, settled = _told(base, least_bytes)
+    own = _urn(F.concat(F.lit("payload "), "digest"))  # of a payload's one response, so that revisits can name it
+    single = (F.col("n") >= least_bytes) & ~F.col("revisit")
+    told = told.withColumn("key", F.uuid()).withColumn("main", F.when(single, own).otherwise(F.concat(F.lit("<urn:uuid:"), "key", F.lit(">"))))
+    main, asked, about = F.col("main"), _urn(F.concat(F.lit("request "), "key")), _urn(F.concat(F.lit("metadata "), "key"))
     target, date = _header("WARC-Target-URI", F.col("url")), F.lit(f"WARC-Date: {DATE}")
     host = F.coalesce(F.regexp_extract("url", "^[a-zA-Z]+://([^/?#]*)", 1), F.lit(""))
     place = F.coalesce(F.regexp_extract("url", "^[a-zA-Z]+://[^/?#]*([^#]*)", 1), F.lit(""))
@@ -76,14 +130,17 @@ def archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str =
         _record(
             [
                 _header("WARC-Type", kind), _header("WARC-Record-ID", main), date, target, _header("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest"))),
-                F.when(F.col("revisit"), F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")), F.lit("Content-Type: application/http;msgtype=response"),
+                F.when(F.col("revisit"), F.concat(F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\nWARC-Refers-To: "), own)), F.lit("Content-Type: application/http;msgtype=response"),
             ],
             F.when(F.col("revisit"), head).otherwise(F.concat(head, F.col("html"))),
         ),
         _record([F.lit("WARC-Type: metadata"), _header("WARC-Record-ID", about), _header("WARC-Concurrent-To", main), date, target, F.lit("Content-Type: application/warc-fields")], facts),
     ]
-    lines = told.select(F.concat_ws(END, *records).alias("value"))
-    lines.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", captures_per_file).text(path)
+    lines = told.select("n", F.concat_ws(END, *records).alias("value"))
+    for i, (over, most) in enumerate(_classes(base, max(1, file_bytes // file_captures))):
+        some = lines.where((F.col("n") > over) & (F.col("n") <= most)).select("value")
+        some.write.mode("append").option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", max(1, file_captures >> (4 * i))).text(path)
+    discard(pages.sparkSession, settled)
 
 
 def parse(stream: io.BufferedIOBase, with_payload: bool = True) -> Iterator[dict]:
@@ -173,14 +230,11 @@ def query(spark, sf_dir: str) -> DataFrame:
     found = captures(stash(read_archives(spark, path, with_payload=False), "records"))
     kind = pages.schema["page_id"].dataType.simpleString()
     page, target = (F.col("metadata.fields")[name].cast(kind) for name in ("page-id", "refers-to-page"))
-    again = (F.col("turn") > 1) & (F.col("response.payload_bytes") >= LEAST_BYTES) & page.isNotNull()  # one row of those repeated is the response
+    response = F.col("response")
     return found.select(
-        page.alias("page_id"),
-        F.col("response.payload_bytes").alias("payload_bytes"),
-        F.col("response.payload_digest").alias("payload_digest"),
-        F.when(again, F.lit("revisit")).otherwise(F.col("response.type")).alias("record_type"),
-        F.when(F.col("response.type") == "revisit", target).when(again, page).alias("refers_to"),
-    )
+        page.alias("page_id"), response["payload_bytes"].alias("payload_bytes"), response["payload_digest"].alias("payload_digest"), response["type"].alias("record_type"),
+        F.when(response["type"] == "revisit", target).alias("refers_to"),
+    )
 
 
 ORACLE = """
