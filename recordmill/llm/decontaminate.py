@@ -1,28 +1,28 @@
 """Benchmark decontamination by Wu-Manber multi-pattern search over words.
 
 Patterns are windows of 13 benchmark words (shorter items are one pattern of their own length). For each pattern length
-a shift table maps a block of ``BLOCK`` consecutive words to how far the search may jump: a block that no pattern holds
-moves it past the whole pattern. A block that ends a pattern has shift 0 and leads to the bucket of patterns with that
-suffix, whose words are then compared directly. Words, not bytes, are the alphabet, as the contract counts words.
-
-The patterns are made from the benchmark table in Spark, measured, and broadcast in blocks of at most ``block_bytes``
-of text; a benchmark beyond one block is searched block by block, each pass adding to the hits of the ones before.
-Documents are never shuffled.
+a shift table, indexed by a hash of a block of ``BLOCK`` consecutive words, says how far the search may jump: a block that
+no pattern holds moves it past the whole pattern. A block that ends a pattern has shift 0 and leads to the bucket of
+patterns with that suffix hash, whose words are then compared directly. Words, not bytes, are the alphabet, as the
+contract counts words. Patterns are places in one text of normalised words, and all tables are arrays of numbers.
+
+The benchmark is measured in Spark and broadcast in blocks of at most ``block_bytes`` of text. A benchmark of one block is
+searched in one pass in which documents stay where they are. A larger one is searched block by block over a copy of the
+documents with row numbers, each pass writing only the rows that it hits, and the hits are joined back once.
 """
 
 from __future__ import annotations
 
-import hashlib
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from recordmill.llm.common import fresh_path, map_batches, quoted, ship, table, unused, without
+from recordmill.llm.common import discard, map_batches, quoted, ship, table, unused, without, written
 
 WINDOW = 13
 BLOCK = 3
@@ -36,49 +36,88 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_TO_WORDS).split()
 
 
+_hash = xxhash.xxh3_64_intdigest
+
+
+class Table:
+    """The patterns of one length: the shift table, and patterns sorted by the hash of their last block.
+
+    A pattern is a range of bytes of ``text``; equal patterns stand once, with a range of ``owners``.
+    """
+
+    def __init__(self, n: int, block: int, text: bytes, starts: np.ndarray, ends: np.ndarray, owners: np.ndarray, words: np.ndarray):
+        """``words`` has, for each pattern, the place of its first word in the arrays of word starts and ends."""
+        self.n, self.b, self.far, self.text = n, min(block, n), n - min(block, n) + 1, text
+        first, last = starts[words], ends[words + n - 1]
+        whole = np.fromiter((_hash(text[s:e]) for s, e in zip(first.tolist(), last.tolist())), np.uint64, len(words))
+        suffix = np.fromiter((_hash(text[s:e]) for s, e in zip(starts[words + n - self.b].tolist(), last.tolist())), np.uint64, len(words))
+        order = np.lexsort((owners, whole, suffix))
+        first, last, whole, owners, suffix = first[order], last[order], whole[order], owners[order], suffix[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (whole[1:] != whole[:-1]) | (suffix[1:] != suffix[:-1])
+        for i in np.flatnonzero(~new).tolist():  # an equal hash is no proof
+            new[i] = text[first[i] : last[i]] != text[first[i - 1] : last[i - 1]]
+        at = np.flatnonzero(new)
+        self.first, self.last, self.suffix = first[at], last[at], suffix[at]
+        self.owners, self.owned = owners, np.append(at, len(order)).astype(np.int64)
+        self.mask = (1 << (8 * len(at)).bit_length()) - 1  # neighbouring patterns share blocks, so about one a pattern: an eighth is taken
+        self.shift = np.full(self.mask + 1, self.far, np.uint8)
+        for end in range(self.b, n + 1):  # from the pattern's front to its back, so that the least shift comes last
+            s, e = starts[words + end - self.b].tolist(), ends[words + end - 1].tolist()
+            keys = np.fromiter((_hash(text[x:y]) for x, y in zip(s, e)), np.uint64, len(words)) & np.uint64(self.mask)
+            self.shift[keys] = np.minimum(self.shift[keys], n - end)
+        self.jumps = self.shift.tobytes()
+
+    def search(self, words: list[bytes], spans: list[tuple[int, int]], items: set[int]) -> None:
+        n, b, mask, jumps, join = self.n, self.b, self.mask, self.jumps, b" ".join
+        at, total = n, len(words)
+        while at <= total:
+            key = _hash(join(words[at - b : at]))
+            step = jumps[key & mask]
+            if step:
+                at += step
+                continue
+            low, high = np.searchsorted(self.suffix, np.uint64(key), "left"), np.searchsorted(self.suffix, np.uint64(key), "right")
+            if low < high:
+                here = join(words[at - n : at])
+                for i in range(low, high):
+                    if self.text[self.first[i] : self.last[i]] == here:
+                        spans.append((at - n, at))
+                        items.update(self.owners[self.owned[i] : self.owned[i + 1]].tolist())
+            at += 1
+
+
 class Patterns:
-    """Shift tables and suffix buckets, one pair for each pattern length."""
+    """The tables of a block of the benchmark, one for each pattern length."""
 
     def __init__(self, items: list[tuple[object, str | None]], window: int = WINDOW, block: int = BLOCK):
-        owners: dict[tuple[bytes, ...], set] = defaultdict(set)
+        self.names = sorted({str(item) for item, _ in items})
+        number = {name: i for i, name in enumerate(self.names)}
+        joined, sizes, of = [], [], []
         for item, text in items:
-            words = words_of(text)
-            n = min(window, len(words))
-            for i in range(len(words) - n + 1 if n else 0):
-                owners[tuple(words[i : i + n])].add(item)
+            if words := words_of(text):
+                joined.append(b" ".join(words))
+                sizes.append(len(words))
+                of.append(number[str(item)])
+        text = b" ".join(joined)
+        gaps = np.flatnonzero(np.frombuffer(text, np.uint8) == 32)
+        starts, ends = np.append(0, gaps + 1), np.append(gaps, len(text))
+        size, own = np.array(sizes, np.int64), np.array(of, np.int64)
+        heads = np.cumsum(size) - size
         self.tables = []
-        for n in sorted({len(p) for p in owners}):
-            b = min(block, n)
-            shift: dict[tuple[bytes, ...], int] = {}
-            bucket: dict[tuple[bytes, ...], list] = defaultdict(list)
-            for p, items_of in owners.items():
-                if len(p) == n:
-                    for end in range(b, n + 1):
-                        key = p[end - b : end]
-                        shift[key] = min(shift.get(key, n), n - end)
-                    bucket[p[n - b :]].append((list(p), frozenset(items_of)))
-            self.tables.append((n, b, n - b + 1, shift, dict(bucket)))
-
-    def search(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set]:
-        """Merged [start, end) word ranges inside occurrences, and the items with an occurrence."""
+        for n in np.unique(np.minimum(size, window)).tolist():
+            some = np.minimum(size, window) == n
+            counts = size[some] - n + 1
+            words = np.repeat(heads[some] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+            self.tables.append(Table(n, block, text, starts, ends, np.repeat(own[some], counts).astype(np.int32), words))
+
+    def search(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
+        """Merged [start, end) word ranges inside occurrences, and the items, as strings, with an occurrence."""
         spans: list[tuple[int, int]] = []
-        items: set = set()
-        total = len(words)
-        for n, b, far, shift, bucket in self.tables:
-            at, jump = n, shift.get
-            while at <= total:
-                key = tuple(words[at - b : at])
-                step = jump(key, far)
-                if step:
-                    at += step
-                    continue
-                here = words[at - n : at]
-                for pattern, owned in bucket[key]:
-                    if pattern == here:
-                        spans.append((at - n, at))
-                        items |= owned
-                at += 1
-        return merged(spans), items
+        items: set[int] = set()
+        for t in self.tables:
+            t.search(words, spans, items)
+        return merged(spans), {self.names[i] for i in items}
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -101,26 +140,38 @@ HITS = T.StructType(
 )
 
 
-def _searcher(patterns, text_at: int, before_at: int | None, made: str):
-    names = [f.name for f in HITS]
-    kinds = [pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.string())]
+_KINDS = [pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.string())]
+
+
+def _hits(rows: list[tuple[int, list[tuple[int, int]], set[str]]]) -> pa.StructArray:
+    told = [(n, [s for s, _ in spans], [e for _, e in spans], sorted(items)) for n, spans, items in rows]
+    return pa.StructArray.from_arrays([pa.array([r[i] for r in told], k) for i, k in enumerate(_KINDS)], names=HITS.names)
+
+
+def _searcher(patterns, text_at: int, kept: list[int], sparse: bool):
+    """The kept columns and the hits; with ``sparse``, only of rows that are hit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         search = patterns.value.search
+        for b in batches:
+            rows = [(len(words), *search(words)) for words in map(words_of, b.column(text_at).to_pylist())]
+            chosen = [i for i, r in enumerate(rows) if r[1] or not sparse]
+            columns = [b.column(i).take(pa.array(chosen, pa.int64())) if sparse else b.column(i) for i in kept]
+            yield pa.RecordBatch.from_arrays([*columns, _hits([rows[i] for i in chosen])], names=[str(i) for i in range(len(kept) + 1)])
+
+    return run
+
+
+def _join_hits(text_at: int):
+    """The last column, a list of hits of one row from several blocks, as one struct."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            before = b.column(before_at).to_pylist() if before_at is not None else [None] * b.num_rows
-            for text, old in zip(b.column(text_at).to_pylist(), before):
-                words = words_of(text)
-                spans, items = search(words)
-                if old:
-                    spans = merged([*spans, *zip(old["starts"], old["ends"])])
-                    items = {*items, *old["items"]}
-                rows.append((len(words), [s for s, _ in spans], [e for _, e in spans], sorted(items)))
-            columns = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
-            hits = pa.StructArray.from_arrays(columns, names=names)
-            keep = [(c, n) for i, (c, n) in enumerate(zip(b.columns, b.schema.names)) if i != before_at]
-            yield pa.RecordBatch.from_arrays([*[c for c, _ in keep], hits], names=[*[n for _, n in keep], made])
+            for text, parts in zip(b.column(text_at).to_pylist(), b.column(b.num_columns - 1).to_pylist()):
+                spans = [x for p in parts or [] for x in zip(p["starts"], p["ends"])]
+                rows.append((len(words_of(text)), merged(spans), {x for p in parts or [] for x in p["items"]}))
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], _hits(rows)], names=b.schema.names)
 
     return run
 
@@ -142,18 +193,25 @@ def find(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col
     """
     spark = docs.sparkSession
     ship(spark)
-    out = docs.select(*quoted([docs.columns[i] for i in without(docs.columns, [hits])]))
+    docs = docs.select(*quoted([docs.columns[i] for i in without(docs.columns, [hits])]))
+    text_at, everything = docs.columns.index(text_col), list(range(len(docs.columns)))
     blocks = pattern_blocks(benchmark, item_col, item_text, block_bytes)
+    made = T.StructField(hits, HITS)
+    load = lambda block: spark.sparkContext.broadcast(Patterns([tuple(r) for r in block.collect()], window))
+    if len(blocks) == 1:
+        return map_batches(docs, _searcher(load(blocks[0]), text_at, everything, False), T.StructType([*docs.schema, made]))
+    (row,) = unused(docs.columns, "__row")
+    docs, copy = written(docs.select("*", F.monotonically_increasing_id().alias(row)), "numbered")
+    found = None
     for i, block in enumerate(blocks):
-        patterns = spark.sparkContext.broadcast(Patterns([tuple(r) for r in block.collect()], window))
-        before = out.columns.index(hits) if i else None
-        schema = T.StructType([f for f in out.schema if f.name != hits] + [T.StructField(hits, HITS)])
-        out = map_batches(out, _searcher(patterns, out.columns.index(text_col), before, hits), schema)
-        if i < len(blocks) - 1:  # one block of patterns in memory at a time
-            path = fresh_path(spark, "hits")
-            out.write.parquet(path)
-            out = spark.read.schema(schema).parquet(path)
-    return out
+        patterns = load(block)
+        part = map_batches(docs.select(row, *quoted([text_col])), _searcher(patterns, 1, [0], True), T.StructType([T.StructField(row, T.LongType()), made]))
+        part, _ = written(part, "hits")
+        patterns.destroy()
+        found = part if found is None else found.unionAll(part)
+    found = found.groupBy(row).agg(F.collect_list(*quoted([hits])).alias(hits))  # one of each block at most
+    joined = docs.join(found, row, "left").drop(row)
+    return map_batches(joined, _join_hits(text_at), T.StructType([*joined.schema.fields[:-1], made]))
 
 
 def hit_words(hits: Column) -> Column:
