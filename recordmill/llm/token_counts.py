@@ -2,8 +2,9 @@
 
 The cache is a Parquet table (content digest, tokenizer digest, n_tokens) in storage that all executors share. A run
 finds the distinct digests that the cache lacks (partially aggregated, then an anti-join), encodes each of those contents
-once, appends the counts, and joins the digests of all documents with the cache. Normalising a content here means only
-reading null as empty: any other change could alter a count.
+once, appends the counts, and joins the digests of all documents with the cache. Digests that many documents share are
+spread over several tasks in that join. Normalising a content here means only reading null as empty: any other change
+could alter a count.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recordmill.llm.common import fresh_path, ship, table
+from recordmill.llm.common import exists, hot_keys, join_salted, shared_dir, ship, stash, table
 
 CACHE = "content string, tokenizer string, n_tokens long"
 
@@ -38,11 +39,6 @@ def _counter(model, tokenizer: str):
     return run
 
 
-def exists(spark, path: str) -> bool:
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
-
-
 def read_cache(spark, path: str, tokenizer: str) -> DataFrame:
     """(content, n_tokens) of one tokenizer version; a content that several runs stored counts once."""
     if not exists(spark, path):
@@ -51,31 +47,37 @@ def read_cache(spark, path: str, tokenizer: str) -> DataFrame:
     return rows.groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
 
 
-def token_counts(docs: DataFrame, model_path: str, cache_path: str, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def tokenizer_digest(model: bytes) -> str:
+    return hashlib.sha256(model + f"sentencepiece {sentencepiece.__version__}".encode()).hexdigest()
+
+
+def token_counts(docs: DataFrame, model_path: str, cache_path: str | None = None, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, n_tokens, over_limit) per input row, and the cache at ``cache_path`` grows by what was missing.
 
-    Null text counts as empty; repeated rows give repeated results; other columns are ignored. A run that breaks off
-    leaves the cache as it was or with counts that are right: Spark commits the appended files together.
+    Without a path the cache lies in the shared folder under the tokenizer's digest, where later runs find it. Null text
+    counts as empty; repeated rows give repeated results; other columns are ignored; an empty table gives no rows. A run
+    that breaks off leaves the cache as it was or with counts that are right: Spark commits the appended files together.
     """
     spark = docs.sparkSession
     ship(spark)
     with open(model_path, "rb") as f:
         content = f.read()
-    tokenizer = hashlib.sha256(content + f"sentencepiece {sentencepiece.__version__}".encode()).hexdigest()
+    tokenizer = tokenizer_digest(content)
+    cache_path = cache_path or f"{shared_dir(spark)}/token-counts-{tokenizer[:16]}"
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    keyed = docs.select(F.col(id_col), text.alias("text"), F.sha2(text, 256).alias("content"))
-    known = read_cache(spark, cache_path, tokenizer)
+    keyed = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.sha2(text, 256).alias("content"))
+    narrow = stash(keyed.select("id", "content", F.octet_length("text").cast("long").alias("n_bytes")), "digests")
     misses = keyed.select("content", "text").dropDuplicates(["content"])
     if exists(spark, cache_path):
-        misses = misses.join(known, "content", "left_anti")
+        misses = misses.join(read_cache(spark, cache_path, tokenizer), "content", "left_anti")
     model = spark.sparkContext.broadcast(content)
     misses.mapInArrow(_counter(model, tokenizer), CACHE).write.mode("append").parquet(cache_path)
-    counts = read_cache(spark, cache_path, tokenizer)
-    narrow = keyed.select(id_col, "content", F.octet_length("text").cast("long").alias("n_bytes"))
-    return narrow.join(counts, "content").select(id_col, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    hot = hot_keys(narrow.groupBy("content").agg(F.count(F.lit(1)).alias("copies")), "copies")
+    joined = join_salted(narrow, read_cache(spark, cache_path, tokenizer), ["content"], stash(hot, "hot"), ["id"])
+    return joined.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), fresh_path(spark, "token-cache"))
+    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
