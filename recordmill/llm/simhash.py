@@ -1,9 +1,10 @@
 """SimHash near-duplicates by bit-sliced comparison.
 
 Plan: one pass over the texts makes 64-bit fingerprints (a narrow table, written once). Equal fingerprints are merged by
-a partially aggregated groupBy, so exact copies never meet as pairs. Distinct fingerprints are dealt into buckets by
-each of ``radius + 1`` disjoint bit bands: two fingerprints within the radius agree on at least one band, so no link is
-lost. Within a bucket, blocks of 64 candidates are stored as vertical bit planes; carry-save counters hold 64 distances
+a partially aggregated groupBy, so exact copies never meet as pairs. The 64 bits are cut into ``m`` bands, and distinct
+fingerprints are dealt into buckets by every choice of ``m - radius`` of them: two fingerprints within the radius differ in
+at most ``radius`` bands, so they share a bucket and no link is lost. ``m`` grows with the number of fingerprints, so that
+a bucket of evenly spread ones holds a few dozen. Within a bucket, blocks of 64 candidates are stored as vertical bit planes; carry-save counters hold 64 distances
 at once and a block is abandoned once every distance exceeds the radius. A bucket above ``block_rows`` rows is split
 into blocks, and pairs of blocks are compared in tasks of their own, so a hot bucket is never one task. Each group
 returns a spanning forest of its links, not the links. Components are then found by repeated hooking and contraction.
@@ -12,6 +13,7 @@ returns a spanning forest of its links, not the links. Components are then found
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from recordmill.llm.common import map_batches, quoted, ship, stash, table, unused
+from recordmill.llm.common import discard, map_batches, quoted, ship, stash, table, unused, written
 
 SEED = 42
 RADIUS = 4
@@ -64,10 +66,19 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return narrow.mapInArrow(_fingerprint_batches, f"id {kind}, fp long")
 
 
-def bands(radius: int) -> list[tuple[int, int]]:
-    """(shift, mask) of radius + 1 disjoint bit ranges that cover all 64 bits."""
-    edges = [round(64 * i / (radius + 1)) for i in range(radius + 2)]
-    return [(a, (1 << (b - a)) - 1) for a, b in zip(edges, edges[1:])]
+#: Evenly spread fingerprints that a bucket may hold before one more band is cut.
+BUCKET_ROWS = 64
+
+
+def band_masks(radius: int, n: int) -> list[int]:
+    """The bits of each bucket key: all choices of m - radius of m bands, with the least m that keeps n fingerprints in small buckets."""
+    for m in range(radius + 1, 2 * radius + 2):
+        edges = [round(64 * i / m) for i in range(m + 1)]
+        own = [((1 << (b - a)) - 1) << a for a, b in zip(edges, edges[1:])]
+        masks = [sum(choice) for choice in combinations(own, m - radius)]
+        if n >> min(x.bit_count() for x in masks) <= BUCKET_ROWS:
+            break
+    return masks
 
 
 def planes_of(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -263,7 +274,8 @@ def links(fps: DataFrame, radius: int = RADIUS, block_rows: int = 4096) -> DataF
     if not 0 <= radius <= 7:
         raise ValueError("radius must be between 0 and 7")
     ship(fps.sparkSession)
-    keys = F.array(*[F.struct(F.lit(i).alias("band"), F.shiftrightunsigned("fp", s).bitwiseAND(F.lit(m)).alias("key")) for i, (s, m) in enumerate(bands(radius))])
+    masks = np.array(band_masks(radius, fps.count()), np.uint64).view(np.int64).tolist()
+    keys = F.array(*[F.struct(F.lit(i).alias("band"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(masks)])
     dealt = fps.select("fp", F.explode(keys).alias("k")).select("fp", "k.band", "k.key")
     sizes = dealt.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     blocks = F.ceil(F.col("n") / F.lit(block_rows)).cast("int")
@@ -283,27 +295,34 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     Each round every node hooks on its smallest neighbour if that is smaller, pointers are halved twice, and edges are
     rewritten between the new labels; edges within a label vanish. All steps are partially aggregated groupBys and
     equi-joins, so a node with very many links is split by the skew-join rule. Rounds grow with the logarithm of a
-    component's width; each round's tables are written to the shared folder.
+    component's width; each round's tables are written to the shared folder and those before them deleted.
     """
-    left = stash(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    mapping = None
+    spark = edges.sparkSession
+    left, old = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    mapping, mapped = None, None
     for _ in range(max_rounds):
         if left.isEmpty():
             break
         both = left.select(F.col("a").alias("node"), F.col("b").alias("to")).unionAll(left.select(F.col("b").alias("node"), F.col("a").alias("to")))
         up = both.groupBy("node").agg(F.min("to").alias("to")).select("node", F.least("node", "to").alias("root"))
-        up = stash(up, "hooks")
+        up, hooks = written(up, "hooks")
         for _ in range(2):
             over = up.select(F.col("node").alias("root"), F.col("root").alias("above"))
-            up = stash(up.join(over, "root").select("node", F.col("above").alias("root")), "hooks")
+            up, halved = written(up.join(over, "root").select("node", F.col("above").alias("root")), "hooks")
+            discard(spark, hooks)
+            hooks = halved
         for name in ("a", "b"):
             left = left.join(up.select(F.col("node").alias(name), F.col("root").alias(f"{name}_root")), name)
-        left = stash(left.select(F.greatest("a_root", "b_root").alias("a"), F.least("a_root", "b_root").alias("b")).where("a <> b").distinct(), "edges")
+        left, edge = written(left.select(F.greatest("a_root", "b_root").alias("a"), F.least("a_root", "b_root").alias("b")).where("a <> b").distinct(), "edges")
+        discard(spark, old)
+        old = edge
         if mapping is None:
-            mapping = up
+            mapping, mapped = up, hooks
         else:
             over = up.select(F.col("node").alias("root"), F.col("root").alias("above"))
-            mapping = stash(mapping.join(over, "root", "left").select("node", F.coalesce("above", "root").alias("root")), "roots")
+            mapping, path = written(mapping.join(over, "root", "left").select("node", F.coalesce("above", "root").alias("root")), "roots")
+            discard(spark, mapped, hooks)
+            mapped = path
     else:
         raise RuntimeError("components did not converge")
     if mapping is None:
