@@ -103,7 +103,7 @@ select id from t where id >= 0 order by g
 """
 
 DECODE = """
-select tokens.w, string_agg(vocabulary.chars, '' order by tokens.g) chars
+select tokens.w, array_to_string(list(vocabulary.chars order by tokens.g), '') chars
 from tokens join vocabulary using (id) group by tokens.w
 """
 
@@ -318,8 +318,9 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", add
     follows from them: n_tokens, ids_sha256 of the comma-joined ids, and, by decoding the ids, decoded_sha256 of the
     bytes and round_trip (the bytes are the text's). They replace columns of the same names.
 
-    As the tiktoken library's encode_ordinary: a match that is itself a token is that token, any other is contracted.
-    ``path`` is a file of base64 tokens and ranks, read on the driver.
+    As the tiktoken library's encode_ordinary: a match that is itself a token is that token, any other is contracted. A
+    match of 100 kB, such as a text without blanks, takes 1 to 40 seconds, in proportion to its length. Equal texts have
+    equal ids; an empty table gives an empty result. ``path`` is a file of base64 tokens and ranks, read on the driver.
     """
     ship(docs.sparkSession)
     ranks = rank_file(docs, path)
