@@ -188,7 +188,8 @@ def score(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
 
     Documents on crc32 remainder 2 of 4, or without an id, are held out of training. Null text is scored as empty.
     Where training rows lack a class, every score is the share of class 1 among them, 0.5 if there are none. Repeated
-    documents are scored alike; labels with a null are ignored; of several labels of one id the smallest counts.
+    documents are scored alike; labels with a null are ignored; of several labels of one id the smallest counts. Scores do
+    not depend on how the documents are partitioned; an empty table gives an empty result.
     """
     ship(docs.sparkSession)
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -202,7 +203,8 @@ def score(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
     table_of = stash(features(narrow, learn_lexicon(narrow, training, sizes)), "toxicity")
     share = min(0.5, TREE_ROWS / total)  # from the other end of the hash than the lexicon's rows
     rows = table_of.join(training.where(hash_fraction("doc_id") >= 1 - share), "doc_id").select("doc_id", array_to_vector("x").alias("features"), F.col("label").cast("double").alias("label"))
-    rows = stash(rows, "toxicity-rows").persist()
+    # A bounded number of rows, dealt and sorted by id, so that trees grow alike however the documents lie.
+    rows = stash(rows, "toxicity-rows").repartition(8, "doc_id").sortWithinPartitions("doc_id", "label").persist()
     try:
         apart = F.pmod(F.hash("doc_id"), F.lit(10)) < 7
         grow, calibrate = rows.where(apart), rows.where(~apart)
