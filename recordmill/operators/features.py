@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from recordmill.functions.labels import clean_number, sanitised
 from recordmill.operators.ranks import long_form, pearson_matrix
-from recordmill.operators.shared import running_sum
+from recordmill.operators.shared import quantiles, running_sum, stash
 
 EULER = 0.5772156649015329  # fixed value
 REDUNDANCY_FLOOR = 0.001  # fixed value
@@ -114,6 +114,6 @@ def rank_features(df: DataFrame, ids: list[str], target: str = "macro_class", to
     features = [c for c in clean.columns if c not in (target, *ids)]
     chosen = mrmr_select(clean, features, target, top_k)
     names = df.sparkSession.createDataFrame([(i + 1, c) for i, c in enumerate(chosen)], "mrmr_rank int, feature string")
-    q = long_form(clean, chosen, []).groupBy("feature").agg(F.percentile("value", F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
+    q = quantiles(long_form(clean, chosen, []), ["feature"], [0.25, 0.75])
     spread = q.select("feature", (F.col("q")[1] - F.col("q")[0]).alias("iqr"))
     return names.join(mutual_info(clean, chosen, ids, target), "feature", "left").join(spread, "feature", "left").select("mrmr_rank", "feature", "mutual_info", "iqr")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recordmill.functions.labels import AUDIT_CLASSES, BACKGROUND, display_label, map_class, normalise_label
-from recordmill.operators.shared import with_share
+from recordmill.operators.shared import quantiles, with_share
 
 WINDOW_SECONDS = 4.096  # fixed value: length of a feature window
 
@@ -25,11 +25,11 @@ def interval_union_duration(df: DataFrame, keys: list[str], start: str = "start_
 
 
 def annotation_audit(annotations: DataFrame, file: str = "file_path", label: str = "label", drop_inverted: bool = False) -> DataFrame:
-    """(label, seconds, prop_pct): union durations summed over files."""
+    """(label, seconds, prop_pct): union durations summed over files, the longest first."""
     rows = annotations.withColumn("label", normalise_label(F.col(label)))
     rows = rows.where("stop_time >= start_time") if drop_inverted else rows
     totals = interval_union_duration(rows, [file, "label"]).groupBy("label").agg(F.sum("seconds").alias("seconds"))
-    return with_share(totals, "seconds")
+    return with_share(totals, "seconds").orderBy(F.desc("seconds"), "label")
 
 
 def distinct_events(annotations: DataFrame, file: str = "file_path", label: str = "label") -> DataFrame:
@@ -37,11 +37,11 @@ def distinct_events(annotations: DataFrame, file: str = "file_path", label: str
 
 
 def event_duration_stats(annotations: DataFrame, background: str = BACKGROUND, file: str = "file_path") -> DataFrame:
-    """Per non-background label over distinct events: count, median, mean, min, max and sum of durations."""
+    """Per non-background label over distinct events: count, median, mean, min, max and sum of durations; most events first."""
     events = distinct_events(annotations, file).where(F.col("label") != background).withColumn("d", F.col("stop_time") - F.col("start_time"))
-    return events.groupBy("label").agg(
-        F.count(F.lit(1)).alias("n_events"), F.percentile("d", F.lit(0.5)).alias("median_s"), F.avg("d").alias("mean_s"), F.min("d").alias("min_s"), F.max("d").alias("max_s"), F.sum("d").alias("total_s")
-    )
+    medians = quantiles(events, ["label"], [0.5], "d").select("label", F.col("q")[0].alias("median_s"))
+    stats = events.groupBy("label").agg(F.count(F.lit(1)).alias("n_events"), F.avg("d").alias("mean_s"), F.min("d").alias("min_s"), F.max("d").alias("max_s"), F.sum("d").alias("total_s"))
+    return stats.join(medians, "label", "left").select("label", "n_events", "median_s", "mean_s", "min_s", "max_s", "total_s").orderBy(F.desc("n_events"), "label")
 
 
 def natural_distribution(annotations: DataFrame, collapse: bool = True, mapping: dict | None = None, file: str = "file_path") -> DataFrame:
@@ -53,11 +53,11 @@ def natural_distribution(annotations: DataFrame, collapse: bool = True, mapping:
 
 
 def windowed_distribution(windows: DataFrame, collapse: bool = True, mapping: dict | None = None, label: str = "label", seconds: float = WINDOW_SECONDS) -> DataFrame:
-    """(label, windows, seconds, prop_pct): windows counted by label, reading no other column."""
+    """(label, windows, seconds, prop_pct): windows counted by label, reading no other column; the commonest first."""
     code = normalise_label(F.col(label))
     name = map_class(code, mapping or AUDIT_CLASSES, "keep") if collapse else code
     counts = windows.groupBy(name.alias("label")).agg(F.count(F.lit(1)).alias("windows"))
-    return with_share(counts, "windows").withColumn("seconds", F.col("windows") * seconds)
+    return with_share(counts, "windows").withColumn("seconds", F.col("windows") * seconds).orderBy(F.desc("windows"), "label")
 
 
 def compare_distributions(natural: DataFrame, windowed: DataFrame, names: dict[str, str] | None = None) -> DataFrame:

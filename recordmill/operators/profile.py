@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recordmill.functions.labels import clean_number, literal_map
-from recordmill.operators.shared import with_share
+from recordmill.operators.shared import quantiles, with_share
 
 # Fixed values.
 AGE_SENTINEL, LEAST_CHANNELS, INVALID_SPLIT, TRAINING_SPLIT = 99, 19, -1, 0
@@ -29,8 +29,8 @@ def of_cohort(rows: DataFrame, patients: DataFrame) -> DataFrame:
 
 
 def median_iqr(df: DataFrame, column: str) -> DataFrame:
-    v = clean_number(F.col(column).cast("double"))
-    q = df.agg(F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.count(v).alias("n"))
+    """One row (n, q25, median, q75, iqr) of the values that are no NaN; no row where there are none."""
+    q = quantiles(df.select(clean_number(F.col(column).cast("double")).alias("value")), [], [0.25, 0.5, 0.75])
     return q.select("n", F.col("q")[0].alias("q25"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q75"), (F.col("q")[2] - F.col("q")[0]).alias("iqr"))
 
 
@@ -48,10 +48,15 @@ def histogram(df: DataFrame, column: str, bins: int = 15) -> DataFrame:
     return frame.join(counts, "bin", "left").select("bin", (F.col("a") + (F.col("bin") - 1) * step).alias("low"), (F.col("a") + F.col("bin") * step).alias("high"), F.coalesce("n", F.lit(0)).cast("long").alias("count"))
 
 
+def distinct_sorted(df: DataFrame, column: str, target: str = "value") -> DataFrame:
+    """The distinct non-null values in ascending order."""
+    return df.select(F.col(column).alias(target)).where(F.col(target).isNotNull()).distinct().orderBy(target)
+
+
 def frequency_share(df: DataFrame, column: str, target: str = "value") -> DataFrame:
-    """(value, count, prop_pct) over non-null values."""
+    """(value, count, prop_pct) over non-null values, in ascending order of the value."""
     counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias(target)).agg(F.count(F.lit(1)).alias("count"))
-    return with_share(counts, "count")
+    return with_share(counts, "count").orderBy(target)
 
 
 def gender_share(patients: DataFrame, column: str = "gender") -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from recordmill.functions.labels import clean_number
-from recordmill.operators.shared import running_sum
+from recordmill.operators.shared import column_quantiles, hot_keys, join_salted, mixed, running_sums, stash
 
 
 def long_form(df: DataFrame, features: list[str], ids: list[str]) -> DataFrame:
@@ -26,17 +26,27 @@ def value_ranks(long: DataFrame, keys: list[str], value: str = "value") -> DataF
     Equal values are counted first; the counts are summed over range partitions, so no feature is bound to one task.
     """
     ties = long.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("ties"))
-    return running_sum(ties, keys, [value], "ties", "__upto").withColumn("average_rank", F.col("__upto") - (F.col("ties") - 1) / 2.0).drop("__upto")
+    return running_sums(ties, keys, [value], {"ties": "__upto"}).withColumn("average_rank", F.col("__upto") - (F.col("ties") - 1) / 2.0).drop("__upto")
 
 
-def average_rank(long: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
-    """The rows with a value, and their average rank within keys."""
-    return long.join(value_ranks(long, keys, value).drop("ties"), [*keys, value])
+def average_rank(long: DataFrame, keys: list[str], value: str = "value", salt: list[str] | None = None) -> DataFrame:
+    """The rows with a value, and their average rank within keys. Values that many rows share are spread by a hash of ``salt``."""
+    ranks = value_ranks(long, keys, value)
+    on = [*keys, value]
+    hot = stash(hot_keys(ranks.select(*on, "ties"), "ties"), "hot")
+    rest = [c for c in long.columns if c not in on]
+    return join_salted(long.where(F.col(value).isNotNull()), ranks.drop("ties"), on, hot, salt or rest or on)
 
 
-def _complete_ranks(df: DataFrame, features: list[str], ids: list[str]) -> DataFrame:
-    ranked = average_rank(long_form(df, features, ids), ["feature"])
-    return ranked.groupBy(*ids).pivot("feature", features).agg(F.first("average_rank"))
+def _complete_ranks(df: DataFrame, features: list[str]) -> DataFrame:
+    """``df``, which has no missing value, with each feature replaced by its average ranks. Rows are told apart by ``__row``."""
+    ranked = average_rank(long_form(df, features, ["__row"]), ["feature"], salt=["__row"])
+    return ranked.groupBy("__row").pivot("feature", features).agg(F.first("average_rank"))
+
+
+def _numbered(df: DataFrame, features: list[str], keep: list[str] | None = None) -> DataFrame:
+    """The features as doubles, NaN as null, with a row number ``__row``; written once, so that the numbers are the same for all readers."""
+    return stash(df.select(*(keep or []), *[clean_number(F.col(f).cast("double")).alias(f) for f in features]).withColumn("__row", F.monotonically_increasing_id()), "rows")
 
 
 def _pairs(df: DataFrame, features: list[str], target: str) -> DataFrame:
@@ -53,31 +63,41 @@ def pearson_matrix(df: DataFrame, features: list[str]) -> DataFrame:
     return _pairs(df.select(*[clean_number(F.col(f).cast("double")).alias(f) for f in features]), features, "r")
 
 
-def spearman_matrix(df: DataFrame, features: list[str], ids: list[str], complete: bool = False) -> DataFrame:
-    """(f1, f2, rho) for each pair once. ``ids`` identify a row.
+def spearman_matrix(df: DataFrame, features: list[str]) -> DataFrame:
+    """(f1, f2, rho) for each pair once, each ranked over the rows where both have values; repeated rows count as often as they stand.
 
-    Each pair is ranked over the rows where both have values; ``complete=True`` says that no value is missing, so that one
-    ranking of each feature serves all pairs.
+    Features without a missing value are ranked once for all their pairs. Pairs with a missing value anywhere are ranked
+    together in one job, as keys of their own.
     """
-    if complete:
-        return _pairs(_complete_ranks(df, features, ids), features, "rho")
-    out = None
-    for a, b in combinations(features, 2):
-        both = df.select(*ids, *[clean_number(F.col(f).cast("double")).alias(f) for f in (a, b)]).na.drop(subset=[a, b])
-        part = _pairs(_complete_ranks(both, [a, b], ids), [a, b], "rho")
-        out = part if out is None else out.unionAll(part)
-    return out if out is not None else _pairs(df, features, "rho")
+    rows = _numbered(df, features)
+    if len(features) < 2:
+        return _pairs(rows, features, "rho")
+    missing = rows.agg(*[F.count_if(F.col(f).isNull()).alias(f"m{i}") for i, f in enumerate(features)]).first()
+    whole = [f for f, m in zip(features, missing) if not m]
+    out = _pairs(_complete_ranks(rows.select("__row", *whole), whole), whole, "rho")
+    others = [(a, b) for a, b in combinations(features, 2) if a not in whole or b not in whole]
+    if not others:
+        return out
+    told = F.array(*[F.struct(F.lit(a).alias("f1"), F.lit(b).alias("f2"), F.col(a).alias("x"), F.col(b).alias("y")) for a, b in others])
+    long = rows.select("__row", F.explode(told).alias("p")).select("__row", "p.*").where("x is not null and y is not null")
+    sides = long.select("__row", "f1", "f2", F.explode(F.array(F.struct(F.lit("x").alias("side"), F.col("x").alias("value")), F.struct(F.lit("y").alias("side"), F.col("y").alias("value")))).alias("s")).select("__row", "f1", "f2", "s.*")
+    ranked = average_rank(sides, ["f1", "f2", "side"], salt=["__row"])
+    both = ranked.groupBy("__row", "f1", "f2").pivot("side", ["x", "y"]).agg(F.first("average_rank"))
+    rho = F.try_divide(F.covar_samp("x", "y"), F.stddev_samp("x") * F.stddev_samp("y"))
+    return out.unionByName(both.groupBy("f1", "f2").agg(rho.alias("rho")))
 
 
 def rank_pca(df: DataFrame, features: list[str], ids: list[str]) -> tuple[DataFrame, DataFrame]:
     """(variance table, scores) of the principal components of average ranks, for rows without a missing value.
 
-    The p by p matrix is made in Spark and solved on the driver. A component's largest loading is positive.
+    Scores carry the columns ``ids``; repeated rows have a score each. The p by p matrix is made in Spark and solved on the
+    driver. A component's largest loading is positive. Eigenvalues come in descending order.
     """
     if len(features) < 2:
         raise ValueError("rank_pca needs two features or more")
     spark = df.sparkSession
-    ranks = _complete_ranks(df.na.drop(subset=features), features, ids).persist()
+    rows = _numbered(df, features, ids).na.drop(subset=features)
+    ranks = stash(_complete_ranks(rows.select("__row", *features), features), "ranks")
     m = np.eye(len(features))
     for r in _pairs(ranks, features, "rho").collect():
         i, j = features.index(r["f1"]), features.index(r["f2"])
@@ -89,14 +109,14 @@ def rank_pca(df: DataFrame, features: list[str], ids: list[str]) -> tuple[DataFr
     table = [(i + 1, float(v), float(e), float(c), bool(c >= 0.9)) for i, (v, e, c) in enumerate(zip(values, explained, explained.cumsum()))]
     variance = spark.createDataFrame(table, "component int, eigenvalue double, explained double, cumulative double, reaches_90 boolean")
     scaled = robust_scale(ranks, features)
-    scores = scaled.select(*ids, *[sum((F.col(f) * float(vectors[i, k]) for i, f in enumerate(features)), F.lit(0.0)).alias(f"pc{k + 1}") for k in range(len(features))])
-    return variance, scores
+    scores = scaled.select("__row", *[sum((F.col(f) * float(vectors[i, k]) for i, f in enumerate(features)), F.lit(0.0)).alias(f"pc{k + 1}") for k in range(len(features))])
+    return variance, rows.select("__row", *ids).join(scores, "__row").drop("__row")
 
 
 def robust_scale(df: DataFrame, columns: list[str]) -> DataFrame:
     """(x - median) / (q75 - q25) for each column, a zero range dividing by 1; quartiles are exact and null-free."""
     x = lambda c: clean_number(F.col(c).cast("double"))
-    q = df.agg(*[F.percentile(x(c), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"__q{i}") for i, c in enumerate(columns)])
+    q = column_quantiles(df, {f"__q{i}": x(c) for i, c in enumerate(columns)}, [0.25, 0.5, 0.75])
     wide = df.crossJoin(F.broadcast(q))  # one row
     spread = lambda i: F.col(f"__q{i}")[2] - F.col(f"__q{i}")[0]
     scaled = {c: (x(c) - F.col(f"__q{i}")[1]) / F.when(spread(i) == 0, 1.0).otherwise(spread(i)) for i, c in enumerate(columns)}
@@ -132,31 +152,54 @@ def _normal_tails(z: pd.Series) -> pd.Series:
     return z.map(lambda v: None if pd.isna(v) else math.erfc(abs(v) / math.sqrt(2))).astype("float64")
 
 
-def kruskal(df: DataFrame, features: list[str], ids: list[str], target: str = "macro_class", classes: tuple[str, ...] = ("background", "focal", "generalized")) -> DataFrame:
-    """Kruskal-Wallis for each feature over the classes present, with medians, Holm adjustment and effect size."""
+def class_tally(df: DataFrame, features: list[str], target: str, classes: list[str]) -> DataFrame:
+    """(feature, value, n0, n1, .., u0, u1, ..): how many rows of each class have a value, and have it or a lower one.
+
+    One pass over the rows; all rank statistics of classes follow from this table of distinct values, written once.
+    """
     rows = df.withColumn(target, F.lower(F.col(target))).where(F.col(target).isin(*classes))
-    long = long_form(rows, features, [*ids, target]).where("value is not null")
-    by_class = long.groupBy("feature", "value", target).agg(F.count(F.lit(1)).alias("n"))
-    ranks = value_ranks(long, ["feature"])
-    sums = by_class.join(ranks, ["feature", "value"]).groupBy("feature", target).agg(F.sum(F.col("n") * F.col("average_rank")).alias("r"), F.sum("n").cast("double").alias("n"))
-    per = sums.groupBy("feature").agg(F.sum(F.col("r") * F.col("r") / F.col("n")).alias("s"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"))
-    t = F.col("ties").cast("double")
-    tied = ranks.groupBy("feature").agg(F.sum(t * t * t - t).alias("tied"))
+    long = long_form(rows, features, [target]).where("value is not null")
+    counts = long.groupBy("feature", "value").agg(*[F.count_if(F.col(target) == c).alias(f"n{i}") for i, c in enumerate(classes)])
+    return running_sums(counts, ["feature"], ["value"], {f"n{i}": f"u{i}" for i in range(len(classes))})
+
+
+def _tally_quantile(n: Column, count: str, upto: str, probability: float) -> Column:
+    """The exact quantile of a class with n rows, as an aggregate over a feature's rows of a class tally."""
+    at = (n - 1) * F.lit(probability)
+    value = lambda place: F.min(F.when((F.col(count) > 0) & (F.col(upto) >= place), F.col("value")))
+    return F.struct(value(F.floor(at) + 1).alias("a"), value(F.ceil(at) + 1).alias("b"), F.max(at - F.floor(at)).alias("w"))
+
+
+def kruskal(df: DataFrame, features: list[str], target: str = "macro_class", classes: tuple[str, ...] = ("background", "focal", "generalized")) -> DataFrame:
+    """Kruskal-Wallis for each feature over the classes present, with medians, Holm adjustment and effect size.
+
+    A class that has no value of a feature is left out of its test, of which k says the number of classes; both h and p
+    are null where fewer than two are present or all values are equal.
+    """
+    of = range(len(classes))
+    tally = stash(class_tally(df, features, target, list(classes)), "tally")
+    ties, upto = sum((F.col(f"n{i}") for i in of), F.lit(0)), sum((F.col(f"u{i}") for i in of), F.lit(0))
+    rank, t = upto - (ties - 1) / 2.0, ties.cast("double")
+    sums = tally.groupBy("feature").agg(*[F.sum(F.col(f"n{i}") * rank).alias(f"r{i}") for i in of], *[F.sum(f"n{i}").cast("double").alias(f"c{i}") for i in of], F.sum(t * t * t - t).alias("tied"))
+    n = sum((F.col(f"c{i}") for i in of), F.lit(0.0))
+    s = sum((F.coalesce(F.try_divide(F.col(f"r{i}") * F.col(f"r{i}"), F.col(f"c{i}")), F.lit(0.0)) for i in of), F.lit(0.0))
+    k = sum(((F.col(f"c{i}") > 0).cast("long") for i in of), F.lit(0).cast("long"))
+    tests = sums.select("feature", n.alias("n"), k.alias("k"), s.alias("s"), "tied", *[f"c{i}" for i in of])
     n = F.col("n")
     h = F.try_divide(F.lit(12.0) / (n * (n + 1)) * F.col("s") - 3 * (n + 1), 1 - F.try_divide(F.col("tied"), n * n * n - n))
-    tests = per.join(tied, "feature").withColumn("h", F.when(F.col("k") > 1, h))
+    tests = tests.withColumn("h", F.when(F.col("k") > 1, h))
     tests = tests.withColumn("p", F.when(F.col("k") == 3, F.exp(-F.col("h") / 2)).otherwise(_chi2_tails("h", F.col("k") - 1)))
     tests = holm(tests, "p").withColumn("epsilon_sq", epsilon_squared(F.col("h"), n))
     e, p = F.col("epsilon_sq"), F.col("p_holm")
     magnitude = F.when(e < 0.01, "negligible").when(e < 0.08, "small").when(e < 0.26, "medium").when(e.isNotNull(), "large")
     stars = F.when(p < 0.001, "***").when(p < 0.01, "**").when(p < 0.05, "*").otherwise("")
-    quartiles = lambda c: F.percentile(F.when(F.col(target) == c, F.col("value")), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(c)
-    q = long.groupBy("feature").agg(*[quartiles(c) for c in classes])
-    mid = {c: F.col(c)[1] for c in classes}
-    spread = {c: F.col(c)[2] - F.col(c)[0] for c in classes}
-    told = [x for c in classes for x in (mid[c].alias(f"median_{c}"), spread[c].alias(f"iqr_{c}"), F.format_string("%.2f (%.2f)", mid[c], spread[c]).alias(f"text_{c}"))]
+    sized = tally.join(F.broadcast(sums.select("feature", *[f"c{i}" for i in of])), "feature")  # a row a feature
+    q = sized.groupBy("feature").agg(*[_tally_quantile(F.col(f"c{i}"), f"n{i}", f"u{i}", w).alias(f"q{i}_{j}") for i in of for j, w in enumerate((0.25, 0.5, 0.75))])
+    cut = lambda i, j: mixed(F.col(f"q{i}_{j}.a"), F.col(f"q{i}_{j}.b"), F.col(f"q{i}_{j}.w"))
+    mid, spread = {i: cut(i, 1) for i in of}, {i: cut(i, 2) - cut(i, 0) for i in of}
+    told = [x for i, c in enumerate(classes) for x in (mid[i].alias(f"median_{c}"), spread[i].alias(f"iqr_{c}"), F.when(mid[i].isNotNull(), F.format_string("%.2f (%.2f)", mid[i], spread[i])).alias(f"text_{c}"))]
     tests = tests.withColumn("magnitude", magnitude).withColumn("h_text", F.concat(F.format_string("%.2f", "h"), stars))
-    return tests.join(q.select("feature", *told), "feature").drop("s", "tied")
+    return tests.join(q.select("feature", *told), "feature").drop("s", "tied", *[f"c{i}" for i in of])
 
 
 def epsilon_squared(h: Column, n: Column) -> Column:
@@ -174,24 +217,24 @@ def holm(df: DataFrame, p: str = "p", families: list[str] | None = None, target:
     return raised.withColumn(target, F.when(F.col("__in"), F.least(F.lit(1.0), top))).drop("__in", "__a", "__j")
 
 
-def mann_whitney(df: DataFrame, features: list[str], ids: list[str], target: str = "macro_class", pairs: tuple[tuple[str, str], ...] = (("background", "focal"), ("background", "generalized"), ("focal", "generalized"))) -> DataFrame:
-    """(feature, class1, class2, n1, n2, u, z, r, p, p_holm) for each feature and pair of classes.
+def mann_whitney(df: DataFrame, features: list[str], target: str = "macro_class", pairs: tuple[tuple[str, str], ...] = (("background", "focal"), ("background", "generalized"), ("focal", "generalized"))) -> DataFrame:
+    """(feature, class1, class2, n1, n2, u, z, r, p, p_holm) for each feature and pair of classes that both have values.
 
     u is the first class's. z and the effect r = |z| / sqrt(n1 + n2) leave ties uncorrected; p has tie and continuity
     correction, and is exact where the smaller group has at most 8 values and there are no ties. Holm runs over a
-    feature's pairs.
+    feature's pairs. All pairs are read off one tally of distinct values.
     """
-    names = F.array(*[F.struct(F.lit(a).alias("class1"), F.lit(b).alias("class2")) for a, b in pairs])
-    long = long_form(df.withColumn(target, F.lower(F.col(target))), features, [*ids, target]).where("value is not null")
-    spread = long.withColumn("pair", F.explode(names)).select("feature", "value", F.col("pair.class1").alias("class1"), F.col("pair.class2").alias("class2"), F.col(target).alias("c"))
-    spread = spread.where((F.col("c") == F.col("class1")) | (F.col("c") == F.col("class2")))
-    keys = ["feature", "class1", "class2"]
-    firsts = spread.groupBy(*keys, "value").agg(F.sum((F.col("c") == F.col("class1")).cast("long")).alias("a"))
-    ranks = value_ranks(spread, keys)
-    t = F.col("ties").cast("double")
-    s = ranks.join(firsts, [*keys, "value"]).groupBy(*keys).agg(
-        F.sum(F.col("a") * F.col("average_rank")).alias("r1"), F.sum("a").cast("double").alias("n1"), F.sum(F.col("ties") - F.col("a")).cast("double").alias("n2"), F.sum(t * t * t - t).alias("tied")
-    )
+    classes = sorted({c for pair in pairs for c in pair})
+    tally = class_tally(df, features, target, classes)
+    per = []
+    for i, (one, two) in enumerate(pairs):
+        a, b = classes.index(one), classes.index(two)
+        ties, upto = F.col(f"n{a}") + F.col(f"n{b}"), F.col(f"u{a}") + F.col(f"u{b}")
+        t = ties.cast("double")
+        per += [F.sum(F.col(f"n{a}") * (upto - (ties - 1) / 2.0)).alias(f"r{i}"), F.sum(f"n{a}").cast("double").alias(f"a{i}"), F.sum(f"n{b}").cast("double").alias(f"b{i}"), F.sum(t * t * t - t).alias(f"t{i}")]
+    sums = tally.groupBy("feature").agg(*per)
+    told = F.array(*[F.struct(F.lit(one).alias("class1"), F.lit(two).alias("class2"), F.col(f"a{i}").alias("n1"), F.col(f"b{i}").alias("n2"), F.col(f"r{i}").alias("r1"), F.col(f"t{i}").alias("tied")) for i, (one, two) in enumerate(pairs)])
+    s = sums.select("feature", F.explode(told).alias("s")).select("feature", "s.*")
     n1, n2 = F.col("n1"), F.col("n2")
     n = n1 + n2
     s = s.where((n1 > 0) & (n2 > 0)).withColumn("u", F.col("r1") - n1 * (n1 + 1) / 2)
@@ -199,7 +242,7 @@ def mann_whitney(df: DataFrame, features: list[str], ids: list[str], target: str
     sd = F.sqrt(n1 * n2 / 12 * (n + 1 - F.try_divide(F.col("tied"), n * (n - 1))))
     corrected = F.try_divide(F.greatest(F.abs(F.col("u") - n1 * n2 / 2) - 0.5, F.lit(0.0)), sd)
     exact = (F.least(n1, n2) <= 8) & (F.col("tied") == 0)
-    s = s.withColumn("p", F.when(exact, _exact_tails("u", "n1", "n2")).otherwise(_normal_tails(corrected)))
+    s = s.withColumn("p", F.when(exact, _exact_tails(F.when(exact, F.col("u")), n1, n2)).otherwise(_normal_tails(corrected)))
     return holm(s, "p", ["feature"]).drop("r1", "tied")
 
 
@@ -210,8 +253,8 @@ def u_counts(n1: int, n2: int) -> np.ndarray:
         up = np.zeros(len(ways) + n2 + i)
         up[: len(ways)] += ways
         up[n2 + i :] -= ways
-        for j in range(i, len(up)):
-            up[j] += up[j - i]
+        for j in range(i):
+            up[j::i] = np.cumsum(up[j::i])
         ways = up[: i * n2 + 1]
     return ways
 
@@ -220,7 +263,7 @@ def u_counts(n1: int, n2: int) -> np.ndarray:
 def _exact_tails(u: pd.Series, n1: pd.Series, n2: pd.Series) -> pd.Series:
     out = []
     for a, b, c in zip(u, n1, n2):
-        if min(b, c) > 8:
+        if pd.isna(a):  # not an exact case
             out.append(float("nan"))
             continue
         ways = u_counts(int(min(b, c)), int(max(b, c)))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from recordmill.functions.labels import clean_number
 from recordmill.operators.features import columns_by_suffix
+from recordmill.operators.shared import quantiles, stash
 
 # Positions of the 19 sites of the 10-20 layout on the unit disc.
 POSITIONS = {
@@ -27,7 +28,10 @@ def electrodes(spark) -> DataFrame:
 def class_medians(df: DataFrame, features: list[str], target: str = "macro_class", classes: tuple[str, ...] = CLASSES) -> DataFrame:
     """(feature, class, median) with exact medians."""
     rows = df.select(F.lower(F.col(target)).alias("class"), *[clean_number(F.col(f).cast("double")).alias(f) for f in features]).where(F.col("class").isin(*classes))
-    return rows.unpivot(["class"], features, "feature", "value").groupBy("feature", "class").agg(F.percentile("value", F.lit(0.5)).alias("median"))
+    found = quantiles(rows.unpivot(["class"], features, "feature", "value"), ["feature", "class"], [0.5])
+    frame = rows.sparkSession.createDataFrame([(f, c) for f in features for c in classes], "feature string, class string")
+    present = rows.select("class").distinct()  # a class without a value of a feature has a null median
+    return frame.join(F.broadcast(present), "class", "left_semi").join(found, ["feature", "class"], "left").select("feature", "class", F.col("q")[0].alias("median"))
 
 
 def pair_midpoints(features: DataFrame, column: str = "feature") -> DataFrame:
@@ -42,7 +46,7 @@ def pair_midpoints(features: DataFrame, column: str = "feature") -> DataFrame:
 
 def montage_points(df: DataFrame, metric_suffix: str, target: str = "macro_class", classes: tuple[str, ...] = CLASSES) -> DataFrame:
     """(feature, class, median, x, y, low, high): medians at pair midpoints, and the range over all of them."""
-    medians = class_medians(df, columns_by_suffix(df, metric_suffix), target, classes)
+    medians = stash(class_medians(df, columns_by_suffix(df, metric_suffix), target, classes), "medians")  # a row a feature and class
     wide = pair_midpoints(medians)
     complete = wide.where("median is not null").groupBy("feature").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == len(classes)).select("feature")
     points = wide.join(complete, "feature")

@@ -231,8 +231,7 @@ WIDE_RANKS = "(select " + ", ".join(f"rank() over (order by {c}) + (count(*) ove
 
 @register("spearman", _pair_sql(WIDE_RANKS, "rho"))
 def _(spark, d):
-    rows = r.windows(spark, d).withColumn("row", F.struct(*r.ROW, *r.FEATURES))
-    return rounded(ranks.spearman_matrix(rows, r.FEATURES, ["row"], complete=True), 5, "rho")
+    return rounded(ranks.spearman_matrix(r.windows(spark, d), r.FEATURES), 5, "rho")
 
 
 ANOVA = f"""(select feature, (b/(k-1))/(w/(n-k)) f from (select feature, sum(n*(m-g)*(m-g)) b, sum(ss) w, count(*) k, sum(n) n from
@@ -280,7 +279,7 @@ KRUSKAL = f"""(select feature, n, h, exp(-h/2) p, h*(n+1)/(n*n-1) epsilon_sq fro
  (select feature, quantile_cont(v,0.5) filter (macro_class='a') median_a, quantile_cont(v,0.5) filter (macro_class='n') median_n, quantile_cont(v,0.5) filter (macro_class='r') median_r from {LONG} group by 1) using (feature)""",
 )
 def _(spark, d):
-    out = ranks.kruskal(r.windows(spark, d), r.FEATURES, r.ROW, classes=r.CLASSES)
+    out = ranks.kruskal(r.windows(spark, d), r.FEATURES, classes=r.CLASSES)
     out = out.select("feature", "h", "p", "p_holm", "epsilon_sq", *[f"median_{c}" for c in r.CLASSES])
     return rounded(rounded(rounded(out, 4, "h", *[f"median_{c}" for c in r.CLASSES]), 6, "p", "p_holm"), 8, "epsilon_sq")
 
@@ -293,13 +292,13 @@ MW_PAIRS = (("a", "n"), ("a", "r"), ("n", "r"))
 
 @register("mann_whitney", " union all ".join(PAIRWISE.format(a=a, b=b, long=LONG) for a, b in MW_PAIRS))
 def _(spark, d):
-    out = ranks.mann_whitney(r.windows(spark, d), r.FEATURES, r.ROW, pairs=MW_PAIRS)
+    out = ranks.mann_whitney(r.windows(spark, d), r.FEATURES, pairs=MW_PAIRS)
     return rounded(rounded(out.select("feature", "class1", "class2", "n1", "n2", "u", "z", "r"), 1, "u"), 6, "z", "r")
 
 
 @register("mann_whitney_tests")
 def _(spark, d):
-    return rounded(ranks.mann_whitney(r.windows(spark, d), r.FEATURES, r.ROW, pairs=MW_PAIRS).select("feature", "class1", "class2", "p", "p_holm"), 6, "p", "p_holm")
+    return rounded(ranks.mann_whitney(r.windows(spark, d), r.FEATURES, pairs=MW_PAIRS).select("feature", "class1", "class2", "p", "p_holm"), 6, "p", "p_holm")
 
 
 def _bins(c: str) -> str:
@@ -349,15 +348,13 @@ def _(spark, d):
 
 @register("rank_pca_variance")
 def _(spark, d):
-    rows = r.windows(spark, d).withColumn("row", F.struct(*r.ROW, *r.FEATURES))
-    return rounded(ranks.rank_pca(rows, r.FEATURES, ["row"])[0], 5, "eigenvalue", "explained", "cumulative")
+    return rounded(ranks.rank_pca(r.windows(spark, d), r.FEATURES, r.ROW)[0], 5, "eigenvalue", "explained", "cumulative")
 
 
 @register("rank_pca_scores")
 def _(spark, d):
-    rows = r.windows(spark, d).withColumn("row", F.struct(*r.ROW, *r.FEATURES))
-    out = ranks.rank_pca(rows, r.FEATURES, ["row"])[1].select("row.*", *[f"pc{i + 1}" for i in range(4)])
-    return rounded(out.select(*r.ROW, *[f"pc{i + 1}" for i in range(4)]), 5, *[f"pc{i + 1}" for i in range(4)])
+    pcs = [f"pc{i + 1}" for i in range(4)]
+    return rounded(ranks.rank_pca(r.windows(spark, d), r.FEATURES, r.ROW)[1].select(*r.ROW, *pcs), 5, *pcs)
 
 
 def _knn_sql(distance: str, k: int) -> str:

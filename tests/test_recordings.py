@@ -123,21 +123,21 @@ def test_ranks_and_tests_against_numpy(spark):
     n = len(x)
     _, t = np.unique(x, return_counts=True)
     h = (12 / (n * (n + 1)) * sum(rank[c == k].sum() ** 2 / (c == k).sum() for k in set(c)) - 3 * (n + 1)) / (1 - (t**3 - t).sum() / (n**3 - n))
-    k = {r["feature"]: r for r in ranks.kruskal(df, ["x", "y"], ["id"]).collect()}
+    k = {r["feature"]: r for r in ranks.kruskal(df, ["x", "y"]).collect()}
     assert math.isclose(k["x"]["h"], h) and math.isclose(k["x"]["p"], math.exp(-h / 2)) and k["x"]["p_holm"] >= k["x"]["p"]
-    mw = ranks.mann_whitney(df, ["x"], ["id"]).where("class1='background' and class2='focal'").first()
+    mw = ranks.mann_whitney(df, ["x"]).where("class1='background' and class2='focal'").first()
     a, b = x[c == "background"], x[c == "focal"]
     assert mw["u"] == sum((i > j) + (i == j) / 2 for i in a for j in b)
     assert ranks.u_counts(3, 2).tolist() == [1, 1, 2, 2, 2, 1, 1]
     small = spark.createDataFrame([(i, "background" if i < 3 else "focal", float(i)) for i in range(6)], "id long, macro_class string, x double")
-    assert math.isclose(ranks.mann_whitney(small, ["x"], ["id"]).first()["p"], 0.1)
+    assert math.isclose(ranks.mann_whitney(small, ["x"]).first()["p"], 0.1)
     assert math.isclose(ranks.chi2_tail(7.815, 3), 0.05, rel_tol=1e-3) and math.isclose(ranks.chi2_tail(5.991, 2), 0.05, rel_tol=1e-3)
     variance, scores = ranks.rank_pca(df, ["x", "y"], ["id"])
     assert math.isclose(sum(r["explained"] for r in variance.collect()), 1) and scores.count() == sum(r[3] is not None for r in rows)
     constant = spark.createDataFrame([(i, "focal" if i % 2 else "background", 1.0) for i in range(6)], "id long, macro_class string, x double")
-    assert ranks.kruskal(constant, ["x"], ["id"]).first()["h"] is None
+    assert ranks.kruskal(constant, ["x"]).first()["h"] is None
     two = spark.createDataFrame([(i, "focal" if i % 2 else "background", float(i + 10 * (i % 2)), float(i)) for i in range(20)] + [(20, "generalized", None, 3.0)], "id long, macro_class string, x double, y double")
-    got = {r["feature"]: r for r in ranks.kruskal(two, ["x", "y"], ["id"]).collect()}
+    got = {r["feature"]: r for r in ranks.kruskal(two, ["x", "y"]).collect()}
     assert got["x"]["k"] == 2 and abs(got["x"]["p"] - ranks.chi2_tail(got["x"]["h"], 1)) < 1e-12
     assert got["x"]["p_holm"] == min(1.0, 2 * got["x"]["p"]) and got["x"]["h_text"].endswith("*") and got["y"]["k"] == 3
 
