@@ -67,20 +67,18 @@ def mutual_info(df: DataFrame, features: list[str], ids: list[str], target: str
     """(feature, mutual_info): nearest-neighbour estimate between a continuous feature and a class, at least 0.
 
     Values are scaled to unit deviation and get seeded noise of relative size ``noise`` from the row's ids, which breaks
-    ties; classes with one member are passed over, and k is at most a class's size less one.
+    ties; without noise they stay as they are, as the estimate does not depend on the scale. Classes with one member are
+    passed over, and k is at most a class's size less one. The ids are not read without noise.
     """
     long = long_form(df.where(F.col(target).isNotNull()), features, [*ids, target]).where("value is not null")
     stats = long.groupBy("feature").agg(F.stddev_pop("value").alias("sd"), F.avg(F.abs("value")).alias("size"))
     seeded = (F.pmod(F.xxhash64("feature", *ids), F.lit(1 << 30)) / float(1 << 30) - 0.5) * noise
     x = long.join(F.broadcast(stats), "feature")  # a row a feature
-    x = x.withColumn("x", F.col("value") / F.when(F.col("sd") > 0, F.col("sd")).otherwise(1.0))
-    x = x.withColumn("x", F.col("x") + seeded * F.greatest(F.lit(1.0), F.col("size"))).select("feature", F.col(target).alias("c"), "x")
+    scaled = F.col("value") / F.when(F.col("sd") > 0, F.col("sd")).otherwise(1.0) + seeded * F.greatest(F.lit(1.0), F.col("size"))
+    x = x.select("feature", F.col(target).alias("c"), (scaled if noise else F.col("value")).alias("x"))
     sizes = x.groupBy("feature", "c").agg(F.count(F.lit(1)).alias("n_c")).where("n_c > 1")
-    w = Window.partitionBy("feature", "c").orderBy("x")
-    near = x.join(F.broadcast(sizes), ["feature", "c"])  # a row a feature and class
-    gaps = F.array(*[F.abs(F.col("x") - step("x", i).over(w)) for i in range(1, k + 1) for step in (F.lag, F.lead)])
-    sorted_gaps = F.array_sort(F.filter(gaps, lambda g: g.isNotNull()))
-    near = near.withColumn("k", F.least(F.lit(k), F.col("n_c") - 1).cast("int")).withColumn("radius", F.element_at(sorted_gaps, F.col("k")))
+    near = _radius(x, k).join(F.broadcast(sizes), ["feature", "c"])  # a row a feature and class
+    near = stash(near.withColumn("k", F.least(F.lit(k), F.col("n_c") - 1).cast("int")).withColumn("radius", F.element_at("gaps", F.col("k"))), "radius")
     # Points strictly within the radius: those below its upper end less those up to its lower end, by running counts.
     points = near.select("feature", F.col("x").alias("at"), F.lit(1).alias("side"), F.lit(1).alias("one"), F.lit(0).alias("sign"))
     ends = near.select("feature", F.explode(F.array(F.struct((F.col("x") - F.col("radius")).alias("at"), F.lit(2).alias("side"), F.lit(-1).alias("sign")), F.struct((F.col("x") + F.col("radius")).alias("at"), F.lit(0).alias("side"), F.lit(1).alias("sign")))).alias("e"))
@@ -97,6 +95,28 @@ def mutual_info(df: DataFrame, features: list[str], ids: list[str], target: str
     return out.select("feature", F.greatest(F.lit(0.0), psi("n") + F.col("a") - F.col("b") - F.col("d")).alias("mutual_info"))
 
 
+def _radius(x: DataFrame, k: int) -> DataFrame:
+    """(feature, c, x, gaps): the distances to the k nearest other values on either side within (feature, c), ascending.
+
+    Rows are range-partitioned by (feature, c, x). Neighbours come from windows within a part; a part lends its first and
+    last k rows of a group to the parts beside it, so that no group is one task.
+    """
+    cols = ["feature", "c", "x"]
+    dealt = stash(x.repartitionByRange(*cols).sortWithinPartitions(*cols).withColumn("part", F.spark_partition_id()), "ranged")
+    group = Window.partitionBy("feature", "c", "part")
+    ends = dealt.withColumn("up", F.row_number().over(group.orderBy("x"))).withColumn("down", F.row_number().over(group.orderBy(F.desc("x")))).where((F.col("up") <= k) | (F.col("down") <= k))
+    # Only up to 2k rows of a part and group: the last k rows before it and the first k after it, wherever they lie.
+    by = Window.partitionBy("feature", "c").orderBy("part", "x")
+    ends = ends.withColumn("before", F.collect_list("x").over(by.rowsBetween(-k, -1))).withColumn("after", F.collect_list("x").over(by.rowsBetween(1, k)))
+    edge = ends.groupBy("feature", "c", "part").agg(F.min_by("before", "up").alias("before"), F.min_by("after", "down").alias("after"))
+    lent = dealt.select(*cols, "part", F.lit(True).alias("own"))
+    for side in ("before", "after"):
+        lent = lent.unionByName(edge.select("feature", "c", "part", F.explode(side).alias("x"), F.lit(False).alias("own")))
+    order = group.orderBy("x")
+    gaps = F.array(*[F.abs(F.col("x") - step("x", i).over(order)) for i in range(1, k + 1) for step in (F.lag, F.lead)])
+    return lent.withColumn("gaps", F.array_sort(F.filter(gaps, lambda g: g.isNotNull()))).where("own").select(*cols, "gaps")
+
+
 def digamma(n: Column) -> Column:
     """psi of a positive integer: exact sums of reciprocals to 8, beyond that the asymptotic series, exact to a double."""
     small = F.lit(-EULER)
@@ -108,7 +128,7 @@ def digamma(n: Column) -> Column:
     return F.when(n <= 8, small).otherwise(large)
 
 
-def rank_features(df: DataFrame, ids: list[str], target: str = "macro_class", top_k: int = 10) -> DataFrame:
+def rank_features(df: DataFrame, ids: list[str], target: str = "macro_class", top_k: int = 10, noise: float = 1e-10) -> DataFrame:
     """(mrmr_rank, feature, mutual_info, iqr) of the selected features, in order of selection."""
     clean = sanitise_numeric(df, target, ids)
     features = [c for c in clean.columns if c not in (target, *ids)]
@@ -116,4 +136,4 @@ def rank_features(df: DataFrame, ids: list[str], target: str = "macro_class", to
     names = df.sparkSession.createDataFrame([(i + 1, c) for i, c in enumerate(chosen)], "mrmr_rank int, feature string")
     q = quantiles(long_form(clean, chosen, []), ["feature"], [0.25, 0.75])
     spread = q.select("feature", (F.col("q")[1] - F.col("q")[0]).alias("iqr"))
-    return names.join(mutual_info(clean, chosen, ids, target), "feature", "left").join(spread, "feature", "left").select("mrmr_rank", "feature", "mutual_info", "iqr")
+    return names.join(mutual_info(clean, chosen, ids, target, noise=noise), "feature", "left").join(spread, "feature", "left").select("mrmr_rank", "feature", "mutual_info", "iqr").orderBy("mrmr_rank")

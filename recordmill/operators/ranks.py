@@ -174,7 +174,7 @@ def kruskal(df: DataFrame, features: list[str], target: str = "macro_class", cla
     """Kruskal-Wallis for each feature over the classes present, with medians, Holm adjustment and effect size.
 
     A class that has no value of a feature is left out of its test, of which k says the number of classes; both h and p
-    are null where fewer than two are present or all values are equal.
+    are null where fewer than two are present or all values are equal. Texts round halves up.
     """
     of = range(len(classes))
     tally = stash(class_tally(df, features, target, list(classes)), "tally")

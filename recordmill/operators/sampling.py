@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def sample_n(df: DataFrame, n: int, key: list[str], seed: int = 42) -> DataFrame:
-    """Exactly n rows (all, if fewer), the same ones each time: those with the smallest hash of seed and key."""
-    return df.orderBy(F.xxhash64(F.lit(seed), *key), *key).limit(n)
+def sample_n(df: DataFrame, n: int, key: list[str], seed: int = 42, order: Column | None = None) -> DataFrame:
+    """Exactly n rows (all, if fewer), the same ones each time: those with the smallest ``order``, a hash of seed and key by default."""
+    return df.orderBy(F.xxhash64(F.lit(seed), *key) if order is None else order, *key).limit(n)
 
 
 def balanced_sample(

@@ -191,9 +191,12 @@ def _(spark, d):
     return rounded(out.select("patient_id", "macro_class", *SAMPLE_ORDER, "price"), 2, "price")
 
 
-@register("sample_n")
+MIXED = "(l_orderkey * 7919 + l_linenumber * 104729 + l_partkey * 1299709 + l_suppkey * 15485863) % 1000003"
+
+
+@register("sample_n", f"select l_orderkey, l_linenumber, l_partkey, l_suppkey, price from {r.WINDOWS} order by {MIXED}, l_orderkey, l_linenumber, l_partkey, l_suppkey limit 500")
 def _(spark, d):
-    return sampling.sample_n(r.windows(spark, d).select(*r.ROW, "price"), 500, r.ROW)
+    return sampling.sample_n(r.windows(spark, d).select(*r.ROW, "price"), 500, r.ROW, order=F.expr(MIXED))
 
 
 @register("robust_scale", f"with q as (select {', '.join(f'quantile_cont({c},0.5) m_{c}, quantile_cont({c},0.75)-quantile_cont({c},0.25) s_{c}' for c in r.FEATURES)} from {r.WINDOWS}) select {', '.join(r.ROW)}, {', '.join(f'round(({c}-m_{c})/case when s_{c}=0 then 1 else s_{c} end,6) {c}' for c in r.FEATURES)} from {r.WINDOWS}, q")
@@ -243,28 +246,54 @@ def _(spark, d):
     return rounded(features.anova_f(r.windows(spark, d), r.FEATURES), 4, "f")
 
 
-@register(
-    "mrmr",
-    f"""with f as {ANOVA}, r0 as ({_pair_sql(r.WINDOWS, 'r')}), c as (select f1,f2,greatest(abs(r),0.001) r from r0 union all select f2,f1,greatest(abs(r),0.001) from r0),
+MRMR = f"""(with f as {ANOVA}, r0 as ({_pair_sql(r.WINDOWS, 'r')}), c as (select f1,f2,greatest(abs(r),0.001) r from r0 union all select f2,f1,greatest(abs(r),0.001) from r0),
  s1 as (select feature from f where f>0 order by f desc limit 1),
  s2 as (select feature from f join c on c.f1=feature where f>0 and c.f2=(select feature from s1) order by f/r desc limit 1),
  s3 as (select feature from (select feature, any_value(f) f, avg(r) r from f join c on c.f1=feature where f>0 and feature not in (select feature from s1 union all select feature from s2) and c.f2 in (select feature from s1 union all select feature from s2) group by 1) order by f/r desc limit 1)
- select 1 mrmr_rank, feature from s1 union all select 2, feature from s2 union all select 3, feature from s3""",
-)
+ select 1 mrmr_rank, feature from s1 union all select 2, feature from s2 union all select 3, feature from s3)"""
+
+
+@register("mrmr", f"select * from {MRMR}")
 def _(spark, d):
     chosen = features.mrmr_select(r.windows(spark, d), r.FEATURES, k=3)
     return spark.createDataFrame([(i + 1, c) for i, c in enumerate(chosen)], "mrmr_rank int, feature string")
 
 
-@register("rank_features")
+def _psi(n: str) -> str:
+    """The logarithmic derivative of the gamma function at a positive integer: sums of reciprocals, and its asymptotic series beyond 8."""
+    small = " + ".join(f"case when {n} > {i} then 1.0/{i} else 0 end" for i in range(1, 8))
+    y = f"(1.0/(cast({n} as double)*{n}))"
+    return f"case when {n} <= 8 then {small} - {features.EULER} else ln({n}) - 0.5/{n} - {y}*(1.0/12 - {y}*(1.0/120 - {y}*(1.0/252 - {y}*(1.0/240 - {y}/132)))) end"
+
+
+_STEPS = ", ".join(f"abs(v - {f}(v,{i}) over w)" for i in (1, 2, 3) for f in ("lag", "lead"))
+MUTUAL = f"""(with g as (select feature, macro_class c, v x, count(*) over (partition by feature, macro_class) n_c, list_sort(list_filter([{_STEPS}], lambda y: y is not null)) gaps
+  from {LONG} window w as (partition by feature, macro_class order by v)),
+ b as (select feature, x, n_c, least(3, n_c-1) k, gaps[least(3, n_c-1)] rad, row_number() over () id from g where n_c > 1),
+ e as (select feature, x as spot, 1 side, 1 one, null id from b union all select feature, x-rad, 2, 0, id from b union all select feature, x+rad, 0, 0, id from b),
+ u as (select *, sum(one) over (partition by feature order by spot, side rows unbounded preceding) upto from e),
+ m as (select id, cast(greatest(max(case when side=0 then upto end) - max(case when side=2 then upto end), 1) as bigint) m from u where id is not null group by 1),
+ t as (select feature, count(*) n, avg({_psi('k')}) a, avg({_psi('n_c')}) b, avg({_psi('m')}) d from b join m using (id) group by 1)
+ select feature, greatest(0, {_psi('n')} + a - b - d) mutual_info from t)"""
+
+
+@register("mutual_info", f"select feature, round(mutual_info,6) mutual_info from {MUTUAL}")
 def _(spark, d):
-    rows = r.windows(spark, d).select(*r.ROW, "macro_class", *r.FEATURES)
-    return rounded(features.rank_features(rows, r.ROW, top_k=3), 6, "mutual_info", "iqr")
+    return rounded(features.mutual_info(r.windows(spark, d), r.FEATURES, r.ROW, noise=0.0), 6, "mutual_info")
+
+
+@register("mutual_info_with_noise")
+def _(spark, d):
+    return rounded(features.mutual_info(r.windows(spark, d), r.FEATURES, r.ROW), 6, "mutual_info")
 
 
-@register("mutual_info")
+@register(
+    "rank_features",
+    f"select s.mrmr_rank, s.feature, round(m.mutual_info,6) mutual_info, round(q.iqr,6) iqr from {MRMR} s join {MUTUAL} m on m.feature=s.feature join (select feature, quantile_cont(v,0.75)-quantile_cont(v,0.25) iqr from {LONG} group by 1) q on q.feature=s.feature",
+)
 def _(spark, d):
-    return rounded(features.mutual_info(r.windows(spark, d), ["price", "quantity"], r.ROW), 6, "mutual_info")
+    rows = r.windows(spark, d).select(*r.ROW, "macro_class", *r.FEATURES)
+    return rounded(features.rank_features(rows, r.ROW, top_k=3, noise=0.0), 6, "mutual_info", "iqr")
 
 
 KRUSKAL = f"""(select feature, n, h, exp(-h/2) p, h*(n+1)/(n*n-1) epsilon_sq from (select feature, n, (12.0/(n*(n+1))*s-3*(n+1))/(1-tied/(n*n*n-n)) h from
@@ -284,6 +313,29 @@ def _(spark, d):
     return rounded(rounded(rounded(out, 4, "h", *[f"median_{c}" for c in r.CLASSES]), 6, "p", "p_holm"), 8, "epsilon_sq")
 
 
+def _two_places(x: str) -> str:
+    """A number as text with two decimals, halves rounded up, as format_string does."""
+    return f"cast(cast(round(cast({x} as decimal(18,6)), 2) as decimal(18,2)) as varchar)"
+
+
+def _quartiles(c: str) -> str:
+    q = {p: f"quantile_cont(v,{p}) filter (macro_class='{c}')" for p in (0.25, 0.5, 0.75)}
+    iqr = f"({q[0.75]} - {q[0.25]})"
+    return f"round({iqr},4) iqr_{c}, {_two_places(q[0.5])} || ' (' || {_two_places(iqr)} || ')' text_{c}"
+
+
+@register(
+    "kruskal_effects",
+    f"""select feature, cast(n as double) n, 3 k, case when epsilon_sq<0.01 then 'negligible' when epsilon_sq<0.08 then 'small' when epsilon_sq<0.26 then 'medium' else 'large' end magnitude,
+ {_two_places('h')} || case when p_holm<0.001 then '***' when p_holm<0.01 then '**' when p_holm<0.05 then '*' else '' end h_text, {", ".join(f"iqr_{c}, text_{c}" for c in r.CLASSES)} from
+ (select *, least(1, max(a) over (order by j rows unbounded preceding)) p_holm from (select *, (count(*) over () - row_number() over (order by p) + 1)*p a, row_number() over (order by p) j from {KRUSKAL})) join (select feature, {', '.join(map(_quartiles, r.CLASSES))} from {LONG} group by 1) using (feature)""",
+)
+def _(spark, d):
+    out = ranks.kruskal(r.windows(spark, d), r.FEATURES, classes=r.CLASSES)
+    told = [x for c in r.CLASSES for x in (f"iqr_{c}", f"text_{c}")]
+    return rounded(out.select("feature", "n", F.col("k").cast("int").alias("k"), "magnitude", "h_text", *told), 4, *[f"iqr_{c}" for c in r.CLASSES])
+
+
 PAIRWISE = """select feature, '{a}' class1, '{b}' class2, cast(n1 as double) n1, cast(n2 as double) n2, round(u,1) u, round((u-n1*n2/2)/sqrt(n1*n2*(n1+n2+1)/12),6) z, round(abs((u-n1*n2/2)/sqrt(n1*n2*(n1+n2+1)/12))/sqrt(n1+n2),6) r from
  (select feature, cast(count(*) filter (macro_class='{a}') as double) n1, cast(count(*) filter (macro_class='{b}') as double) n2, sum(rk) filter (macro_class='{a}') - count(*) filter (macro_class='{a}') * (count(*) filter (macro_class='{a}')+1)/2.0 u from
  (select feature, macro_class, rank() over (partition by feature order by v) + (count(*) over (partition by feature, v)-1)/2.0 rk from {long} where macro_class in ('{a}','{b}')) group by 1)"""
@@ -322,7 +374,17 @@ def _(spark, d):
  select v.c as class, cast(i as int) i, round(any_value(x),5) x, round(sum(m*exp(-0.5*pow((x-q)/h,2)))/(any_value(n)*any_value(h)*2.5066282746310002)*any_value(width),8) density from v join p using (c), g, {_bins('quantity')} group by 1,2""",
 )
 def _(spark, d):
-    return rounded(rounded(density.kde_grid(r.windows(spark, d), "quantity"), 5, "x"), 8, "density")
+    return rounded(rounded(density.kde_grid(r.windows(spark, d), "quantity", cells=0), 5, "x"), 8, "density")
+
+
+@register(
+    "kde_price",
+    f"""with e as (select min(price) a, max(price) b from {r.WINDOWS}), p as (select macro_class c, cast(count(*) as double) n, stddev_samp(price)*pow(count(*),-0.2) h from {r.WINDOWS} group by 1),
+ v as (select macro_class c, price q, count(*) m from {r.WINDOWS} group by 1,2), g as (select i, a+(b-a)*i/199 x from e, (select unnest(range(0,200)) i))
+ select v.c as class, cast(i as int) i, round(any_value(x),3) x, round(sum(m*exp(-0.5*pow((x-q)/h,2)))/(any_value(n)*any_value(h)*2.5066282746310002)*any_value(width),6) density from v join p using (c), g, {_bins('price')} group by 1,2""",
+)
+def _(spark, d):
+    return rounded(rounded(density.kde_grid(r.windows(spark, d), "price"), 3, "x"), 6, "density")
 
 
 MONTAGE = f"(select macro_class, quantity a, price/1000 b, quantity*discount c, price*tax/1000 d from {r.WINDOWS})"
@@ -343,7 +405,7 @@ def _(spark, d):
 
 @register("scalp_grid")
 def _(spark, d):
-    return rounded(scalp.scalp_grid(scalp.montage_points(r.montage_windows(spark, d), "_entropy", classes=r.CLASSES), 50), 4, "x", "y", "z")
+    return rounded(scalp.scalp_grid(scalp.montage_points(r.montage_windows(spark, d), "_entropy", classes=r.CLASSES)), 4, "x", "y", "z")
 
 
 @register("rank_pca_variance")
@@ -359,17 +421,49 @@ def _(spark, d):
 
 def _knn_sql(distance: str, k: int) -> str:
     return f"""with v as (select vec_id, cast(embedding as double[]) e from embeddings)
- select id, neighbour, round(dist,6) distance, cast(rank as int) rank from (select *, row_number() over (partition by id order by dist, neighbour) rank from (select a.vec_id id, b.vec_id neighbour, {distance} dist from v a join v b on a.vec_id<>b.vec_id where a.vec_id % 10 = 0)) where rank<={k}"""
+ select id, neighbour, round(dist,6) distance, cast(rank as int) rank from (select *, row_number() over (partition by id order by dist, neighbour) rank from (select a.vec_id id, b.vec_id neighbour, {distance} dist from v a join v b on a.vec_id<>b.vec_id)) where rank<={k}"""
+
+
+@register("knn_euclidean", _knn_sql("list_distance(a.e, b.e)", 80))
+def _(spark, d):
+    return rounded(neighbours.knn_graph(r.table(spark, d, "embeddings"), "vec_id", "embedding", 80), 6, "distance")
+
+
+@register("knn_cosine", _knn_sql("1-list_cosine_similarity(a.e, b.e)", 50))
+def _(spark, d):
+    return rounded(neighbours.knn_graph(r.table(spark, d, "embeddings"), "vec_id", "embedding", 50, "cosine"), 6, "distance")
+
+
+@register("knn_approximate")
+def _(spark, d):
+    return rounded(neighbours.approximate_knn_graph(r.table(spark, d, "embeddings"), "vec_id", "embedding", 80, cells=16, probes=8), 6, "distance")
+
+
+@register("class_values", f"select distinct macro_class as value from {r.WINDOWS}")
+def _(spark, d):
+    return profile.distinct_sorted(r.windows(spark, d), "macro_class")
 
 
-@register("knn_euclidean", _knn_sql("list_distance(a.e, b.e)", 8))
+@register("cohort_windows", f"select patient_id, count(*) n, round(sum(price),2) price from {r.WINDOWS} where patient_id in (select patient_num_id from {r.PATIENTS} where split_final=0) group by 1")
 def _(spark, d):
-    return rounded(neighbours.knn_graph(r.table(spark, d, "embeddings"), "vec_id", "embedding", 8, query=F.col("vec_id") % 10 == 0), 6, "distance")
+    rows = profile.of_cohort(r.windows(spark, d), profile.cohort(r.patients(spark, d), split=0))
+    return rounded(rows.groupBy("patient_id").agg(F.count(F.lit(1)).alias("n"), F.sum("price").alias("price")), 2, "price")
+
+
+GAPPED = "(select case when l_linenumber % 5 = 0 then null else l_quantity end quantity, l_extendedprice price, case when l_orderkey % 7 = 0 then null else l_discount end discount from lineitem)"
+
+
+def _spearman_pairs(names: list[str]) -> str:
+    one = """select '{a}' f1, '{b}' f2, round(corr(ra, rb),5) rho from (select rank() over (order by {a}) + (count(*) over (partition by {a}) - 1)/2.0 ra, rank() over (order by {b}) + (count(*) over (partition by {b}) - 1)/2.0 rb
+ from {t} where {a} is not null and {b} is not null)"""
+    return " union all ".join(one.format(a=a, b=b, t=GAPPED) for i, a in enumerate(names) for b in names[i + 1 :])
 
 
-@register("knn_cosine", _knn_sql("1-list_cosine_similarity(a.e, b.e)", 5))
+@register("spearman_pairwise", _spearman_pairs(["quantity", "price", "discount"]))
 def _(spark, d):
-    return rounded(neighbours.knn_graph(r.table(spark, d, "embeddings"), "vec_id", "embedding", 5, "cosine", query=F.col("vec_id") % 10 == 0), 6, "distance")
+    w = r.windows(spark, d)
+    rows = w.select(F.when(F.col("l_linenumber") % 5 != 0, F.col("quantity")).alias("quantity"), "price", F.when(F.col("l_orderkey") % 7 != 0, F.col("discount")).alias("discount"))
+    return rounded(ranks.spearman_matrix(rows, ["quantity", "price", "discount"]), 5, "rho")
 
 
 @register(

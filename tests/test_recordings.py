@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from recordmill.functions import labels
-from recordmill.operators import features, intervals, profile, ranks, sampling, scalp
+from recordmill.operators import features, intervals, neighbours, profile, ranks, sampling, scalp, shared
 from recordmill.plans import queries
 from recordmill.sources import edf, readers
 
@@ -176,3 +176,98 @@ def test_scalp_surface_passes_near_its_points(spark):
     assert abs(middle["z"]) < 0.2
     with pytest.raises(ValueError):
         features.columns_by_suffix(points, "_none")
+
+
+def test_quantiles_are_exact(spark):
+    rng = np.random.default_rng(1)
+    n = 70_000
+    g, v = rng.integers(0, 2, n), np.where(rng.random(n) < 0.4, 0.0, rng.normal(size=n))
+    rows = [(int(a), float(b)) for a, b in zip(g, v)] + [(7, 1.0), (7, 4.0), (8, None), (9, 2.0)]
+    df = spark.createDataFrame(rows, "g int, value double").repartition(5)
+    at = [0.0, 0.25, 0.5, 0.9999, 1.0]
+    got = {r["g"]: r["q"] for r in shared.quantiles(df, ["g"], at).collect()}
+    assert sorted(got) == [0, 1, 7, 9] and got[7] == [1, 1.75, 2.5, pytest.approx(3.9997), 4] and got[9] == [2] * 5
+    for k in (0, 1):
+        assert np.allclose(got[k], np.quantile(v[g == k], at), rtol=0, atol=1e-12)
+    assert shared.quantiles(df.limit(0), [], at).count() == 0
+    plan = shared.quantiles(df, ["g"], at)._jdf.queryExecution().optimizedPlan().toString()
+    assert "percentile(" not in plan
+
+
+def test_rank_pca_and_ranking_against_numpy(spark):
+    rng = np.random.default_rng(5)
+    x = np.round(rng.normal(size=(200, 3)) @ rng.normal(size=(3, 3)), 1)
+    rank = np.array([[(c < v).sum() + ((c == v).sum() + 1) / 2 for v in c] for c in x.T]).T
+    values = np.sort(np.linalg.eigvalsh(np.corrcoef(rank.T)))[::-1]
+    df = spark.createDataFrame([(i % 150, *map(float, row)) for i, row in enumerate(x)], "id long, a double, b double, c double")
+    variance, scores = ranks.rank_pca(df, ["a", "b", "c"], ["id"])
+    table = variance.orderBy("component").collect()
+    assert np.allclose([r["eigenvalue"] for r in table], values) and np.allclose([r["cumulative"] for r in table], np.cumsum(values) / 3)
+    assert [r["reaches_90"] for r in table] == (np.cumsum(values) / 3 >= 0.9).tolist()
+    q = np.quantile(rank, [0.25, 0.5, 0.75], axis=0)
+    scaled = (rank - q[1]) / (q[2] - q[0])
+    w, vectors = np.linalg.eigh(np.corrcoef(rank.T))
+    for k in range(3):
+        v = vectors[:, 2 - k] * np.sign(vectors[np.abs(vectors[:, 2 - k]).argmax(), 2 - k])
+        assert np.allclose(np.sort([r[f"pc{k + 1}"] for r in scores.collect()]), np.sort(scaled @ v))
+    rho = {(r["f1"], r["f2"]): r["rho"] for r in ranks.spearman_matrix(df, ["a", "b", "c"]).collect()}
+    assert math.isclose(rho["a", "c"], np.corrcoef(rank.T)[0, 2])
+
+
+def test_mann_whitney_p_values(spark):
+    rng = np.random.default_rng(8)
+    rows = [("background" if i % 2 else "focal", float(rng.integers(0, 12)) + i % 2) for i in range(60)]
+    got = ranks.mann_whitney(spark.createDataFrame(rows, "macro_class string, x double"), ["x"]).first()
+    a, b = (np.array([v for c, v in rows if c == k]) for k in ("background", "focal"))
+    u, n = sum((i > j) + (i == j) / 2 for i in a for j in b), 60
+    _, t = np.unique([v for _, v in rows], return_counts=True)
+    sd = math.sqrt(30 * 30 / 12 * (n + 1 - (t**3 - t).sum() / (n * (n - 1))))
+    assert math.isclose(got["p"], math.erfc((abs(u - 450) - 0.5) / sd / math.sqrt(2)))
+
+
+def test_neighbours_of_odd_vectors(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(120, 4))
+    x[5] = 0
+    x[7] = x[8]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(200, None), (201, []), (202, [1.0, None, 2.0, 3.0]), (None, [1.0] * 4), (203, [float("nan")] * 4)]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    for metric in neighbours.METRICS:
+        got = {}
+        for r in neighbours.knn_graph(df, "id", "v", 6, metric, block_rows=50).collect():
+            got.setdefault(r["id"], []).append((r["rank"], r["neighbour"]))
+        for i in range(120):
+            d = neighbours.distances(x[i], x, metric)
+            d[i] = np.inf
+            assert sorted(got[i]) == [(k + 1, j) for k, j in enumerate(np.lexsort((np.arange(120), d))[:6])]
+        whole = neighbours.approximate_knn_graph(df, "id", "v", 6, metric, cells=4, probes=4).collect()
+        assert {(r["id"], r["rank"], r["neighbour"]) for r in whole} == {(i, k, j) for i, own in got.items() for k, j in own}
+    with pytest.raises(ValueError):
+        neighbours.knn_graph(df.unionByName(spark.createDataFrame([(300, [1.0])], df.schema)), "id", "v", 3)
+    assert neighbours.knn_graph(df.limit(0), "id", "v", 3).count() == 0
+
+
+def test_scalp_grid_against_numpy(spark):
+    nodes = [(0.0, 0.5), (0.5, 0.1), (-0.5, 0.0), (0.1, -0.5), (0.0, 0.0)]
+    points = spark.createDataFrame([("a", x, y, x * x + 2 * y) for x, y in nodes], "class string, x double, y double, median double")
+    p, z = np.array(nodes), np.array([x * x + 2 * y for x, y in nodes])
+    eps = math.sqrt(np.prod(p.max(axis=0) - p.min(axis=0)) / 5)
+    phi = lambda d: np.sqrt((d / eps) ** 2 + 1)
+    w = np.linalg.solve(phi(np.linalg.norm(p[:, None] - p[None], axis=2)) - 0.1 * np.eye(5), z)
+    for r in scalp.scalp_grid(points, 21).collect():
+        if r["x"] ** 2 + r["y"] ** 2 <= 1:
+            assert math.isclose(r["z"], float(w @ phi(np.linalg.norm(p - [r["x"], r["y"]], axis=1))), abs_tol=1e-9)
+
+
+def test_samples_are_the_same_each_time(spark):
+    df = spark.range(1000).withColumn("w", F.col("id") % 3)
+    one, two = (sorted(r["id"] for r in sampling.sample_n(df.repartition(n), 40, ["id"]).collect()) for n in (2, 7))
+    assert one == two and len(set(one)) == 40
+    assert one != sorted(r["id"] for r in sampling.sample_n(df, 40, ["id"], seed=43).collect())
+
+
+def test_patients_and_sessions_files(spark, tmp_path):
+    spark.createDataFrame([(1, 30.0, 1, 0)], readers.PATIENTS).withColumn("more", F.lit(1)).write.parquet(f"{tmp_path}/p")
+    spark.createDataFrame([(19, 250.0, "a")], readers.SESSIONS).write.parquet(f"{tmp_path}/s")
+    assert [tuple(r) for r in readers.read_patients(spark, f"{tmp_path}/p").collect()] == [(1, 30.0, 1, 0)]
+    assert [tuple(r) for r in readers.read_sessions(spark, f"{tmp_path}/s").collect()] == [(19, 250.0, "a")]
