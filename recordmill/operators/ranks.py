@@ -174,7 +174,8 @@ def kruskal(df: DataFrame, features: list[str], target: str = "macro_class", cla
     """Kruskal-Wallis for each feature over the classes present, with medians, Holm adjustment and effect size.
 
     A class that has no value of a feature is left out of its test, of which k says the number of classes; both h and p
-    are null where fewer than two are present or all values are equal. Texts round halves up.
+    are null where fewer than two are present or all values are equal. Texts round to six
+    places and then halves up, so that the last bit of a number doesn't show.
     """
     of = range(len(classes))
     tally = stash(class_tally(df, features, target, list(classes)), "tally")
@@ -197,8 +198,8 @@ def kruskal(df: DataFrame, features: list[str], target: str = "macro_class", cla
     q = sized.groupBy("feature").agg(*[_tally_quantile(F.col(f"c{i}"), f"n{i}", f"u{i}", w).alias(f"q{i}_{j}") for i in of for j, w in enumerate((0.25, 0.5, 0.75))])
     cut = lambda i, j: mixed(F.col(f"q{i}_{j}.a"), F.col(f"q{i}_{j}.b"), F.col(f"q{i}_{j}.w"))
     mid, spread = {i: cut(i, 1) for i in of}, {i: cut(i, 2) - cut(i, 0) for i in of}
-    told = [x for i, c in enumerate(classes) for x in (mid[i].alias(f"median_{c}"), spread[i].alias(f"iqr_{c}"), F.when(mid[i].isNotNull(), F.format_string("%.2f (%.2f)", mid[i], spread[i])).alias(f"text_{c}"))]
-    tests = tests.withColumn("magnitude", magnitude).withColumn("h_text", F.concat(F.format_string("%.2f", "h"), stars))
+    told = [x for i, c in enumerate(classes) for x in (mid[i].alias(f"median_{c}"), spread[i].alias(f"iqr_{c}"), F.when(mid[i].isNotNull(), F.format_string("%.2f (%.2f)", F.round(mid[i], 6), F.round(spread[i], 6))).alias(f"text_{c}"))]
+    tests = tests.withColumn("magnitude", magnitude).withColumn("h_text", F.concat(F.format_string("%.2f", F.round("h", 6)), stars))
     return tests.join(q.select("feature", *told), "feature").drop("s", "tied", *[f"c{i}" for i in of])
 
 
