@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from recordmill.operators.shared import discard, exists, fresh_path, hot_keys, join_salted, shared_dir, stash, written  # noqa: F401
 
 #: Bytes of an Arrow batch that goes to a Python worker, unless one row is larger.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 ROOT = str(Path(__file__).resolve().parents[2])
 
 

@@ -18,7 +18,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recordmill.llm.common import exists, hot_keys, join_salted, shared_dir, ship, stash, table
+from recordmill.llm.common import exists, fresh_path, hot_keys, join_salted, shared_dir, ship, stash, table
 
 CACHE = "content string, tokenizer string, n_tokens long"
 
@@ -78,6 +78,7 @@ def token_counts(docs: DataFrame, model_path: str, cache_path: str | None = None
 
 
 def query(spark, sf_dir: str) -> DataFrame:
+    """From an empty cache each time, so that a run encodes every distinct text and its cost is that of the whole work."""
     import public_tokenizers
 
-    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), fresh_path(spark, "token-counts"))
