@@ -1,18 +1,27 @@
-"""EDF recordings: files come as Spark's binaryFile rows, and Python decodes 16-bit samples to physical values."""
+"""EDF recordings: data records are dealt to tasks in blocks, and Python decodes 16-bit samples to physical values."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SCHEMA = "file_path string, channel string, channel_no int, sample_index long, t double, value double"
+NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
 _UNITS = {"uv": 1e-6, "µv": 1e-6, "mv": 1e-3, "v": 1.0}
 
+#: Files above this many bytes are read by ranges, in blocks of data records of about so many bytes.
+SPLIT_BYTES, BLOCK_BYTES = 64 << 20, 4 << 20
 
-def header(raw: memoryview) -> tuple[int, int, float, list[dict]]:
+Header = tuple[int, int, float, list[dict]]
+
+
+def header(raw: memoryview) -> Header:
     """(header bytes, data records, seconds a record, signals) of a recording."""
     text = lambda a, n: bytes(raw[a : a + n]).decode("latin-1").strip()
     size, records, seconds, n = int(text(184, 8)), int(text(236, 8)), float(text(244, 8)), int(text(252, 4))
@@ -25,19 +34,34 @@ def header(raw: memoryview) -> tuple[int, int, float, list[dict]]:
     return size, records, seconds, signals
 
 
-def decode(raw: memoryview, start: float = 0.0, stop: float = float("inf")) -> Iterator[tuple[int, str, np.ndarray, np.ndarray, np.ndarray]]:
-    """(channel number, name, sample indices, seconds, values in volts) of each signal, from start to stop included.
+def record_bytes(head: Header) -> int:
+    return 2 * sum(int(s["samples"]) for s in head[3])
+
 
-    Only the data records of that range are decoded. Annotation signals are passed over.
+def blocks(head: Header, length: int, start: float, stop: float, block_bytes: int) -> Iterator[tuple[int, int]]:
+    """(first, end) of consecutive data records that touch the time range, about block_bytes each or one record.
+
+    Only records that a file of this length holds in full count, so one that was cut short gives what it has.
     """
-    size, records, seconds, signals = header(raw)
-    counts = [int(s["samples"]) for s in signals]
-    width = sum(counts)
-    if records < 0:
-        records = (len(raw) - size) // (2 * width)
+    size, records, seconds, _ = head
+    width = record_bytes(head)
+    held = max(0, length - size) // width if width else 0
+    records = held if records < 0 else min(records, held)
     first = min(records, max(0, int(start // seconds))) if seconds > 0 else 0
-    last = min(records, int(stop // seconds) + 1) if seconds > 0 and stop != float("inf") else records
-    data = np.frombuffer(raw, "<i2", max(0, last - first) * width, size + 2 * width * first).reshape(-1, width)
+    end = min(records, int(stop // seconds) + 1) if seconds > 0 and stop != float("inf") else records
+    step = max(1, block_bytes // width) if width else 1
+    for at in range(first, end, step):
+        yield at, min(end, at + step)
+
+
+def decode(head: Header, raw: memoryview, first: int, start: float = 0.0, stop: float = float("inf")) -> Iterator[pa.RecordBatch]:
+    """A batch without file_path for each signal of the data records in raw, the first of which has that number.
+
+    Samples lie from start to stop included, values are in volts. Annotation signals are passed over.
+    """
+    _, _, seconds, signals = head
+    counts = [int(s["samples"]) for s in signals]
+    data = np.frombuffer(raw, "<i2").reshape(-1, sum(counts))
     offset = 0
     for no, (s, n) in enumerate(zip(signals, counts)):
         own = data[:, offset : offset + n].ravel()
@@ -49,24 +73,62 @@ def decode(raw: memoryview, start: float = 0.0, stop: float = float("inf")) -> I
         index = np.arange(len(own), dtype=np.int64) + first * n
         t = index * (seconds / n)
         keep = (t >= start) & (t <= stop)
-        yield no, s["label"], index[keep], t[keep], ((own[keep] - d_low) * gain + low) * _UNITS.get(s["unit"].lower(), 1.0)
+        index, t, own = index[keep], t[keep], own[keep]
+        values = ((own - d_low) * gain + low) * _UNITS.get(s["unit"].lower(), 1.0)
+        yield pa.RecordBatch.from_arrays([pa.array([s["label"]] * len(t)), pa.array(np.full(len(t), no, np.int32)), pa.array(index), pa.array(t), pa.array(values)], names=NAMES[1:])
+
 
+def _opened(path: str) -> pa.NativeFile:
+    store, inside = fs.FileSystem.from_uri(quote(path, safe=":/@"))
+    return store.open_input_file(inside)
 
-def read_edf(spark: SparkSession, path: str, start: float = 0.0, stop: float = float("inf"), rows_a_batch: int = 100_000) -> DataFrame:
-    """Long form of all EDF files below ``path``; give a time range to decode only its data records."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _header_of(file: pa.NativeFile) -> Header:
+    size = int(file.read_at(8, 184).decode("latin-1"))
+    return header(memoryview(file.read_at(size, 0)))
+
+
+def read_edf(
+    spark: SparkSession, path: str, start: float = 0.0, stop: float = float("inf"), split_bytes: int = SPLIT_BYTES, block_bytes: int = BLOCK_BYTES, partitions: int | None = None
+) -> DataFrame:
+    """Long form of all EDF files below ``path``; give a time range to decode only its data records.
+
+    Files up to ``split_bytes`` come whole through Spark's binaryFile, so from any store that Spark reads. Larger ones are
+    listed without their content, and their blocks are dealt over ``partitions`` tasks (spark.sql.shuffle.partitions
+    where it is None) that read byte ranges; their store must be one that pyarrow opens. No task holds more than one
+    block decoded. Files without records or signals give no rows.
+    """
+
+    def named(name: str, found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in found:
+            yield pa.RecordBatch.from_arrays([pa.array([name] * b.num_rows), *b.columns], names=NAMES)
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
-                name = b.column(0)[i].as_py()
-                for no, label, index, t, v in decode(memoryview(b.column(1)[i].as_buffer()), start, stop):
-                    for at in range(0, len(index), rows_a_batch):
-                        part = slice(at, at + rows_a_batch)
-                        m = len(index[part])
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array([name] * m), pa.array([label] * m), pa.array(np.full(m, no, np.int32)), pa.array(index[part]), pa.array(t[part]), pa.array(v[part])],
-                            names=["file_path", "channel", "channel_no", "sample_index", "t", "value"],
-                        )
+                raw = memoryview(b.column(1)[i].as_buffer())
+                head = header(raw)
+                for first, end in blocks(head, len(raw), start, stop, block_bytes):
+                    part = raw[head[0] + first * record_bytes(head) : head[0] + end * record_bytes(head)]
+                    yield from named(b.column(0)[i].as_py(), decode(head, part, first, start, stop))
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name, length in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                with _opened(name) as file:
+                    own = list(blocks(_header_of(file), length, start, stop, block_bytes))
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(own)), pa.array([f for f, _ in own], pa.int64()), pa.array([e for _, e in own], pa.int64())], names=["path", "first", "end"])
+
+    def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name, first, end in zip(*(c.to_pylist() for c in b.columns)):
+                with _opened(name) as file:
+                    head = _header_of(file)
+                    raw = file.read_at((end - first) * record_bytes(head), head[0] + first * record_bytes(head))
+                yield from named(name, decode(head, memoryview(raw), first, start, stop))
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.edf").load(path)
-    return files.select("path", "content").mapInArrow(run, SCHEMA)
+    small = files.where(F.col("length") <= split_bytes).select("path", "content").mapInArrow(whole, SCHEMA)
+    large = files.where(F.col("length") > split_bytes).select("path", "length").mapInArrow(listed, "path string, first long, end long")
+    tasks = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return small.unionByName(large.repartition(tasks, "path", "first").mapInArrow(ranges, SCHEMA))

@@ -100,6 +100,21 @@ def test_edf(spark, tmp_path):
     assert sorted(r["sample_index"] for r in edf.read_edf(spark, f"file://{tmp_path}", 1.0, 1.5).collect() if r["channel_no"] == 0) == [4, 5, 6]
 
 
+def test_edf_by_ranges(spark, tmp_path):
+    """Blocks of one data record, read by ranges, give what the whole file gives; a file cut short gives its full records."""
+    raw = edf_bytes()
+    for name, content in (("x.edf", raw), ("100% b c.edf", raw), ("cut.edf", raw[:-5]), ("none.edf", raw[: 256 * 3])):
+        (tmp_path / name).write_bytes(content)
+    for span in ((0.0, math.inf), (1.0, 1.5), (2.5, 9.0), (7.0, 9.0)):
+        whole = sorted(edf.read_edf(spark, f"file://{tmp_path}", *span).collect())
+        parts = edf.read_edf(spark, f"file://{tmp_path}", *span, split_bytes=0, block_bytes=1, partitions=3)
+        assert sorted(parts.collect()) == whole
+        names = {r["file_path"].rsplit("/", 1)[1]: 0 for r in whole}
+        if span == (0.0, math.inf):
+            assert len(whole) == 18 + 18 + 12 and sorted(names) == ["100% b c.edf", "cut.edf", "x.edf"]
+    assert parts.rdd.getNumPartitions() >= 3
+
+
 def test_profiles(spark):
     p = spark.createDataFrame([(1, 98.0, 1, -1), (2, 99.0, 2, 0), (3, None, 3, None), (4, float("nan"), 1, 1), (5, 10.0, None, 0)], readers.PATIENTS)
     assert sorted(r[0] for r in profile.cohort(p).collect()) == [2, 3, 4, 5]
