@@ -73,48 +73,49 @@ def mutual_info(df: DataFrame, features: list[str], ids: list[str], target: str
     long = long_form(df.where(F.col(target).isNotNull()), features, [*ids, target]).where("value is not null")
     stats = long.groupBy("feature").agg(F.stddev_pop("value").alias("sd"), F.avg(F.abs("value")).alias("size"))
     seeded = (F.pmod(F.xxhash64("feature", *ids), F.lit(1 << 30)) / float(1 << 30) - 0.5) * noise
-    x = long.join(F.broadcast(stats), "feature")  # a row a feature
     scaled = F.col("value") / F.when(F.col("sd") > 0, F.col("sd")).otherwise(1.0) + seeded * F.greatest(F.lit(1.0), F.col("size"))
-    x = x.select("feature", F.col(target).alias("c"), (scaled if noise else F.col("value")).alias("x"))
-    sizes = x.groupBy("feature", "c").agg(F.count(F.lit(1)).alias("n_c")).where("n_c > 1")
+    x = long.join(F.broadcast(stats), "feature").withColumn("value", scaled) if noise else long  # a row a feature
+    # Equal values count as one row of their weight, so that a value that many rows share is no group of its own.
+    x = stash(x.groupBy("feature", F.col(target).alias("c"), F.col("value").alias("x")).agg(F.count(F.lit(1)).alias("weight")), "values")
+    sizes = x.groupBy("feature", "c").agg(F.sum("weight").alias("n_c")).where("n_c > 1").withColumn("k", F.least(F.lit(k), F.col("n_c") - 1).cast("int"))
     near = _radius(x, k).join(F.broadcast(sizes), ["feature", "c"])  # a row a feature and class
-    near = stash(near.withColumn("k", F.least(F.lit(k), F.col("n_c") - 1).cast("int")).withColumn("radius", F.element_at("gaps", F.col("k"))), "radius")
+    near = near.withColumn("radius", F.element_at("gaps", F.col("k"))).withColumn("row", F.monotonically_increasing_id())
+    near = stash(near.select("row", "feature", "x", "weight", "radius", "k", "n_c"), "radius")
     # Points strictly within the radius: those below its upper end less those up to its lower end, by running counts.
-    points = near.select("feature", F.col("x").alias("at"), F.lit(1).alias("side"), F.lit(1).alias("one"), F.lit(0).alias("sign"))
-    ends = near.select("feature", F.explode(F.array(F.struct((F.col("x") - F.col("radius")).alias("at"), F.lit(2).alias("side"), F.lit(-1).alias("sign")), F.struct((F.col("x") + F.col("radius")).alias("at"), F.lit(0).alias("side"), F.lit(1).alias("sign")))).alias("e"))
-    both = points.unionByName(ends.select("feature", "e.at", "e.side", F.lit(0).alias("one"), "e.sign").select("feature", "at", "side", "one", "sign"))
-    counts = running_sum(both, ["feature"], ["at", "side"], "one", "upto")
-    # psi(m) enters only through its mean over rows, but needs each row's m, so bounds are matched by their order.
-    lower = counts.where("sign = -1").select("feature", "at", F.col("upto").alias("below"))
-    upper = counts.where("sign = 1").select("feature", "at", F.col("upto").alias("above"))
-    rows = near.select("feature", "c", "k", "n_c", (F.col("x") - F.col("radius")).alias("lo"), (F.col("x") + F.col("radius")).alias("hi"))
-    lower, upper = (t.groupBy("feature", "at").agg(F.max(c).alias(c)) for t, c in ((lower, "below"), (upper, "above")))
-    m = rows.join(lower.withColumnRenamed("at", "lo"), ["feature", "lo"]).join(upper.withColumnRenamed("at", "hi"), ["feature", "hi"]).withColumn("m", F.greatest(F.col("above") - F.col("below"), F.lit(1)))
+    end = lambda at, side, sign: F.struct(at.alias("at"), F.lit(side).alias("side"), F.lit(sign).alias("sign"), (F.col("weight") if not sign else F.lit(0)).alias("points"))
+    places = F.array(end(F.col("x"), 1, 0), end(F.col("x") - F.col("radius"), 2, -1), end(F.col("x") + F.col("radius"), 0, 1))
+    told = near.select("row", "feature", "weight", "k", "n_c", F.explode(places).alias("e")).select("row", "feature", "weight", "k", "n_c", "e.*")
+    counts = running_sum(told, ["feature"], ["at", "side"], "points", "upto").where("sign != 0")
+    m = counts.groupBy("row", "feature", "weight", "k", "n_c").agg(F.greatest(F.sum(F.col("upto") * F.col("sign")), F.lit(1)).alias("m"))
     psi = lambda c: digamma(F.col(c))
-    out = m.groupBy("feature").agg(F.count(F.lit(1)).alias("n"), F.avg(psi("k")).alias("a"), F.avg(psi("n_c")).alias("b"), F.avg(psi("m")).alias("d"))
+    mean = lambda c: F.sum(psi(c) * F.col("weight")) / F.sum("weight")
+    out = m.groupBy("feature").agg(F.sum("weight").alias("n"), mean("k").alias("a"), mean("n_c").alias("b"), mean("m").alias("d"))
     return out.select("feature", F.greatest(F.lit(0.0), psi("n") + F.col("a") - F.col("b") - F.col("d")).alias("mutual_info"))
 
 
 def _radius(x: DataFrame, k: int) -> DataFrame:
-    """(feature, c, x, gaps): the distances to the k nearest other values on either side within (feature, c), ascending.
+    """(feature, c, x, weight, gaps): the distances to the k nearest others on either side within (feature, c), ascending.
 
-    Rows are range-partitioned by (feature, c, x). Neighbours come from windows within a part; a part lends its first and
+    ``x`` has a row for each distinct value with its weight, of which k + 1 copies at most can be among anyone's nearest.
+    They are range-partitioned by (feature, c, x). Neighbours come from windows within a part; a part lends its first and
     last k rows of a group to the parts beside it, so that no group is one task.
     """
     cols = ["feature", "c", "x"]
-    dealt = stash(x.repartitionByRange(*cols).sortWithinPartitions(*cols).withColumn("part", F.spark_partition_id()), "ranged")
+    copies = x.withColumn("copy", F.explode(F.sequence(F.lit(1), F.least(F.col("weight"), F.lit(k + 1)).cast("int"))))
+    copies = copies.select(*cols, "weight", (F.col("copy") == 1).alias("own"))
+    dealt = stash(copies.repartitionByRange(*cols).sortWithinPartitions(*cols).withColumn("part", F.spark_partition_id()), "ranged")
     group = Window.partitionBy("feature", "c", "part")
     ends = dealt.withColumn("up", F.row_number().over(group.orderBy("x"))).withColumn("down", F.row_number().over(group.orderBy(F.desc("x")))).where((F.col("up") <= k) | (F.col("down") <= k))
     # Only up to 2k rows of a part and group: the last k rows before it and the first k after it, wherever they lie.
     by = Window.partitionBy("feature", "c").orderBy("part", "x")
     ends = ends.withColumn("before", F.collect_list("x").over(by.rowsBetween(-k, -1))).withColumn("after", F.collect_list("x").over(by.rowsBetween(1, k)))
     edge = ends.groupBy("feature", "c", "part").agg(F.min_by("before", "up").alias("before"), F.min_by("after", "down").alias("after"))
-    lent = dealt.select(*cols, "part", F.lit(True).alias("own"))
+    lent = dealt.select(*cols, "weight", "part", "own")
     for side in ("before", "after"):
-        lent = lent.unionByName(edge.select("feature", "c", "part", F.explode(side).alias("x"), F.lit(False).alias("own")))
+        lent = lent.unionByName(edge.select("feature", "c", "part", F.explode(side).alias("x"), F.lit(0).cast("long").alias("weight"), F.lit(False).alias("own")))
     order = group.orderBy("x")
     gaps = F.array(*[F.abs(F.col("x") - step("x", i).over(order)) for i in range(1, k + 1) for step in (F.lag, F.lead)])
-    return lent.withColumn("gaps", F.array_sort(F.filter(gaps, lambda g: g.isNotNull()))).where("own").select(*cols, "gaps")
+    return lent.withColumn("gaps", F.array_sort(F.filter(gaps, lambda g: g.isNotNull()))).where("own").select(*cols, "weight", "gaps")
 
 
 def digamma(n: Column) -> Column:

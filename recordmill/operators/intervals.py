@@ -6,22 +6,31 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recordmill.functions.labels import AUDIT_CLASSES, BACKGROUND, display_label, map_class, normalise_label
-from recordmill.operators.shared import quantiles, with_share
+from recordmill.operators.shared import quantiles, running_max_before, with_share
 
 WINDOW_SECONDS = 4.096  # fixed value: length of a feature window
 
 
-def interval_union_duration(df: DataFrame, keys: list[str], start: str = "start_time", stop: str = "stop_time") -> DataFrame:
+#: Intervals of one group above which its windows are spread over range partitions.
+LARGE_GROUP = 1_000_000
+
+
+def interval_union_duration(df: DataFrame, keys: list[str], start: str = "start_time", stop: str = "stop_time", large: int = LARGE_GROUP) -> DataFrame:
     """(keys, seconds): length of the union of each group's intervals; touching intervals merge.
 
-    Inverted intervals keep their negative length where nothing covers them. A group is one file's intervals of a label.
+    Each interval adds what it reaches beyond all that start before it. Inverted intervals keep their negative length where
+    nothing covers them; an interval without a start or stop adds nothing. A group is one file's intervals of a label;
+    where one has more than ``large`` of them, groups are spread over range partitions instead of a task each.
     """
-    w = Window.partitionBy(*keys).orderBy(start, stop)
-    reached = F.max(stop).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    opens = F.when(reached.isNull() | (F.col(start) > reached), 1).otherwise(0)
-    islands = df.withColumn("__opens", opens).withColumn("__island", F.sum("__opens").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    each = islands.groupBy(*keys, "__island").agg((F.max(stop) - F.min(start)).alias("__s"))
-    return each.groupBy(*keys).agg(F.sum("__s").alias("seconds"))
+    rows = df.select(*keys, F.col(start).alias("__from"), F.when(F.col(start).isNotNull(), F.col(stop)).alias("__to"))
+    if rows.groupBy(*keys).count().where(F.col("count") > large).isEmpty():
+        before = Window.partitionBy(*keys).orderBy("__from", "__to").rowsBetween(Window.unboundedPreceding, -1)
+        reached = rows.withColumn("__reached", F.max("__to").over(before))
+    else:
+        reached = running_max_before(rows, keys, ["__from", "__to"], "__to", "__reached")
+    beyond = F.when(F.col("__reached").isNull() | (F.col("__from") > F.col("__reached")), F.col("__to") - F.col("__from"))
+    beyond = beyond.when(F.col("__to") > F.col("__reached"), F.col("__to") - F.col("__reached")).when(F.col("__to").isNotNull(), F.col("__to") - F.col("__to"))
+    return reached.withColumn("__s", beyond).groupBy(*keys).agg(F.sum("__s").alias("seconds"))
 
 
 def annotation_audit(annotations: DataFrame, file: str = "file_path", label: str = "label", drop_inverted: bool = False) -> DataFrame:

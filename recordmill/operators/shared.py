@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -62,14 +64,18 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return written(df, name)[0]
 
 
+def _ranged(df: DataFrame, cols: list[str]) -> DataFrame:
+    """The rows dealt by ranges of ``cols`` and sorted, written once with the number of their range as ``__part``."""
+    return stash(df.repartitionByRange(*cols).sortWithinPartitions(*cols).withColumn("__part", F.spark_partition_id()), "ranged")
+
+
 def running_sums(df: DataFrame, keys: list[str], order: list[str], amounts: dict[str, str]) -> DataFrame:
     """``df`` with, for each amount, a column of the given name: its sum over the rows of the same keys up to and with this one.
 
     Rows are range-partitioned by keys and order, so that one key may spread over many tasks; each task sums its own rows,
     and the totals of (task, key), a few rows a task, give what has to be added.
     """
-    cols = [*keys, *order]
-    dealt = stash(df.repartitionByRange(*cols).sortWithinPartitions(*cols).withColumn("__part", F.spark_partition_id()), "ranged")
+    dealt = _ranged(df, [*keys, *order])
     local = Window.partitionBy(*keys, "__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     totals = dealt.groupBy(*keys, "__part").agg(*[F.sum(a).alias(f"__t_{n}") for a, n in amounts.items()])
@@ -78,6 +84,21 @@ def running_sums(df: DataFrame, keys: list[str], order: list[str], amounts: dict
     return sums.select(*df.columns, *[(F.col(f"__l_{n}") + F.col(f"__b_{n}")).alias(n) for n in amounts.values()])
 
 
+def running_max_before(df: DataFrame, keys: list[str], order: list[str], amount: str, name: str) -> DataFrame:
+    """``df`` with the largest amount of the rows of the same keys before this one, null for the first; dealt like running_sums.
+
+    Null keys are a group like any other.
+    """
+    dealt = _ranged(df, [*keys, *order])
+    local = Window.partitionBy(*keys, "__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    tops = dealt.groupBy(*keys, "__part").agg(F.max(amount).alias("__t"))
+    tops = tops.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__part").alias("__p"), F.max("__t").over(before).alias("__before"))
+    same = (F.col("__part") == F.col("__p")) & reduce(and_, [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)], F.lit(True))
+    both = dealt.withColumn("__local", F.max(amount).over(local)).join(tops, same)
+    return both.select(*df.columns, F.greatest("__local", "__before").alias(name))
+
+
 def running_sum(df: DataFrame, keys: list[str], order: list[str], amount: str, name: str) -> DataFrame:
     return running_sums(df, keys, order, {amount: name})
 

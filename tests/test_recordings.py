@@ -286,3 +286,32 @@ def test_patients_and_sessions_files(spark, tmp_path):
     spark.createDataFrame([(19, 250.0, "a")], readers.SESSIONS).write.parquet(f"{tmp_path}/s")
     assert [tuple(r) for r in readers.read_patients(spark, f"{tmp_path}/p").collect()] == [(1, 30.0, 1, 0)]
     assert [tuple(r) for r in readers.read_sessions(spark, f"{tmp_path}/s").collect()] == [(19, 250.0, "a")]
+
+
+def test_interval_union_alike_in_one_task_and_over_ranges(spark):
+    rng = np.random.default_rng(5)
+    rows = [(f"f{i % 3}" if i % 7 else None, float(a), float(a + d)) for i, (a, d) in enumerate(zip(rng.integers(0, 400, 600), rng.integers(-2, 6, 600)))]
+    rows += [("f0", None, 9.0), ("f0", 3.0, None), ("gone", None, None)]
+    df = spark.createDataFrame(rows, "file string, start_time double, stop_time double")
+    want = {}
+    for f in {r[0] for r in rows}:
+        reached, total = None, None
+        for a, b in sorted((a, b) for g, a, b in rows if g == f and a is not None and b is not None):
+            add = b - a if reached is None or a > reached else max(b - reached, 0.0)
+            reached, total = max(b, b if reached is None else reached), (total or 0.0) + add
+        want[f] = total
+    for large in (intervals.LARGE_GROUP, 10):
+        assert {r["file"]: r["seconds"] for r in intervals.interval_union_duration(df, ["file"], large=large).collect()} == want
+
+
+def test_mutual_information_of_tied_values(spark):
+    rng = np.random.default_rng(2)
+    c, x = rng.integers(0, 3, 300), rng.integers(0, 12, 300).astype(float)
+    x[c == 1] += 2
+    df = spark.createDataFrame([(i, f"k{c[i]}", float(x[i])) for i in range(300)], "id long, macro_class string, x double")
+    psi = lambda n: sum(1 / i for i in range(1, int(n))) - features.EULER
+    terms = []
+    for i in range(300):
+        d = np.sort(np.abs(x[c == c[i]] - x[i]))[3]
+        terms.append(psi(300) + psi(3) - psi((c == c[i]).sum()) - psi(max(1, (np.abs(x - x[i]) < d).sum())))
+    assert math.isclose(features.mutual_info(df, ["x"], ["id"], noise=0.0).first()["mutual_info"], max(0, np.mean(terms)), abs_tol=1e-9)
