@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from recordmill.llm import bpe, decontaminate, langid, pii, quality, simhash, token_counts, toxicity, vectors, warc
+from recordmill.llm import ann, bpe, decontaminate, langid, lexical, pii, quality, simhash, token_counts, toxicity, trie, vectors, warc
 
 QUERIES = {
     "op1_quality": quality.query,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_top_k": vectors.query,
     "op9_toxicity": toxicity.query,
     "op10_pii": pii.query,
+    "op11_prefix_trie": trie.query,
+    "op12_neighbours": ann.query,
+    "op13_lexical": lexical.query,
 }
 
-ORACLES = {"op3_warc": warc.ORACLE, "op4_decontaminate": decontaminate.ORACLE, "op8_top_k": vectors.ORACLE}
+ORACLES = {"op3_warc": warc.ORACLE, "op4_decontaminate": decontaminate.ORACLE, "op8_top_k": vectors.ORACLE, "op11_prefix_trie": trie.ORACLE, "op13_lexical": lexical.ORACLE}
