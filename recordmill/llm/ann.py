@@ -91,51 +91,51 @@ class Tree:
 
 class Shard:
     def __init__(self, v: np.ndarray, ids: list[list[tuple]], ratio: float, k: int, turn: np.ndarray):
-        self.v, self.length, u = unit(v)
-        self.tree, self.ids, self.ratio, self.k, self.turn = Tree(u @ turn), ids, ratio, k, turn
+        tree = Tree(unit(v)[2] @ turn)
+        # A leaf's rows lie side by side.
+        order = np.concatenate(list(tree.leaves.values()))
+        sizes = [len(rows) for rows in tree.leaves.values()]
+        self.place = dict(zip(tree.leaves, zip(np.cumsum(sizes) - sizes, np.cumsum(sizes))))
+        self.v, self.length, _ = unit(v[order])
+        self.points = tree.points[order]
+        self.square = (self.points**2).sum(axis=1)
+        self.tree, self.ids, self.ratio, self.k, self.turn = tree, [ids[i] for i in order.tolist()], ratio, k, turn
         self.verified = 0
 
+    def within(self, kth: np.ndarray | float) -> np.ndarray | float:
+        """The stopping test: whatever lies further in the projection is further away than the kth best, but for the doubt left."""
+        return self.ratio * np.maximum(0, 2 - 2 * kth) + ROUNDING
+
     def search(self, v: np.ndarray, least: np.ndarray) -> list[list[tuple]]:
         """The ``k`` best rows (-score, vec_id, uid) found for each question; ``least`` is the score that its kth row reaches elsewhere."""
         v, length, u = unit(v)
-        asked, kth, rows = u @ self.turn, least.copy(), [[] for _ in v]
-
-        def within(some: np.ndarray) -> np.ndarray:  # the test: nothing beyond can be as near as the kth best, but for the doubt left
-            return self.ratio * np.maximum(0, 2 - 2 * kth[some]) + ROUNDING
-
-        every = np.arange(len(v))
-        owner, leaf, far = self.tree.reached(asked, within(every))
+        asked = u @ self.turn
+        owner, leaf, far = self.tree.reached(asked, self.within(least))
         order = np.lexsort((far, owner))
         owner, leaf, far = owner[order], leaf[order], far[order]
-        start, end = np.searchsorted(owner, every), np.searchsorted(owner, every, "right")
-        active, turn = np.flatnonzero(end > start), 0
-        while len(active):
-            at = start[active] + turn
-            open_ = far[at] <= within(active)
-            active, here = active[open_], leaf[at[open_]]
-            by_leaf = np.argsort(here, kind="stable")
-            for some in np.split(by_leaf, np.flatnonzero(np.diff(here[by_leaf])) + 1) if len(active) else ():
-                self._leaf(int(here[some[0]]), active[some], asked, within, v, length, kth, rows)
-            turn += 1
-            active = active[start[active] + turn < end[active]]
-        return rows
-
-    def _leaf(self, leaf: int, some: np.ndarray, asked: np.ndarray, within, v: np.ndarray, length: np.ndarray, kth: np.ndarray, rows: list) -> None:
-        own = self.tree.leaves[leaf]
-        gap = asked[some][:, None, :] - self.tree.points[own][None, :, :]
-        q, p = np.nonzero((gap * gap).sum(axis=2) <= within(some)[:, None])
-        self.verified += len(q)
-        q, p = some[q], own[p]
-        score = (v[q] * self.v[p]).sum(axis=1) / (length[q] * self.length[p])
-        good = score >= kth[q]
-        for one in np.unique(q[good]).tolist():
-            mine = rows[one]
-            for j in np.flatnonzero(good & (q == one)).tolist():
-                mine += [(-float(score[j]), *who) for who in self.ids[p[j]]]
-            mine.sort()
-            del mine[self.k :]
-            if len(mine) == self.k:
-                kth[one] = max(kth[one], -mine[-1][0])
+        cuts = np.searchsorted(owner, np.arange(len(v) + 1))
+        return [self._one(v[i], length[i], asked[i], least[i], leaf[s:e], far[s:e]) for i, (s, e) in enumerate(zip(cuts, cuts[1:]))]
+
+    def _one(self, v: np.ndarray, length: float, asked: np.ndarray, kth: float, leaf: np.ndarray, far: np.ndarray) -> list[tuple]:
+        """Leaves by increasing distance, a few at first and then twice as many each time."""
+        best, at, step = [], 0, 4
+        while at < len(leaf) and far[at] <= self.within(kth):
+            some = leaf[at : at + step][far[at : at + step] <= self.within(kth)]
+            own = np.concatenate([np.arange(*self.place[x]) for x in some.tolist()])
+            near = own[self.square[own] - 2 * (self.points[own] @ asked) + asked @ asked <= self.within(kth)]
+            self.verified += len(near)
+            score = (self.v[near] * v).sum(axis=1) / (length * self.length[near])
+            good = score >= kth
+            if good.sum() > self.k:  # so many, but for ties, reach the best
+                good &= score >= np.partition(score[good], -self.k)[-self.k]
+            for j in np.flatnonzero(good).tolist():
+                best += [(-float(score[j]), *who) for who in self.ids[near[j]]]
+            best.sort()
+            del best[self.k :]
+            if len(best) == self.k:
+                kth = max(kth, -best[-1][0])
+            at, step = at + step, 2 * step
+        return best
 
 
 FOUND = "a long, b long, vec_id long, uid long, score double"

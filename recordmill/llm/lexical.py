@@ -3,7 +3,8 @@
 An item is a sparse vector of its terms' weights, a document one of whole-number term strengths, so that a score is their
 inner product. Only the terms of the items of a block matter, and documents are tokenised once for a block where their texts
 lie. Documents are dealt into shards by a hash. A task builds its shard's ball tree (each node the centroid of its documents
-and a radius around it) and sends the items down: no document of a node scores above <item, centroid> + |item| * radius.
+and a radius around it) and sends the items down: no document of a node scores above <item, centroid> + |item| * radius,
+both item and radius taken within the terms that the item shares with the node.
 Leaves are visited best bound first, and left out once the bound, widened by what rounding may add, is below the item's kth
 score so far. Scores at the leaves are 64-bit whole numbers.
 """
@@ -83,14 +84,6 @@ class Rows:
         return np.bincount(self.owners(), self.vals * dense[self.cols], len(self.start) - 1)
 
 
-def products(items: Rows, cols: np.ndarray, vals: np.ndarray) -> np.ndarray:
-    """The inner product of each item with one sparse vector of ascending ``cols``."""
-    if not len(cols):
-        return np.zeros(len(items.start) - 1)
-    at = np.minimum(np.searchsorted(cols, items.cols), len(cols) - 1)
-    return np.bincount(items.owners(), np.where(cols[at] == items.cols, items.vals * vals[at], 0.0), len(items.start) - 1)
-
-
 class BallTree:
     """Nodes with a sparse centroid, a radius that holds their documents, two children or a leaf's documents by term."""
 
@@ -108,8 +101,11 @@ class BallTree:
             cols = np.flatnonzero(mean)
             centre, square = mean.astype(float), float((mean.astype(float) ** 2).sum())
             norms = np.bincount(own_f.owners(), vals * vals, len(which))
+            # How far documents lie from the centre in each term; one that lacks it, by the centre's own value.
+            off = np.where(np.bincount(own.cols, minlength=width) < len(which), centre, 0.0)
+            np.maximum.at(off, own.cols, np.abs(vals - centre[own.cols]))
             far = norms - 2 * own_f.dot(centre) + square
-            self.centre.append((cols, mean[cols]))
+            self.centre.append((cols, centre[cols], off[cols]))
             self.radius.append(math.sqrt(max(0.0, float(far.max())) + 1e-9 * (float(norms.max()) + square)))
             self.kids.append([-1, -1])
             if len(which) <= leaf_rows:
@@ -125,9 +121,18 @@ class BallTree:
             half = np.argpartition(from_one - to(other), len(which) // 2)
             todo += [(which[half[len(which) // 2 :]], node, 1), (which[half[: len(which) // 2]], node, 0)]
 
-    def bounds(self, node: int, items: Rows, lengths: np.ndarray) -> np.ndarray:
-        reach = lengths * self.radius[node]
-        return (products(items, *self.centre[node]) + reach) * (1 + SLACK) + 1
+    def bounds(self, node: int, items: Rows) -> np.ndarray:
+        """No document of the node has a larger inner product with the item: the centroid's, and the radius within the item's terms at most."""
+        cols, centre, off = self.centre[node]
+        n = len(items.start) - 1
+        if not len(cols):
+            return np.ones(n)
+        at = np.minimum(np.searchsorted(cols, items.cols), len(cols) - 1)
+        hit = np.flatnonzero(cols[at] == items.cols)
+        owner, at, vals = items.owners()[hit], at[hit], items.vals[hit].astype(float)
+        total = lambda x: np.bincount(owner, x, n)
+        reach = np.sqrt(total(vals * vals)) * np.minimum(self.radius[node], np.sqrt(total(off[at] ** 2)))
+        return (total(vals * centre[at]) + reach) * (1 + SLACK) + 1
 
 
 def dense(rows: Rows, i: int, width: int) -> np.ndarray:
@@ -153,12 +158,12 @@ def scores(leaf: tuple, items: Rows) -> np.ndarray:
 
 def search(tree: BallTree, items: Rows, floor: np.ndarray, k: int, order: np.ndarray) -> tuple[list[list[tuple]], int]:
     """The k best (-score, order of the document, document) of each item that reach its floor, and how many (item, leaf) visits that took."""
-    lengths = np.sqrt(np.bincount(items.owners(), items.vals.astype(float) ** 2, len(items.start) - 1))
-    floor, rows, visits = floor.copy(), [[] for _ in lengths], 0
-    found, level = [], [(0, np.arange(len(lengths)))]
+    every = np.arange(len(items.start) - 1)
+    floor, rows, visits = floor.copy(), [[] for _ in every], 0
+    found, level = [], [(0, every)]
     while level:
         node, some = level.pop()
-        bound = tree.bounds(node, items.taken(some), lengths[some])
+        bound = tree.bounds(node, items.taken(some))
         some, bound = some[bound >= floor[some]], bound[bound >= floor[some]]
         if len(some) and node in tree.leaves:
             found.append((some, np.full(len(some), node), bound))
@@ -169,7 +174,6 @@ def search(tree: BallTree, items: Rows, floor: np.ndarray, k: int, order: np.nda
     owner, leaf, bound = (np.concatenate(x) for x in zip(*found))
     best_first = np.lexsort((-bound, owner))
     owner, leaf, bound = owner[best_first], leaf[best_first], bound[best_first]
-    every = np.arange(len(lengths))
     start, end = np.searchsorted(owner, every), np.searchsorted(owner, every, "right")
     active, turn = np.flatnonzero(end > start), 0
     while len(active):
