@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from recordmill.functions.labels import clean_number
+from recordmill.operators.gram import correlations
+from recordmill.operators.ranktiles import rank_columns
 from recordmill.operators.shared import column_quantiles, hot_keys, join_salted, mixed, running_sums, stash
 
 
@@ -38,12 +40,6 @@ def average_rank(long: DataFrame, keys: list[str], value: str = "value", salt: l
     return join_salted(long.where(F.col(value).isNotNull()), ranks.drop("ties"), on, hot, salt or rest or on)
 
 
-def _complete_ranks(df: DataFrame, features: list[str]) -> DataFrame:
-    """``df``, which has no missing value, with each feature replaced by its average ranks. Rows are told apart by ``__row``."""
-    ranked = average_rank(long_form(df, features, ["__row"]), ["feature"], salt=["__row"])
-    return ranked.groupBy("__row").pivot("feature", features).agg(F.first("average_rank"))
-
-
 def _numbered(df: DataFrame, features: list[str], keep: list[str] | None = None) -> DataFrame:
     """The features as doubles, NaN as null, with a row number ``__row``; written once, so that the numbers are the same for all readers."""
     return stash(df.select(*(keep or []), *[clean_number(F.col(f).cast("double")).alias(f) for f in features]).withColumn("__row", F.monotonically_increasing_id()), "rows")
@@ -51,16 +47,14 @@ def _numbered(df: DataFrame, features: list[str], keep: list[str] | None = None)
 
 def _pairs(df: DataFrame, features: list[str], target: str) -> DataFrame:
     """(f1, f2, target): pairwise correlations of columns, f1 before f2 in the list; one pass over the rows."""
-    pairs = list(combinations(features, 2))
-    if not pairs:
-        return df.sparkSession.createDataFrame([], f"f1 string, f2 string, {target} double")
-    cells = df.agg(*[F.try_divide(F.covar_samp(a, b), F.stddev_samp(F.when(F.col(b).isNotNull(), F.col(a))) * F.stddev_samp(F.when(F.col(a).isNotNull(), F.col(b)))).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
-    return cells.select(F.explode(F.array(*[F.struct(F.lit(a).alias("f1"), F.lit(b).alias("f2"), F.col(f"c{i}").alias(target)) for i, (a, b) in enumerate(pairs)])).alias("r")).select("r.*")
+    names = F.lit(features) if features else F.array().cast("array<string>")
+    found = correlations(df.select(*features))
+    return found.select(F.element_at(names, F.col("i") + 1).alias("f1"), F.element_at(names, F.col("j") + 1).alias("f2"), F.col("r").alias(target))
 
 
 def pearson_matrix(df: DataFrame, features: list[str]) -> DataFrame:
-    """(f1, f2, r) for each pair once, over rows where both have values."""
-    return _pairs(df.select(*[clean_number(F.col(f).cast("double")).alias(f) for f in features]), features, "r")
+    """(f1, f2, r) for each pair once, over rows where both have values; any number of features takes one plan."""
+    return _pairs(df, features, "r")
 
 
 def spearman_matrix(df: DataFrame, features: list[str]) -> DataFrame:
@@ -74,7 +68,7 @@ def spearman_matrix(df: DataFrame, features: list[str]) -> DataFrame:
         return _pairs(rows, features, "rho")
     missing = rows.agg(*[F.count_if(F.col(f).isNull()).alias(f"m{i}") for i, f in enumerate(features)]).first()
     whole = [f for f, m in zip(features, missing) if not m]
-    out = _pairs(_complete_ranks(rows.select("__row", *whole), whole), whole, "rho")
+    out = _pairs(rank_columns(rows.select("__row", *whole), whole), whole, "rho")
     others = [(a, b) for a, b in combinations(features, 2) if a not in whole or b not in whole]
     if not others:
         return out
@@ -97,7 +91,7 @@ def rank_pca(df: DataFrame, features: list[str], ids: list[str]) -> tuple[DataFr
         raise ValueError("rank_pca needs two features or more")
     spark = df.sparkSession
     rows = _numbered(df, features, ids).na.drop(subset=features)
-    ranks = stash(_complete_ranks(rows.select("__row", *features), features), "ranks")
+    ranks = stash(rank_columns(rows.select("__row", *features), features), "ranks")
     m = np.eye(len(features))
     for r in _pairs(ranks, features, "rho").collect():
         i, j = features.index(r["f1"]), features.index(r["f2"])

@@ -219,8 +219,7 @@ def _(spark, d):
     return ranks.value_ranks(ranks.long_form(r.windows(spark, d), r.FEATURES, r.ROW), ["feature"])
 
 
-def _pair_sql(source: str, name: str) -> str:
-    fs = r.FEATURES
+def _pair_sql(source: str, name: str, fs: list[str] = r.FEATURES) -> str:
     return " union all ".join(f"select '{a}' f1, '{b}' f2, round(corr({a},{b}),5) {name} from {source}" for i, a in enumerate(fs) for b in fs[i + 1 :])
 
 
@@ -237,6 +236,32 @@ def _(spark, d):
     return rounded(ranks.spearman_matrix(r.windows(spark, d), r.FEATURES), 5, "rho")
 
 
+@register("pearson_wide", _pair_sql(r.WIDE_WINDOWS, "r", list(r.WIDE)))
+def _(spark, d):
+    return rounded(ranks.pearson_matrix(r.wide_windows(spark, d), list(r.WIDE)), 5, "r")
+
+
+#: Those of the derived columns without a gap, as many as a heatmap by name has.
+RANKED_WIDE = list(r.WIDE)[:15]
+WIDE_RANKS_15 = "(select " + ", ".join(f"rank() over (order by {c}) + (count(*) over (partition by {c}) - 1)/2.0 {c}" for c in RANKED_WIDE) + f" from {r.WIDE_WINDOWS})"
+
+
+@register("spearman_wide", _pair_sql(WIDE_RANKS_15, "rho", RANKED_WIDE))
+def _(spark, d):
+    return rounded(ranks.spearman_matrix(r.wide_windows(spark, d), RANKED_WIDE), 5, "rho")
+
+
+ANOVA_WIDE = " union all ".join(
+    f"select '{c}' feature, round((b/(k-1))/(w/(n-k)),4) f from (select sum(n*(m-g)*(m-g)) b, sum(ss) w, count(*) k, sum(n) n from (select macro_class, count({c}) n, avg({c}) m, var_pop({c})*count({c}) ss, any_value(g) g from (select macro_class, {c}, avg({c}) over () g from {r.WIDE_WINDOWS}) group by 1))"
+    for c in r.WIDE
+)
+
+
+@register("anova_f_wide", ANOVA_WIDE)
+def _(spark, d):
+    return rounded(features.anova_f(r.wide_windows(spark, d), list(r.WIDE)), 4, "f")
+
+
 ANOVA = f"""(select feature, (b/(k-1))/(w/(n-k)) f from (select feature, sum(n*(m-g)*(m-g)) b, sum(ss) w, count(*) k, sum(n) n from
  (select feature, macro_class, count(*) n, avg(v) m, var_pop(v)*count(*) ss, any_value(g) g from (select *, avg(v) over (partition by feature) g from {LONG}) group by 1,2) group by 1))"""
 

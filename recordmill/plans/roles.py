@@ -53,6 +53,22 @@ def windows(spark: SparkSession, d: str) -> DataFrame:
 WINDOWS = "(select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_suppkey patient_id, lower(l_returnflag) macro_class, l_quantity quantity, l_extendedprice price, l_discount discount, l_tax tax from lineitem)"
 
 
+#: Derived columns of a window, some with gaps, as SQL that both engines read.
+WIDE = {
+    "w00": "quantity", "w01": "price", "w02": "discount", "w03": "tax", "w04": "price * discount", "w05": "price * tax", "w06": "price * (1 - discount)", "w07": "quantity * discount",
+    "w08": "quantity * tax", "w09": "price / quantity", "w10": "sqrt(price)", "w11": "ln(price)", "w12": "quantity * quantity", "w13": "discount * tax", "w14": "cast(l_linenumber as double)",
+    "w15": "cast(l_partkey % 97 as double)", "w16": "cast(l_suppkey % 89 as double)", "w17": "cast(l_orderkey % 101 as double)", "w18": "price + 100000000.0", "w19": "quantity - l_linenumber",
+    "w20": "case when l_orderkey % 7 <> 0 then quantity end", "w21": "case when l_linenumber % 3 <> 0 then price end", "w22": "case when l_orderkey % 11 = 0 then tax end", "w23": "case when discount > 0.02 then discount end",
+}
+
+
+def wide_windows(spark: SparkSession, d: str) -> DataFrame:
+    return windows(spark, d).select("macro_class", *[F.expr(x).cast("double").alias(n) for n, x in WIDE.items()])
+
+
+WIDE_WINDOWS = "(select macro_class, " + ", ".join(f"cast({x} as double) {n}" for n, x in WIDE.items()) + f" from {WINDOWS})"
+
+
 def montage_windows(spark: SparkSession, d: str) -> DataFrame:
     values = [F.col("quantity"), F.col("price") / 1000, F.col("quantity") * F.col("discount"), F.col("price") * F.col("tax") / 1000]
     return windows(spark, d).select("macro_class", *[v.alias(n) for v, n in zip(values, PAIRS)])
