@@ -2,28 +2,58 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recordmill.functions.labels import AUDIT_CLASSES, BACKGROUND, display_label, map_class, normalise_label
-from recordmill.operators.shared import quantiles, running_max_before, with_share
+from recordmill.operators.shared import quantiles, running_max_before, stash, with_share
 
 WINDOW_SECONDS = 4.096  # fixed value: length of a feature window
 
 
-#: Intervals of one group above which its windows are spread over range partitions.
+#: Intervals, once merged where they lie, above which the groups are counted, and those of one group above which it is spread over range partitions.
 LARGE_GROUP = 1_000_000
 
 
+def _coalesced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(keys, from, to): intervals of a batch that meet or overlap as one; inverted ones and those without an end as they are."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        start, stop = (c.to_numpy(zero_copy_only=False).astype(float) for c in b.columns[-2:])
+        plain = np.flatnonzero(stop >= start)
+        group = np.zeros(b.num_rows, np.int64)
+        for c in b.columns[:-2]:
+            codes = c.dictionary_encode().indices
+            codes = codes.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+            group = np.unique(group * (codes.max() + 2) + codes + 1, return_inverse=True)[1]
+        order = plain[np.lexsort((stop[plain], start[plain], group[plain]))]
+        g, reach = group[order], pd.Series(stop[order]).groupby(group[order]).cummax().to_numpy()
+        new = np.concatenate(([True], (g[1:] != g[:-1]) | (start[order][1:] > reach[:-1])))[: len(order)]
+        heads = np.flatnonzero(new)
+        tails = np.append(heads[1:], len(order)) - 1 if len(heads) else heads
+        keep = np.concatenate([order[heads], np.setdiff1d(np.arange(b.num_rows), plain)])
+        ends = np.concatenate([reach[tails], stop[np.setdiff1d(np.arange(b.num_rows), plain)]])
+        kept = b.take(pa.array(keep))
+        yield pa.RecordBatch.from_arrays([*kept.columns[:-1], pa.array(ends, mask=np.isnan(ends)).cast(b.schema[-1].type)], names=b.schema.names)
+
+
 def interval_union_duration(df: DataFrame, keys: list[str], start: str = "start_time", stop: str = "stop_time", large: int = LARGE_GROUP) -> DataFrame:
     """(keys, seconds): length of the union of each group's intervals; touching intervals merge.
 
-    Each interval adds what it reaches beyond all that start before it. Inverted intervals keep their negative length where
-    nothing covers them; an interval without a start or stop adds nothing. A group is one file's intervals of a label;
-    where one has more than ``large`` of them, groups are spread over range partitions instead of a task each.
+    Intervals of a batch of rows are merged before they move, so that overlapping ones (the channels of a recording) are
+    shuffled as one. Each of the rest adds what it reaches beyond all that start before it. Inverted intervals keep their
+    negative length where nothing covers them; an interval without a start or stop adds nothing. A group is one file's
+    intervals of a label; where one has more than ``large`` of them, groups are spread over range partitions.
     """
-    rows = df.select(*keys, F.col(start).alias("__from"), F.when(F.col(start).isNotNull(), F.col(stop)).alias("__to"))
-    if rows.groupBy(*keys).count().where(F.col("count") > large).isEmpty():
+    rows = df.select(*keys, F.col(start).cast("double").alias("__from"), F.when(F.col(start).isNotNull(), F.col(stop).cast("double")).alias("__to"))
+    rows = stash(rows.mapInArrow(_coalesced, rows.schema), "intervals")
+    if rows.count() <= large or rows.groupBy(*keys).count().where(F.col("count") > large).isEmpty():
         before = Window.partitionBy(*keys).orderBy("__from", "__to").rowsBetween(Window.unboundedPreceding, -1)
         reached = rows.withColumn("__reached", F.max("__to").over(before))
     else:
@@ -46,11 +76,11 @@ def distinct_events(annotations: DataFrame, file: str = "file_path", label: str
 
 
 def event_duration_stats(annotations: DataFrame, background: str = BACKGROUND, file: str = "file_path") -> DataFrame:
-    """Per non-background label over distinct events: count, median, mean, min, max and sum of durations; most events first."""
+    """Per non-background label over distinct events: count, median, mean, min, max and sum of durations; the longest median first."""
     events = distinct_events(annotations, file).where(F.col("label") != background).withColumn("d", F.col("stop_time") - F.col("start_time"))
     medians = quantiles(events, ["label"], [0.5], "d").select("label", F.col("q")[0].alias("median_s"))
     stats = events.groupBy("label").agg(F.count(F.lit(1)).alias("n_events"), F.avg("d").alias("mean_s"), F.min("d").alias("min_s"), F.max("d").alias("max_s"), F.sum("d").alias("total_s"))
-    return stats.join(medians, "label", "left").select("label", "n_events", "median_s", "mean_s", "min_s", "max_s", "total_s").orderBy(F.desc("n_events"), "label")
+    return stats.join(medians, "label", "left").select("label", "n_events", "median_s", "mean_s", "min_s", "max_s", "total_s").orderBy(F.desc("median_s"), "label")
 
 
 def natural_distribution(annotations: DataFrame, collapse: bool = True, mapping: dict | None = None, file: str = "file_path") -> DataFrame:

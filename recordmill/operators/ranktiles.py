@@ -159,13 +159,18 @@ def _ends(summary: list) -> list[tuple]:
     return [tuple(r) for r in out]
 
 
-def _looked_up(known: dict[int, tuple[np.ndarray, np.ndarray]]):
-    """A batch (row, the features of ``known`` in order) to (row, their ranks)."""
+def _looked_up(known: dict[int, tuple[np.ndarray, np.ndarray]], packed: bool):
+    """A batch (row, the features of ``known`` in order) to (row, their ranks); packed, a row's ranks are one binary value, which travels more lightly than a list."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ranks = [pa.array(r[np.searchsorted(v, c.to_numpy(zero_copy_only=False))]) for c, (v, r) in zip(b.columns[1:], known.values())]
-            yield pa.RecordBatch.from_arrays([b.column(0), *ranks], names=["__row", *[f"r{f}" for f in known]])
+            ranks = [r[np.searchsorted(v, c.to_numpy(zero_copy_only=False))] for c, (v, r) in zip(b.columns[1:], known.values())]
+            if packed:
+                ends = np.arange(b.num_rows + 1, dtype=np.int32) * (8 * len(known))
+                column = pa.Array.from_buffers(pa.binary(), b.num_rows, [None, pa.py_buffer(ends), pa.py_buffer(np.column_stack(ranks).tobytes())])
+                yield pa.RecordBatch.from_arrays([b.column(0), column], names=["__row", "ranks"])
+            else:
+                yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, ranks)], names=["__row", *[f"r{f}" for f in known]])
 
     return run
 
@@ -181,7 +186,7 @@ def _tiles(known: list[int], sorted_ones: list[int]):
         one = f >= 0
         out[at[one], np.array([order.get(x, 0) for x in range(max(order) + 1)])[f[one]]] = rank[one]
         if known:
-            out[np.ix_(at[~one], [order[x] for x in known])] = np.concatenate([h[3] for h in held if len(h[3])])
+            out[np.ix_(at[~one], [order[x] for x in known])] = np.frombuffer(b"".join(x for h in held for x in h[3])).reshape(-1, len(known))
         return pa.RecordBatch.from_arrays([pa.array(rows), *[pa.array(c) for c in out.T]], names=["__row", *[f"r{x}" for x in order]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,7 +202,7 @@ def _tiles(known: list[int], sorted_ones: list[int]):
                     held = []
                 tile, b = code[s], whole.slice(s, e - s)
                 row, f, rank = (b.column(i).to_numpy(zero_copy_only=False) for i in (1, 2, 3))
-                held.append((row, f, rank, b.column(4).flatten().to_numpy(zero_copy_only=False).reshape(-1, max(1, len(known)))))
+                held.append((row, f, rank, b.column(4).drop_null().to_pylist()))
         if held:
             yield told(held)
 
@@ -213,9 +218,9 @@ def rank_columns(rows: DataFrame, features: list[str], few: int = FEW, entries:
     known = dictionaries(rows, features, few, entries)
     rest = [i for i in range(len(features)) if i not in known]
     schema = lambda fs: "__row long, " + ", ".join(f"r{f} double" for f in fs)
-    looked = rows.select("__row", *[F.col(features[f]) for f in known]).mapInArrow(_looked_up(known), schema(known)) if known else None
+    looked = rows.select("__row", *[F.col(features[f]) for f in known])
     if not rest:
-        return looked.select("__row", *[F.col(f"r{i}").alias(f) for i, f in enumerate(features)])
+        return looked.mapInArrow(_looked_up(known, False), schema(known)).select("__row", *[F.col(f"r{i}").alias(f) for i, f in enumerate(features)])
     long = rows.select("__row", F.explode(F.array(*[F.struct(F.lit(i).alias("f"), (F.col(features[i]) + 0.0).alias("v")) for i in rest])).alias("x")).select("x.f", "x.v", F.col("__row").alias("row"))
     dealt = long.repartitionByRange("f", "v", "row").sortWithinPartitions("f", "v").select(F.spark_partition_id().alias("part"), "f", "v", "row")
     runs = stash(dealt.mapInArrow(_runs, "part int, f int, v double, row long, lo long, n long"), "runs")
@@ -224,8 +229,10 @@ def rank_columns(rows: DataFrame, features: list[str], few: int = FEW, entries:
     ends = rows.sparkSession.createDataFrame(_ends(summary.orderBy("f", "part").collect()), "part int, f int, offset long, v0 double, rank0 double, v1 double, rank1 double")
     rank = F.when(F.col("v") == F.col("v0"), F.col("rank0")).when(F.col("v") == F.col("v1"), F.col("rank1")).otherwise(F.col("offset") + F.col("lo") + (F.col("n") + 1) / 2)
     tile = lambda row: F.shiftright(F.col(row), TILE_BITS).alias("tile")
-    back = runs.join(F.broadcast(ends), ["part", "f"]).select(tile("row"), "row", "f", rank.alias("rank"), F.lit(None).cast("array<double>").alias("ranks"))
-    if looked is not None:
-        back = back.unionAll(looked.select(tile("__row"), "__row", F.lit(-1), F.lit(None).cast("double"), F.array(*[f"r{f}" for f in known])))
-    tiles = back.repartition("tile").sortWithinPartitions("tile").mapInArrow(_tiles(list(known), rest), schema(range(len(features))))
+    back = runs.join(F.broadcast(ends), ["part", "f"]).select(tile("row"), "row", "f", rank.alias("rank"), F.lit(None).cast("binary").alias("ranks"))
+    if known:
+        looked = looked.mapInArrow(_looked_up(known, True), "__row long, ranks binary")
+        back = back.unionAll(looked.select(tile("__row"), "__row", F.lit(-1), F.lit(None).cast("double"), "ranks"))
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a given number, as little data is much work here
+    tiles = back.repartition(tasks, "tile").sortWithinPartitions("tile").mapInArrow(_tiles(list(known), rest), schema(range(len(features))))
     return tiles.select("__row", *[F.col(f"r{i}").alias(f) for i, f in enumerate(features)])

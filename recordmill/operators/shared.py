@@ -10,8 +10,10 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Relative accuracy of the sketch that brackets a quantile, and the rows of a group below which no bracket is drawn.
-ACCURACY, LEAST_BRACKETED = 10_000, 20_000
+from recordmill.operators.selection import selected
+
+#: Values of a group that a task takes to sort them; beyond that they are selected by digits.
+SMALL = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -103,63 +105,36 @@ def running_sum(df: DataFrame, keys: list[str], order: list[str], amount: str, n
     return running_sums(df, keys, order, {amount: name})
 
 
-def _between(probability: float, n: Column) -> tuple[Column, Column, Column]:
-    """The 1-based places of the two rows about a quantile, and the weight of the second."""
-    at = (n - 1) * F.lit(float(probability))
-    low = F.floor(at).cast("long")
-    return low + 1, F.ceil(at).cast("long") + 1, at - low
-
-
 def mixed(low: Column, high: Column, weight: Column) -> Column:
     """Linear interpolation between two neighbouring values."""
     return F.when(low == high, low).otherwise((1 - weight) * low + weight * high)
 
 
-def quantiles(long: DataFrame, keys: list[str], probabilities: list[float], value: str = "value") -> DataFrame:
+def quantiles(long: DataFrame, keys: list[str], probabilities: list[float], value: str = "value", small: int = SMALL) -> DataFrame:
     """(keys, n, q): exact quantiles, linearly interpolated, of each group's non-null values; q is an array in the order asked.
 
-    One pass sketches each group within bounded memory and brackets every quantile by values whose ranks are known to
-    lie on either side of it. A second pass counts rows by distinct value within the brackets, a few ten-thousandths of a
-    group, and by gap between them. No row is shuffled otherwise. Groups must be few (features, classes), as a row of
-    each is broadcast.
+    Groups are counted first. Where none has more than ``small`` values, a task takes a group's distinct ones with their
+    counts. Beyond that values are selected by digits (see selection), in constant memory and without a window over a group. Groups must be few (features, classes). NaN
+    is larger than any number.
     """
     v = long.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__v"))
-    step = 3 / ACCURACY
-    ends = [min(1.0, max(0.0, p + s)) for p in probabilities for s in (-step, step)]
-    sketch = v.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("__v", ends, ACCURACY).alias("__s"), F.min("__v").alias("__min"), F.max("__v").alias("__max"))
-    n, x = F.col("n"), F.col("__v")
-    bound = {}
-    for i, end in enumerate(ends):
-        whole = (n < LEAST_BRACKETED) | F.lit(end in (0.0, 1.0))
-        bound[f"__e{i}"] = F.when(whole, F.col("__max" if i % 2 else "__min")).otherwise(F.col("__s")[i])
-    sketch = sketch.where("n > 0").withColumns(bound).drop("__s", "__min", "__max")
-    near = v.join(F.broadcast(sketch), keys) if keys else v.crossJoin(F.broadcast(sketch))  # a row a group
-    inside = [x.between(F.col(f"__e{i}"), F.col(f"__e{i + 1}")) for i in range(0, len(ends), 2)]
-    outside = ~F.greatest(*inside, F.lit(False))
-    # A row between the brackets stands after the last bracket below it.
-    gap = F.greatest(F.lit(float("-inf")), *[F.when(F.col(f"__e{i + 1}") < x, F.col(f"__e{i + 1}")).otherwise(float("-inf")) for i in range(0, len(ends), 2)])
-    held = near.select(*keys, "n", F.when(outside, gap).otherwise(x).alias("__v"), outside.alias("__gap")).groupBy(*keys, "n", "__v", "__gap").agg(F.count(F.lit(1)).alias("__m"))
-    held = held.withColumn("__upto", F.sum("__m").over(Window.partitionBy(*keys).orderBy("__v", "__gap").rowsBetween(Window.unboundedPreceding, 0)))
-    spot, pick = F.struct("__v", "__gap"), []
-    for i, p in enumerate(probabilities):
-        first, second, _ = _between(p, n)
-        pick += [F.min(F.when(F.col("__upto") >= place, spot)).alias(f"__q{i}_{side}") for side, place in ((0, first), (1, second))]
-    picked = held.groupBy(*keys, "n").agg(*pick)
-    out = []
-    for i, p in enumerate(probabilities):
-        low, high = F.col(f"__q{i}_0"), F.col(f"__q{i}_1")
-        q = mixed(low["__v"], high["__v"], _between(p, n)[2])
-        # The sketch's bounds are proven; a breach must not pass unseen.
-        out.append(F.when(low["__gap"] | high["__gap"], F.raise_error(F.lit("quantile outside its bracket")).cast("double")).otherwise(q))
-    return picked.select(*keys, "n", F.array(*out).alias("q"))
-
-
-def column_quantiles(df: DataFrame, columns: dict[str, Column], probabilities: list[float]) -> DataFrame:
+    most = v.groupBy(*keys).count().agg(F.max("count")).first()[0]
+    if (most or 0) <= small:
+        group = Window.partitionBy(*keys)
+        held = v.groupBy(*keys, "__v").agg(F.count(F.lit(1)).alias("__m"))
+        held = held.withColumn("__upto", F.sum("__m").over(group.orderBy("__v").rowsBetween(Window.unboundedPreceding, 0))).withColumn("n", F.sum("__m").over(group))
+        at = [(F.col("n") - 1) * F.lit(float(p)) for p in probabilities]
+        value = lambda place: F.min(F.when(F.col("__upto") > place, F.col("__v")))
+        found = held.groupBy(*keys, "n").agg(*[x for i, a in enumerate(at) for x in (value(F.floor(a)).alias(f"__a{i}"), value(F.ceil(a)).alias(f"__b{i}"))])
+        return found.select(*keys, "n", F.array(*[mixed(F.col(f"__a{i}"), F.col(f"__b{i}"), a - F.floor(a)) for i, a in enumerate(at)]).alias("q"))
+    return selected(v, keys, probabilities)
+
+
+def column_quantiles(df: DataFrame, columns: dict[str, Column], probabilities: list[float], small: int = SMALL) -> DataFrame:
     """One row with an array column for each named expression: its exact quantiles, null where it has no value."""
-    names = list(columns)
-    long = df.select(*[c.cast("double").alias(n) for n, c in columns.items()]).unpivot([], names, "feature", "value")
-    found = quantiles(long, ["feature"], probabilities)
-    return found.agg(*[F.max(F.when(F.col("feature") == n, F.col("q"))).alias(n) for n in names])
+    wide = df.select(*[c.cast("double").alias(n) for n, c in columns.items()])
+    found = quantiles(wide.unpivot([], list(columns), "feature", "value"), ["feature"], probabilities, small=small)
+    return found.agg(*[F.max(F.when(F.col("feature") == n, F.col("q"))).alias(n) for n in columns])
 
 
 def hot_keys(counts: DataFrame, amount: str, share: int = 2000, least: int = 1000) -> DataFrame:
