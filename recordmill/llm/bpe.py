@@ -31,9 +31,14 @@ from pyspark.sql import types as T
 from recordmill.llm.common import map_batches, ship, table, without
 
 REMEMBERED = 400_000
-WORDS_A_QUERY = 20_000
-#: Words longer than this go through a query of their own, one at a time, and are not remembered.
+#: Words longer than this are not remembered.
 LONG_WORD = 256
+#: Bytes of a part up to which ENCODE takes it, one contraction a round; longer ones take ENCODE_LONG.
+SHORT_WORD = 96
+#: What a query holds at most: rows of all rounds of ENCODE (a part of n bytes has at most n * n / 2 or so), bytes of parts of ENCODE_LONG, or one part.
+ROWS_A_QUERY, BYTES_A_QUERY = 2_000_000, 64 << 10
+#: Stands between the parts of a query and merges with nothing.
+GAP = (1 << 31) - 1
 
 # Fixed value: the split pattern for which cutting at blanks is proven; with any other, texts are split plainly.
 WHOLE_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -60,7 +65,7 @@ last as (select w, max(k) k from t group by w)
 select t.w, t.id from t join last using (w, k) order by t.g
 """
 
-#: The same for one long word, in far fewer rounds. A round contracts every pair whose rank is the least within ``reach``
+#: The same for long words, one after the other with a gap between that no pair reaches over, in far fewer rounds. A round contracts every pair whose rank is the least within ``reach``
 #: bytes on either side, where reach is three times the longest token that occurs in the word. That gives what one
 #: contraction at a time would give: a token that a lower pair farther off could grow into is too short to come near
 #: (it is a token that occurs), so nothing touches the pair before its turn. Of equal pairs that overlap, every second
@@ -99,7 +104,7 @@ with recursive t(g, id) using key (g) as (
      where ready and head_ready and place % 2 = 1)
    select g, merged from chosen union all select next_g, -1 from chosen)
 )
-select id from t where id >= 0 order by g
+select g, id from t where id >= 0 order by g
 """
 
 DECODE = """
@@ -133,6 +138,18 @@ class Memory:
         self.young.update(values)
 
 
+def _bounded(words: list[bytes], cost, most: int) -> Iterator[list[bytes]]:
+    """Slices of words whose costs, by length, come to ``most`` together, or of one word."""
+    at, total = 0, 0
+    for i, word in enumerate(words):
+        if i > at and total + cost(len(word)) > most:
+            yield words[at:i]
+            at, total = i, 0
+        total += cost(len(word))
+    if at < len(words):
+        yield words[at:]
+
+
 class Codec:
     """Encoder and decoder for one rank file's content and split pattern."""
 
@@ -152,7 +169,7 @@ class Codec:
                     merged.append(rank)
         self.sizes = {head: sorted(set(sizes), reverse=True) for head, sizes in self.sizes.items()}
         self.byte_ids = np.array([self.ranks.get(bytes([i]), -1) for i in range(256)], np.int32)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "250MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "250MB", "temp_directory": ""})  # what a query holds is bounded, so nothing spills
         self._load("merges", {"pair": pa.array(pairs, pa.int64()), "id": pa.array(merged, pa.int32())})
         ids = np.array(list(self.ranks.values()), np.int32)
         # A byte is held as the character of that number, as a string of bytes need not be UTF-8.
@@ -199,25 +216,56 @@ class Codec:
                     break
         return best
 
-    def _contract_long(self, word: bytes) -> bytes:
-        ids = self.byte_ids[np.frombuffer(word, np.uint8)]
-        sql = ENCODE_LONG.format(reach=3 * self._longest_token(word))
-        return self._query(sql, {"g": np.arange(len(word)), "id": ids}).column(0).to_numpy().astype(np.int32).tobytes()
+    def _contract_long(self, words: list[bytes]) -> list[bytes]:
+        """As _contract, for words of more than a few bytes."""
+        reach = 3 * max(map(self._longest_token, words))
+        sizes = np.array([len(w) for w in words])
+        starts = np.cumsum(sizes + reach + 2) - (sizes + reach + 2)
+        at = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(starts, sizes)
+        ids = self.byte_ids[np.frombuffer(b"".join(words), np.uint8)]
+        g, ids = np.concatenate([at, starts[1:] - 1]), np.concatenate([ids, np.full(len(words) - 1, GAP, np.int32)])
+        out = self._query(ENCODE_LONG.format(reach=reach), {"g": g, "id": ids})
+        places, ids = out.column(0).to_numpy(), out.column(1).to_numpy()
+        places, ids = places[ids != GAP], ids[ids != GAP].astype(np.int32)
+        return [ids[s:e].tobytes() for s, e in zip(np.searchsorted(places, starts).tolist(), np.searchsorted(places, starts + sizes).tolist())]
 
     def _learn_words(self, words: set[str]) -> dict[str, bytes]:
         """Ids of matches of the split pattern."""
-        found, short, long = {}, [], []
+        found, parts_of = {}, {}
         for word in words:
             raw = word.encode()
             if (rank := self.ranks.get(raw)) is not None:
                 found[word] = self.single[rank]
             else:
-                (short if len(raw) <= LONG_WORD else long).append((word, raw))
-        for batch in (short[i : i + WORDS_A_QUERY] for i in range(0, len(short), WORDS_A_QUERY)):
-            found.update(zip([w for w, _ in batch], self._contract([raw for _, raw in batch])))
-        found.update((word, self._contract_long(raw)) for word, raw in long)
+                parts_of[word] = self._apart(raw)
+        parts = sorted(set(chain.from_iterable(parts_of.values())), key=lambda x: (len(x), x))
+        known = {x: self.byte_ids[x[0]].tobytes() for x in parts if len(x) == 1}
+        cut = sum(len(x) <= SHORT_WORD for x in parts)
+        for some, contract, cost, most in ((parts[len(known) : cut], self._contract, lambda n: n * n // 2, ROWS_A_QUERY), (parts[cut:], self._contract_long, lambda n: n, BYTES_A_QUERY)):
+            for batch in _bounded(some, cost, most):
+                known.update(zip(batch, contract(batch)))
+        found.update((word, b"".join(map(known.__getitem__, own))) for word, own in parts_of.items())
         return found
 
+    def _apart(self, word: bytes) -> list[bytes]:
+        """The word cut wherever no token that occurs in it reaches over: each merge makes such a token, so none crosses a cut, and the parts don't touch each other."""
+        cuts, far = [0], 1
+        for i in range(len(word)):
+            if i >= far:
+                cuts.append(i)
+            if word[i : i + 2] in self.ranks:
+                far = max(far, i + 2)
+            if word[i : i + 3] in self.ranks:
+                far = max(far, i + 3)
+            for size in self.sizes.get(word[i : i + 3], ()):
+                if i + size <= far:
+                    break
+                if word[i : i + size] in self.ranks:
+                    far = i + size
+                    break
+            far = max(far, i + 1)
+        return [word[s:e] for s, e in zip(cuts, [*cuts[1:], len(word)])]
+
     def ids_digest(self, ids: bytes) -> str:
         return hashlib.sha256(",".join(map(self.decimals.__getitem__, np.frombuffer(ids, np.int32).tolist())).encode()).hexdigest()
 
