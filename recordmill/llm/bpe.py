@@ -33,8 +33,8 @@ from recordmill.llm.common import map_batches, ship, table, without
 REMEMBERED = 400_000
 #: Words longer than this are not remembered.
 LONG_WORD = 256
-#: Bytes of a part up to which ENCODE takes it, one contraction a round; longer ones take ENCODE_LONG.
-SHORT_WORD = 96
+#: Bytes of a word up to which it is not worth to look for cuts; bytes of a part up to which ENCODE takes it, one contraction a round; longer ones take ENCODE_LONG.
+PLAIN_WORD, SHORT_WORD = 32, 96
 #: What a query holds at most: rows of all rounds of ENCODE (a part of n bytes has at most n * n / 2 or so), bytes of parts of ENCODE_LONG, or one part.
 ROWS_A_QUERY, BYTES_A_QUERY = 2_000_000, 64 << 10
 #: Stands between the parts of a query and merges with nothing.
@@ -237,7 +237,7 @@ class Codec:
             if (rank := self.ranks.get(raw)) is not None:
                 found[word] = self.single[rank]
             else:
-                parts_of[word] = self._apart(raw)
+                parts_of[word] = self._apart(raw) if len(raw) > PLAIN_WORD else [raw]
         parts = sorted(set(chain.from_iterable(parts_of.values())), key=lambda x: (len(x), x))
         known = {x: self.byte_ids[x[0]].tobytes() for x in parts if len(x) == 1}
         cut = sum(len(x) <= SHORT_WORD for x in parts)
