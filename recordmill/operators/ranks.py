@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -254,6 +255,35 @@ def u_counts(n1: int, n2: int) -> np.ndarray:
     return ways
 
 
+@lru_cache
+def _cyclic(m: int) -> tuple[int, list[int]]:
+    """(L, a): 1 / ((1 - q)(1 - q)(1 - q^2)..(1 - q^m)) is the polynomial a over (1 - q^L)^(m + 1), L the least common multiple of 1 to m."""
+    period, a = math.lcm(*range(1, m + 1)), [1]
+    for i in (1, *range(1, m + 1)):
+        a += [0] * (period - i)
+        long = list(a)
+        for j in range(i, len(a)):
+            long[j] += long[j - i]
+        a = [x - (long[j - period] if j >= period else 0) for j, x in enumerate(long)]
+    return period, a
+
+
+def lower_tail(u: int, m: int, n: int) -> int:
+    """How many orders of m and n distinct values have a u up to this one, exactly.
+
+    Their generating function is the Gaussian binomial; its numerator has 2^m terms at most, and what it is divided by
+    has coefficients in closed form, so the cost depends on the small m alone.
+    """
+    period, a = _cyclic(m)
+    terms = {0: 1}
+    for i in range(1, m + 1):
+        for e, c in list(terms.items()):
+            if e + n + i <= u:
+                terms[e + n + i] = terms.get(e + n + i, 0) - c
+    held = lambda k: sum(a[j] * math.comb((k - j) // period + m, m) for j in range(k % period, min(len(a), k + 1), period))
+    return sum(c * held(u - e) for e, c in terms.items())
+
+
 @F.pandas_udf(DoubleType())
 def _exact_tails(u: pd.Series, n1: pd.Series, n2: pd.Series) -> pd.Series:
     out = []
@@ -261,6 +291,7 @@ def _exact_tails(u: pd.Series, n1: pd.Series, n2: pd.Series) -> pd.Series:
         if pd.isna(a):  # not an exact case
             out.append(float("nan"))
             continue
-        ways = u_counts(int(min(b, c)), int(max(b, c)))
-        out.append(min(1.0, 2 * float(ways[int(round(max(a, b * c - a))) :].sum() / ways.sum())))
+        m, n = int(min(b, c)), int(max(b, c))
+        u = int(round(min(a, b * c - a)))
+        out.append(min(1.0, 2 * lower_tail(u, m, n) / math.comb(m + n, m)))
     return pd.Series(out)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from recordmill.functions.labels import clean_number
 from recordmill.operators.features import columns_by_suffix
@@ -58,27 +61,46 @@ def multiquadric(d: np.ndarray, eps: float) -> np.ndarray:
     return np.sqrt((d / eps) ** 2 + 1)
 
 
-def _weights(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Weights of one class's nodes: solves (A - smooth I) w = z with the mean spacing of the bounding box as scale."""
-    x, z = pdf[["x", "y"]].to_numpy(), pdf["median"].to_numpy()
-    span = x.max(axis=0) - x.min(axis=0)
+def _scale(p: np.ndarray) -> float:
+    """The mean spacing of the nodes in their bounding box."""
+    span = p.max(axis=0) - p.min(axis=0)
     span = span[span > 0]
-    eps = float((span.prod() / len(x)) ** (1 / len(span))) if len(span) else 1.0
-    d = np.linalg.norm(x[:, None] - x[None], axis=2)
-    w = np.linalg.lstsq(multiquadric(d, eps) - SMOOTH * np.eye(len(x)), z, rcond=None)[0]
-    return pdf[["class", "x", "y"]].assign(w=w, eps=eps)
-
-
-def scalp_grid(points: DataFrame, size: int = GRID) -> DataFrame:
-    """(class, i, j, x, y, z): the surface through a class's points on a square grid, null outside the unit disc.
-
-    A class has a point for each electrode pair at most, so the solve is small; the grid is filled in Spark.
+    return float((span.prod() / len(p)) ** (1 / len(span))) if len(span) else 1.0
+
+
+def _weighted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(keys, xs, ys, zs) to (keys, xs, ys, weights, eps): solves (A - smooth I) w = z, once a layout for all surfaces of a batch that have it."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        xs, ys, zs = (c.to_pylist() for c in b.columns[-3:])
+        layouts: dict[tuple, list[int]] = {}
+        for i, place in enumerate(zip(map(tuple, xs), map(tuple, ys))):
+            layouts.setdefault(place, []).append(i)
+        weights, scales = [None] * b.num_rows, [0.0] * b.num_rows
+        for (x, y), rows in layouts.items():
+            p = np.column_stack([x, y])
+            eps = _scale(p)
+            a = multiquadric(np.linalg.norm(p[:, None] - p[None], axis=2), eps) - SMOOTH * np.eye(len(p))
+            solved = np.linalg.lstsq(a, np.array([zs[i] for i in rows]).T, rcond=None)[0]
+            for i, w in zip(rows, solved.T.tolist()):
+                weights[i], scales[i] = w, eps
+        yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(weights, pa.list_(pa.float64())), pa.array(scales)], names=[*b.schema.names[:-1], "ws", "eps"])
+
+
+def scalp_grid(points: DataFrame, size: int = GRID, keys: list[str] | tuple[str, ...] = ("class",)) -> DataFrame:
+    """(keys, i, j, x, y, z): the surface through the points (x, y, median) of each combination of keys on a square grid, null outside the unit disc.
+
+    A surface has a point for each electrode pair at most, so the solve is small, and surfaces over the same pairs share
+    it. Points without a median are left out. The grid is filled in Spark.
     """
-    nodes = points.select("class", "x", "y", "median").groupBy("class").applyInPandas(_weights, "class string, x double, y double, w double, eps double")
-    nodes = nodes.groupBy("class").agg(F.collect_list(F.struct("x", "y", "w", "eps")).alias("nodes"))  # at most a few hundred nodes
+    held = points.where("median is not null").groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*[F.col(c).cast("double").alias(c) for c in ("x", "y", "median")]))).alias("n"))
+    held = held.select(*keys, *[F.col("n")[c].alias(name) for c, name in (("x", "xs"), ("y", "ys"), ("median", "zs"))])  # at most a few hundred nodes
+    schema = T.StructType([*held.schema.fields[:-1], T.StructField("ws", T.ArrayType(T.DoubleType())), T.StructField("eps", T.DoubleType())])
+    nodes = held.mapInArrow(_weighted, schema).select(*keys, "eps", F.arrays_zip("xs", "ys", "ws").alias("nodes"))
     axis = F.sequence(F.lit(0), F.lit(size - 1))
     place = lambda c: F.lit(-EXTENT) + F.col(c) * (2 * EXTENT / (size - 1))
     cells = nodes.withColumn("i", F.explode(axis)).withColumn("j", F.explode(axis)).withColumn("x", place("j")).withColumn("y", place("i"))
-    phi = lambda n: F.sqrt(((F.col("x") - n["x"]) * (F.col("x") - n["x"]) + (F.col("y") - n["y"]) * (F.col("y") - n["y"])) / (n["eps"] * n["eps"]) + 1)
-    z = F.aggregate("nodes", F.lit(0.0), lambda a, n: a + n["w"] * phi(n))
-    return cells.select("class", "i", "j", "x", "y", F.when(F.col("x") * F.col("x") + F.col("y") * F.col("y") <= 1, z).alias("z"))
+    phi = lambda n: F.sqrt(((F.col("x") - n["xs"]) * (F.col("x") - n["xs"]) + (F.col("y") - n["ys"]) * (F.col("y") - n["ys"])) / (F.col("eps") * F.col("eps")) + 1)
+    z = F.aggregate("nodes", F.lit(0.0), lambda a, n: a + n["ws"] * phi(n))
+    return cells.select(*keys, "i", "j", "x", "y", F.when(F.col("x") * F.col("x") + F.col("y") * F.col("y") <= 1, z).alias("z"))

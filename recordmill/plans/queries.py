@@ -461,7 +461,7 @@ def _(spark, d):
 
 @register("knn_approximate")
 def _(spark, d):
-    return rounded(neighbours.approximate_knn_graph(r.table(spark, d, "embeddings"), "vec_id", "embedding", 80, cells=16, probes=8), 6, "distance")
+    return rounded(neighbours.neighbour_descent(r.table(spark, d, "embeddings"), "vec_id", "embedding", 80)[0], 6, "distance")
 
 
 @register("class_values", f"select distinct macro_class as value from {r.WINDOWS}")

@@ -56,9 +56,27 @@ def rejected_annotations(spark: SparkSession, root: str) -> DataFrame:
     return _annotation_lines(spark, root).where(f"not coalesce({_GOOD}, false)").select("file_path", "patient_id", "line_no")
 
 
-def read_feature_windows(spark: SparkSession, root: str, version: str = "v2_augmented_labels") -> DataFrame:
-    """Windows of one version with patient_id from the folder below ``version=...``; files of folders that are no number are ignored."""
-    found = spark.read.option("mergeSchema", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(f"{root.rstrip('/')}/version={version}")
+def _folders(spark: SparkSession, path: str) -> dict[str, str]:
+    """The folders in a folder, full path by name."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(place)
+    return {f.getPath().getName(): f.getPath().toString() for f in found if f.isDirectory()}
+
+
+def read_feature_windows(spark: SparkSession, root: str, version: str = "v2_augmented_labels", patients: DataFrame | None = None) -> DataFrame:
+    """Windows of one version with patient_id from the folder below ``version=...``; files of folders that are no number are ignored.
+
+    With ``patients``, a cohort with a column patient_id, only the folders of its patients are listed and read; a folder's
+    name counts as a number. A cohort without a folder gives no rows.
+    """
+    place = f"{root.rstrip('/')}/version={version}"
+    paths = [place]
+    if patients is not None:
+        wanted = {r[0] for r in patients.select(F.col("patient_id").cast("long")).distinct().collect()}  # a number a patient, as folders are listed
+        paths = sorted(p for name, p in _folders(spark, place).items() if name.isascii() and name.isdigit() and int(name) in wanted)
+        if not paths:
+            return spark.createDataFrame([], "patient_id int, file_path string, row_index long")
+    found = spark.read.option("mergeSchema", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(*paths)
     patient = F.regexp_extract(F.col("_metadata.file_path"), f"version={version}/([0-9]+)/", 1).try_cast("int")
     rows = found.select("*", patient.alias("patient_id"), F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.row_index").alias("row_index"))
     return rows.where("patient_id is not null")
