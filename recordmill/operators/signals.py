@@ -33,6 +33,16 @@ def signal_excerpt(signals: DataFrame, wanted: list[str], start: float = 0.0, st
     return cut.select(file, "channel", clean_channel(F.col("channel")).alias("label"), "trace", "sample_index", "t", uv.alias("uv"), (uv + F.col("trace") * STACK_UV).alias("stacked"))
 
 
+def onset_ranges(onsets: DataFrame, pre: float = PRE_SECONDS, zoom: float = ZOOM_SECONDS, rate: int = RATE, file: str = "file_path") -> DataFrame:
+    """(file_path, start, stop): the stretches that onset_excerpt needs, for readers of ranges; stop is the last sample's second or later.
+
+    Where channels have ``rate`` samples a second, ``onset_excerpt(read_edf_ranges(spark, onset_ranges(onsets)), onsets)``
+    equals the excerpt of whole recordings, and opens the onsets' files only. A file's bounds reach a sample further on both sides, so that rounding loses none.
+    """
+    t0 = F.greatest(F.lit(0.0), F.col("onset_s") - pre)
+    return onsets.select(F.col(file).alias("file_path"), F.greatest(F.lit(0.0), t0 - 1.0 / rate).alias("start"), (t0 + zoom + 1.0 / rate).alias("stop"))
+
+
 def onset_excerpt(signals: DataFrame, onsets: DataFrame, pre: float = PRE_SECONDS, zoom: float = ZOOM_SECONDS, rate: int = RATE, channels: int = 3, file: str = "file_path") -> DataFrame:
     """(file, channel, trace, sample_index, t, scaled, stacked) of the first channels around each file's onset.
 

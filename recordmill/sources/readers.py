@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from recordmill.sources import edf
+
 PATIENTS = "patient_num_id long, age double, gender int, split_final int"
 SESSIONS = "n_channels int, sfreq double, config_type string"
 LEAST_CELLS = 4  # fixed value
@@ -90,3 +97,50 @@ def read_signal(spark: SparkSession, path: str, rate: float = 250.0) -> DataFram
     long = rows.unpivot(["file_path", "sample_index"], channels, "channel", "value")
     number = F.create_map(*[F.lit(x) for i, c in enumerate(channels) for x in (c, i)])
     return long.select("file_path", "channel", number[F.col("channel")].alias("channel_no"), "sample_index", (F.col("sample_index") / rate).alias("t"), "value")
+
+
+def _opened(path: str) -> pq.ParquetFile:
+    return pq.ParquetFile(edf.opened(path))
+
+
+def _channels(schema: pa.Schema) -> list[str]:
+    return [f.name for f in schema if pa.types.is_integer(f.type) or pa.types.is_float32(f.type) or pa.types.is_float64(f.type)]
+
+
+def read_signal_ranges(spark: SparkSession, ranges: DataFrame, rate: float = 250.0, partitions: int | None = None) -> DataFrame:
+    """(range_start, range_stop, file_path, channel, ...): of each row (file_path, start, stop) of ``ranges`` the rows of read_signal in it, ends included.
+
+    A task opens a file, reads its footer, and only the row groups that its stretch touches. Stretches may overlap and
+    repeat; rows with a null are passed over; file_path stays as it was given. Stores must be ones that pyarrow opens.
+    """
+    tasks = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name, start, stop in zip(*(c.to_pylist() for c in b.columns)):
+                with _opened(name) as file:
+                    sizes = [file.metadata.row_group(g).num_rows for g in range(file.num_row_groups)]
+                firsts = [sum(sizes[:g]) for g in range(len(sizes))]
+                own = [(g, at) for g, (at, n) in enumerate(zip(firsts, sizes)) if n and at / rate <= stop and (at + n - 1) / rate >= start]
+                groups, starts = [pa.array([x[i] for x in own], pa.int64()) for i in (0, 1)]
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(own), pa.string()), *(pa.array([x] * len(own), pa.float64()) for x in (start, stop)), groups, starts], names=["path", "start", "stop", "group", "first"])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name, start, stop, group, first in zip(*(c.to_pylist() for c in b.columns)):
+                with _opened(name) as file:
+                    names = _channels(file.schema_arrow)
+                    for no, channel in enumerate(names):
+                        own = file.read_row_group(group, columns=[channel]).column(0).cast(pa.float64()).combine_chunks()
+                        index = first + np.arange(len(own), dtype=np.int64)
+                        t = index / rate
+                        keep = np.flatnonzero((t >= start) & (t <= stop))
+                        n = len(keep)
+                        yield pa.RecordBatch.from_arrays(
+                            [*(pa.array(np.full(n, x)) for x in (start, stop)), pa.array([name] * n, pa.string()), pa.array([channel] * n, pa.string()), pa.array(np.full(n, no, np.int32)), pa.array(index[keep]), pa.array(t[keep]), own.take(pa.array(keep))],
+                            names=["range_start", "range_stop", *edf.NAMES],
+                        )
+
+    asked = ranges.select("file_path", F.col("start").cast("double").alias("start"), F.col("stop").cast("double").alias("stop")).dropna().where(edf.HOLDS)
+    dealt = asked.repartition(tasks, "file_path", "start", "stop").mapInArrow(listed, "path string, start double, stop double, group long, first long")
+    return dealt.repartition(tasks, "path", "group", "start").mapInArrow(read, f"range_start double, range_stop double, {edf.SCHEMA}")

@@ -5,11 +5,13 @@ import struct
 
 import duckdb
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from recordmill.functions import labels
-from recordmill.operators import features, intervals, neighbours, profile, ranks, sampling, scalp, shared
+from recordmill.operators import features, intervals, neighbours, profile, ranks, sampling, scalp, shared, signals
 from recordmill.plans import queries
 from recordmill.sources import edf, readers
 
@@ -115,6 +117,84 @@ def test_edf_by_ranges(spark, tmp_path):
     assert parts.rdd.getNumPartitions() >= 3
 
 
+def test_edf_source(spark, tmp_path, monkeypatch):
+    """The format gives read_edf's rows however files are cut; options of channel and time read only the records they touch."""
+    raw = edf_bytes()
+    for name, content in (("a/x.edf", raw), ("100% b.edf", raw), ("cut.edf", raw[:-5]), ("none.edf", raw[: 256 * 3]), ("x.txt", b"1")):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(content)
+    edf.register(spark)
+    plain = lambda rows: sorted((r["file_path"].rsplit("/", 1)[1], *r[1:]) for r in rows)
+    whole = plain(edf.read_edf(spark, f"file://{tmp_path}").collect())
+    for split in (5, 100, 800, 1 << 20):
+        found = spark.read.format("edf").option("splitBytes", split).option("blockBytes", 1).load(f"file://{tmp_path}/")
+        assert plain(found.collect()) == whole
+    load = lambda **options: spark.read.format("edf").options(**options).load(f"file://{tmp_path}")
+    cut = load(channels="EEG O1, T3", start=1.0, stop=1.5)
+    assert plain(cut.collect()) == [r for r in whole if r[1] == "EEG O1" and 1.0 <= r[4] <= 1.5] != []
+    assert cut.where("t > 1.0").count() == 3 and cut.count() == 6  # a filter leaves the DataFrame as it was
+    for none in ({"stop": -1.0}, {"start": "inf"}, {"channels": "T3"}, {"start": 2.0, "stop": 1.0}, {"start": "nan"}):
+        assert load(**none).count() == 0
+    assert plain(load(start="-inf").collect()) == whole
+
+    (tmp_path / "long").mkdir()
+    records = 10_000
+    (tmp_path / "long" / "y.edf").write_bytes(raw[:236] + b"-1".ljust(8) + raw[244 : 256 * 3] + raw[256 * 3 :][:12] * records)
+    read = []
+
+    class Counted:
+        def __init__(self, file):
+            self.file = file
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *_):
+            self.file.close()
+
+        def read_at(self, n, at):
+            read.append(n)
+            return self.file.read_at(n, at)
+
+    opened = edf.opened
+    monkeypatch.setattr(edf, "opened", lambda path: Counted(opened(path)))
+    reader = edf.EdfReader({"path": f"file://{tmp_path}/long", "splitBytes": "40000", "blockBytes": "60", "channels": "EEG O1", "start": "5000", "stop": "5010"})
+    shares = reader.partitions()
+    rows = [r for s in shares for b in reader.read(s) for r in b.to_pylist()]
+    assert {r["channel"] for r in rows} == {"EEG O1"} and [r["t"] for r in rows] == [5000 + i / 2 for i in range(21)]
+    assert sum(read) == len(shares) * (8 + 256 * 3) + 11 * 12  # headers, and the records of seconds 5000 to 5010
+
+
+def test_edf_and_signal_ranges(spark, tmp_path):
+    """Stretches give what filters on whole recordings give, overlaps and repeats each by themselves; excerpts from them are equal."""
+    raw = edf_bytes()
+    for name in ("x.edf", "y.edf", "z.edf"):
+        (tmp_path / name).write_bytes(raw)
+    whole = edf.read_edf(spark, f"file://{tmp_path}").collect()
+    path = {r["file_path"].rsplit("/", 1)[1]: r["file_path"] for r in whole}
+    asked = [(path["x.edf"], 0.5, 1.25), (path["x.edf"], 1.0, 9.0), (path["x.edf"], 1.0, 9.0), (path["y.edf"], -math.inf, math.inf)]
+    none = [(path["z.edf"], 2.0, 1.0), (path["z.edf"], math.inf, math.inf), (path["z.edf"], None, 1.0), (path["z.edf"], 7.0, 8.0), (None, 0.0, 1.0), (path["z.edf"], -2.0, -1.0), (path["z.edf"], math.nan, 1.0)]
+    ranges = spark.createDataFrame(asked + none, "file_path string, start double, stop double")
+    want = sorted((a, b, *r) for p, a, b in asked for r in whole if r["file_path"] == p and a <= r["t"] <= b)
+    for block in (1, 1 << 20):
+        assert sorted(tuple(r) for r in edf.read_edf_ranges(spark, ranges, block).collect()) == want
+    assert edf.read_edf_ranges(spark, ranges.limit(0)).count() == 0
+    onsets = spark.createDataFrame([(path["x.edf"], 1.5), (path["y.edf"], 0.0)], "file_path string, onset_s double")
+    args = {"pre": 0.5, "zoom": 1.0, "rate": 4}
+    parts = edf.read_edf_ranges(spark, signals.onset_ranges(onsets, **args))
+    got, full = (signals.onset_excerpt(x.where("channel_no = 0"), onsets, **args).collect() for x in (parts, spark.createDataFrame(whole, edf.SCHEMA)))
+    assert sorted(map(tuple, got)) == sorted(map(tuple, full)) and len(got) == 8
+
+    table = pa.table({"a": pa.array(range(100), pa.int32()), "note": ["n"] * 100, "b": [None, *map(float, range(99))]})
+    pq.write_table(table, tmp_path / "s.parquet", row_group_size=7)
+    long = readers.read_signal(spark, f"{tmp_path}/s.parquet", 10.0).collect()
+    name = long[0]["file_path"]
+    asked = [(name, 1.25, 4.0), (name, 3.0, 3.0), (name, 9.5, 99.0)]
+    found = readers.read_signal_ranges(spark, spark.createDataFrame([*asked, (name, 20.0, 30.0)], "file_path string, start double, stop double"), 10.0)
+    key = lambda r: tuple((x is None, x) for x in r)
+    assert sorted(map(tuple, found.collect()), key=key) == sorted(((a, b, *r) for _, a, b in asked for r in long if a <= r["t"] <= b), key=key)
+
+
 def test_profiles(spark):
     p = spark.createDataFrame([(1, 98.0, 1, -1), (2, 99.0, 2, 0), (3, None, 3, None), (4, float("nan"), 1, 1), (5, 10.0, None, 0)], readers.PATIENTS)
     assert sorted(r[0] for r in profile.cohort(p).collect()) == [2, 3, 4, 5]
