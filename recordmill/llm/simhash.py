@@ -8,11 +8,15 @@ a bucket of evenly spread ones holds a few dozen. Within a bucket, blocks of 64
 at once and a block is abandoned once every distance exceeds the radius. A bucket above ``block_rows`` rows is split
 into blocks, and pairs of blocks are compared in tasks of their own, so a hot bucket is never one task. Each group
 returns a spanning forest of its links, not the links. Components are then found by repeated hooking and contraction.
+
+``keep_one`` can link by several fingerprints of a text's distinct words instead of one of its shingles: a changed word
+touches one of them and not four, and a pair far apart in one fingerprint by chance is often near in another.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -27,6 +31,8 @@ from recordmill.llm.common import discard, map_batches, quoted, ship, stash, tab
 SEED = 42
 RADIUS = 4
 SHINGLE = 4
+#: Fingerprints of distinct words, for stages that needn't keep to one of shingles.
+PRINTS = 4
 
 
 def fingerprint(text: str | None, width: int = SHINGLE) -> int:
@@ -52,18 +58,51 @@ def fingerprint(text: str | None, width: int = SHINGLE) -> int:
     return int(np.packbits((2 * counts > n).astype(np.uint8), bitorder="little").view(np.uint64)[0])
 
 
-def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        fps = np.fromiter((fingerprint(t) for t in b.column(1).to_pylist()), np.uint64, b.num_rows)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=["id", "fp"])
+def _mixed(values: np.ndarray, k: int) -> np.ndarray:
+    """The k-th of a family of bijective scramblings of 64 bits, so that one hash of a word serves all fingerprints."""
+    x = values + np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64))
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def word_prints(text: str | None, prints: int = PRINTS) -> str:
+    """SimHashes of the distinct words, A-Z lower-cased, 16 hex digits each; all zero without words."""
+    words = set((text or "").encode("utf-8", "surrogatepass").lower().split())
+    if not words:
+        return "0" * (16 * prints)
+    values = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in words), np.uint64, len(words))
+    out = []
+    for k in range(1, prints + 1):
+        counts = np.zeros(64, np.int64)
+        mixed = _mixed(values, k)
+        for at in range(0, len(mixed), 65536):
+            counts += np.unpackbits(mixed[at : at + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out.append(f"{int(np.packbits((2 * counts > len(values)).astype(np.uint8), bitorder='little').view(np.uint64)[0]):016x}")
+    return "".join(out)
+
+
+def _print_array(texts: list[str | None], prints: int) -> pa.Array:
+    """The fingerprint of each text as a long; with ``prints`` their word fingerprints as one string."""
+    if prints:
+        return pa.array([word_prints(t, prints) for t in texts], pa.string())
+    return pa.array(np.fromiter((fingerprint(t) for t in texts), np.uint64, len(texts)).view(np.int64))
+
 
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prints: int = 0) -> DataFrame:
+    """One row (id, fp) per input row; fp is the fingerprint's bits as a signed long. Null text counts as no words.
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row (id, fp) per input row; fp is the fingerprint's bits as a signed long. Null text counts as no words."""
+    With ``prints``, fp is a string of so many fingerprints of the distinct words.
+    """
     ship(docs.sparkSession)
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = narrow.schema["id"].dataType.simpleString()
-    return narrow.mapInArrow(_fingerprint_batches, f"id {kind}, fp long")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), _print_array(b.column(1).to_pylist(), prints)], names=["id", "fp"])
+
+    return narrow.mapInArrow(run, f"id {kind}, fp {'string' if prints else 'long'}")
 
 
 #: Evenly spread fingerprints that a bucket may hold before one more band is cut.
@@ -330,11 +369,30 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return mapping
 
 
-def _members(docs: DataFrame, id_col: str, text_col: str, radius: int, block_rows: int) -> tuple[DataFrame, DataFrame]:
-    """(id, fp) per row, and (fp, root, component_id) per distinct fingerprint."""
-    prints = stash(fingerprints(docs, id_col, text_col), "prints")
+def word_links(distinct: DataFrame, prints: int, radius: int = RADIUS, block_rows: int = 4096) -> DataFrame:
+    """Links (a, b) between distinct rows of word fingerprints: near in any of them. Their closure is that of all such links.
+
+    Rows with an equal k-th fingerprint hang on the least of them, which alone stands for it in that fingerprint's search,
+    so a common one emits a link a row and no pairs.
+    """
+    found = []
+    for k in range(prints):
+        own = distinct.select("fp", F.conv(F.substring("fp", 16 * k + 1, 16), 16, -10).cast("long").alias("own"))
+        least = stash(own.groupBy("own").agg(F.min("fp").alias("rep"), F.count(F.lit(1)).alias("n")), "reps")
+        found.append(own.join(least.where("n > 1"), "own").where("fp <> rep").select(F.col("fp").alias("a"), F.col("rep").alias("b")))
+        near = links(least.select(F.col("own").alias("fp")), radius, block_rows).distinct()
+        for name in ("a", "b"):
+            near = near.join(least.select(F.col("own").alias(name), F.col("rep").alias(f"{name}_rep")), name)
+        found.append(near.select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b")))
+    return reduce(DataFrame.unionAll, found)
+
+
+def _members(docs: DataFrame, id_col: str, text_col: str, radius: int, block_rows: int, n_prints: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(id, fp) per row, and (fp, root, component_id) per distinct fingerprint, or distinct row of ``n_prints`` word fingerprints."""
+    prints = stash(fingerprints(docs, id_col, text_col, n_prints), "prints")
     distinct = stash(prints.groupBy("fp").agg(F.min("id").alias("least_id")), "distinct")
-    roots = components(links(distinct.select("fp"), radius, block_rows))
+    names = distinct.select("fp")
+    roots = components(word_links(names, n_prints, radius, block_rows) if n_prints else links(names, radius, block_rows))
     joined = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "least_id")
     least = joined.groupBy("root").agg(F.min("least_id").alias("component_id"))
     return prints, stash(joined.join(least, "root").select("fp", "root", "component_id"), "members")
@@ -351,13 +409,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(members, "fp").select("id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, block_rows: int = 4096) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, block_rows: int = 4096, n_prints: int = 0) -> DataFrame:
     """The input's rows and columns, whatever they are named, one row of each component: that with the smallest id, of repeated rows any one.
 
+    Links are those of near_duplicates, or with ``n_prints`` those of texts near in any of so many fingerprints of their distinct words.
+
     A component in which no row has an id keeps one of its rows too. An id whose rows fall in several components stands
     for each of those of which it is the smallest, by a row of that very component.
     """
-    prints, members = _members(docs, id_col, text_col, radius, block_rows)
+    prints, members = _members(docs, id_col, text_col, radius, block_rows, n_prints)
     kept_id, n, print_col, root, component = unused(docs.columns, "__kept", "__n", "__fp", "__root", "__component")
     ids = prints.where("id is not null").join(members, "fp").groupBy(F.col("id").alias(kept_id))
     ids = stash(ids.agg(F.max(F.col("id") == F.col("component_id")).alias("least"), (F.min("root") != F.max("root")).alias("spread")).where("least"), "kept")
@@ -367,7 +427,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ra
     spread = stash(ids.where("spread").select(kept_id), "spread")  # so few as a rule that Spark broadcasts them
     others = docs.join(spread, F.col(id_col) == F.col(kept_id), "left_semi").unionByName(docs.where(F.col(id_col).isNull()))
     of = members.select(F.col("fp").alias(print_col), F.col("root").alias(root), F.col("component_id").alias(component))
-    others = _with_print(others, text_col, print_col).join(of, print_col).where(F.col(id_col).eqNullSafe(F.col(component)))
+    others = _with_print(others, text_col, print_col, n_prints).join(of, print_col).where(F.col(id_col).eqNullSafe(F.col(component)))
     least = Window.partitionBy(root).orderBy(print_col)
     others = others.withColumn(n, F.row_number().over(least)).where(F.col(n) == 1).select(*quoted(docs.columns))
     return named.unionByName(others)
@@ -382,16 +442,15 @@ def weighted(docs: DataFrame, weight_col: str, id_col: str = "doc_id", text_col:
     return _with_print(docs, text_col, name).join(F.broadcast(of), name).drop(name)
 
 
-def _with_print(docs: DataFrame, text_col: str, name: str) -> DataFrame:
+def _with_print(docs: DataFrame, text_col: str, name: str, n_prints: int = 0) -> DataFrame:
     """The rows with their fingerprint as the column ``name``, which is none of theirs."""
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.fromiter((fingerprint(t) for t in b.column(at).to_pylist()), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fps.view(np.int64))], names=[*b.schema.names, name])
+            yield pa.RecordBatch.from_arrays([*b.columns, _print_array(b.column(at).to_pylist(), n_prints)], names=[*b.schema.names, name])
 
-    return map_batches(docs, run, T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())]))
+    return map_batches(docs, run, T.StructType([*docs.schema.fields, T.StructField(name, T.StringType() if n_prints else T.LongType())]))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

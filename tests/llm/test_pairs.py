@@ -99,21 +99,60 @@ def test_long_chains_become_one_component(spark):
     assert set(got.values()) == {-40, 100} and len(got) == 104
 
 
-def test_keep_one_of_ids_in_several_components(spark):
+@pytest.mark.parametrize("n_prints", [0, 4])
+def test_keep_one_of_ids_in_several_components(spark, n_prints):
     texts = [" ".join(f"{c}{i}" for i in range(60)) for c in "abcdefgh"]
     rows = [(0, texts[0])] + [(1, t) for t in texts] + [(2, texts[1]), (3, texts[2]), (None, texts[3])]
     for swap in (1, -1):
         docs = spark.createDataFrame(rows[::swap], "doc_id long, text string")
-        kept = sorted((r["doc_id"], r["text"]) for r in simhash.keep_one(docs).collect())
+        kept = sorted((r["doc_id"], r["text"]) for r in simhash.keep_one(docs, n_prints=n_prints).collect())
         assert kept == [(0, texts[0])] + [(1, t) for t in texts[1:]]
 
 
-def test_keep_one_keeps_columns_and_one_row_of_each_group(spark):
+@pytest.mark.parametrize("n_prints", [0, 4])
+def test_keep_one_keeps_columns_and_one_row_of_each_group(spark, n_prints):
     docs = spark.createDataFrame([(1, "a b c d e", "p"), (1, "a b c d e", "p"), (2, "a b c d e", "q"), (None, "x y z w v u", "r"), (None, "a b c d e", "s"), (7, None, "t"), (8, "", "u")], "doc_id long, text string, fp string")
-    kept = simhash.keep_one(docs)
+    kept = simhash.keep_one(docs, n_prints=n_prints)
     assert kept.columns == docs.columns
     assert sorted((r["doc_id"] or -1, r["fp"]) for r in kept.collect()) == [(-1, "r"), (1, "p"), (7, "t")]
-    assert simhash.keep_one(docs.limit(0)).count() == 0
+    assert simhash.keep_one(docs.limit(0), n_prints=n_prints).count() == 0
+
+
+def mixed(h, k):
+    h = (h + k * 0x9E3779B97F4A7C15) % 2**64
+    h = (h ^ (h >> 30)) * 0xBF58476D1CE4E5B9 % 2**64
+    h = (h ^ (h >> 27)) * 0x94D049BB133111EB % 2**64
+    return h ^ (h >> 31)
+
+
+def test_word_prints_keep_what_brute_force_keeps(spark):
+    """Near copies of which a fortieth of the words is changed: components by all pairs, nine in ten caught, the rest left alone."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefghijklmno", k=rng.randint(2, 6)))
+    originals = [[word() for _ in range(rng.randint(80, 400))] for _ in range(60)]
+    texts = [" ".join(w) for w in originals]
+    for w in originals[:40]:
+        copy = list(w)
+        for i in rng.sample(range(len(w)), len(w) // 45):  # five-word shingles stay similar by 0.8 or nearly so
+            copy[i] = word()
+        texts.append(" ".join(copy).upper())
+    texts += [None, "", " \t", texts[50], "A.", "a. a. A.", "the \U0001f600", "\u00c4 b", "\u00e4 b"]
+    prints = []
+    for t in texts:
+        words = {"".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in w) for w in (t or "").split()}
+        hashes = [xxhash.xxh64_intdigest(w.encode(), seed=42) for w in words]
+        prints.append([sum(1 << b for b in range(64) if sum(mixed(h, k) >> b & 1 for h in hashes) * 2 > len(hashes)) for k in (1, 2, 3, 4)])
+        assert simhash.word_prints(t) == "".join(f"{p:016x}" for p in prints[-1])
+    up = list(range(len(texts)))
+    root = lambda i: i if up[i] == i else root(up[i])
+    for i in range(len(texts)):
+        for j in range(i):
+            if any(bin(p ^ q).count("1") <= 4 for p, q in zip(prints[i], prints[j])):
+                up[max(root(i), root(j))] = min(root(i), root(j))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r["doc_id"] for r in simhash.keep_one(docs, n_prints=4, block_rows=16).collect()}
+    assert kept == {i for i in range(len(texts)) if root(i) == i}
+    assert set(range(60)) <= kept and sum(i not in kept for i in range(60, 100)) >= 36
 
 
 def test_fixture_query(spark, small):
