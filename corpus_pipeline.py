@@ -29,9 +29,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest doc_id stays; of repeated rows any one.
 
-    A null doc_id counts as larger than any. Texts without words, null ones too, are duplicates of each other.
+    Near are texts of which any of the fingerprints of their distinct words differ in at most simhash.RADIUS bits. A null
+    doc_id counts as larger than any. Texts without words, null ones too, are duplicates of each other.
     """
-    return simhash.keep_one(docs)
+    return simhash.keep_one(docs, n_prints=simhash.PRINTS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
