@@ -9,6 +9,7 @@ back to source characters and added where no base span of that kind covers them
 from __future__ import annotations
 
 import re
+import unicodedata
 from bisect import bisect_right
 from collections.abc import Iterator
 
@@ -95,6 +96,9 @@ _LOOKALIKES = {
 }
 _LOOKALIKES |= {chr(0xFF01 + i): chr(0x21 + i) for i in range(94)}  # full-width forms
 _LOOKALIKES |= {chr(base + i): str(i) for base in (0x0660, 0x06F0, 0x0966, 0x1D7CE, 0x1D7D8, 0x1D7E2, 0x1D7EC, 0x1D7F6) for i in range(10)}  # other digits
+_STYLED = [*range(0x1D400, 0x1D800), *range(0x2460, 0x2469), *range(0x24B6, 0x24EB), 0xB2, 0xB3, 0xB9, *range(0x2070, 0x207A), *range(0x2080, 0x208A)]
+#: Mathematical letters and digits, circled ones, digits set high or low, by their compatibility forms.
+_LOOKALIKES |= {chr(c): plain for c in _STYLED if len(plain := unicodedata.normalize("NFKC", chr(c))) == 1 and plain.isascii() and plain.isalnum()}
 _LOOKALIKES |= {c: "" for c in "\u200b\u200c\u200d\u2060\ufeff\u00ad"}  # characters without width
 _LOOKALIKE = re.compile("[" + re.escape("".join(_LOOKALIKES)) + "]")
 _UNDISGUISED = str.maketrans(_LOOKALIKES)
@@ -130,6 +134,22 @@ _ANY_DOT = re.compile(_PLAIN_DOT, re.I)
 _LOCAL_DOT = re.compile(_WRITTEN_DOT, re.I)
 _DISGUISE_SIGN = re.compile(r"[\[({<]\s*(?:at|arroba|arobase|@|dot|punkt|point|punto|\.)\s*[\])}>]|\sdot\s|\spunkt\s|\spunto\s|\spoint\s", re.I)
 
+#: "@" as URLs and HTML write it.
+_ENCODED_AT = re.compile(r"(?<=[A-Za-z0-9._+-])(?:%40|&#0*+64;|&#[xX]0*+40;|&commat;)(?=[A-Za-z0-9-]++\.[A-Za-z])")
+#: jane_at_example_dot_com, jane-at-example-dot-com
+_JOINED_AT = re.compile(r"(?<=[A-Za-z0-9])([_-])at\1([A-Za-z0-9]++(?:\1dot\1[A-Za-z0-9]++)++)(?![A-Za-z0-9_-])", re.I)
+_JOINED_DOT = re.compile(r"[_-]dot[_-]", re.I)
+#: "jane @ example.com", and "jane.doe at example.com" or "jane7 at example.com"; prose has "at" before a host too ("look at example.com"),
+#: so that without a bracket or a written dot only a local part that is no plain word counts.
+_SPACED_AT = re.compile(
+    rf"(?<![A-Za-z0-9._%+@-])(?:({_LOCAL_RUN})([ \t]{{1,3}}@[ \t]{{0,3}}|@[ \t]{{1,3}})|(?=[A-Za-z][A-Za-z0-9]*+[._+0-9][A-Za-z0-9]|[A-Za-z]++[0-9]){_LOCAL_RUN}([ \t]+at[ \t]+))"
+    rf"(?=[A-Za-z0-9-]++\.(?:[A-Za-z0-9-]++\.)*+[A-Za-z]{{2,}}+(?![A-Za-z0-9-]))",
+    re.I,
+)
+_SPACED_SIGN = re.compile(r"[ \t]@|@[ \t]|[ \t]at[ \t]", re.I)
+_JOINED_SIGN = re.compile(r"[_-]at[_-]", re.I)
+_ENCODED_SIGN = re.compile(r"%40|&#|&commat;")
+
 
 class Made:
     """A rewritten text, and for each of its characters the source range that it came from."""
@@ -206,14 +226,36 @@ def _dot_edits(text: str, start: int, end: int) -> list[tuple[int, int, str]]:
     return [(d.start(), d.end(), ".") for d in _ANY_DOT.finditer(text, start, end) if len(d[0]) > 1]
 
 
+def _encoded_edits(text: str) -> list[tuple[int, int, str]]:
+    return [(m.start(), m.end(), "@") for m in _ENCODED_AT.finditer(text)]
+
+
+def _joined_edits(text: str) -> list[tuple[int, int, str]]:
+    out = []
+    for m in _JOINED_AT.finditer(text):
+        out.append((m.start(), m.start(2), "@"))
+        out += [(d.start(), d.end(), ".") for d in _JOINED_DOT.finditer(text, m.start(2), m.end(2))]
+    return out
+
+
+def _spaced_edits(text: str) -> list[tuple[int, int, str]]:
+    return [(*m.span(2 if m[2] else 3), "@") for m in _SPACED_AT.finditer(text)]
+
+
 def _number_edits(text: str) -> list[tuple[int, int, str]]:
     return [x for m in _DISGUISED_NUMBERS.finditer(text) for x in _dot_edits(text, *m.span())]
 
 
+_TRANSDUCERS = (
+    (_SOME_SPELLED, _spelled_edits), (_ENCODED_SIGN, _encoded_edits), (_JOINED_SIGN, _joined_edits),
+    (_DISGUISE_SIGN, _address_edits), (_SPACED_SIGN, _spaced_edits), (_DISGUISE_SIGN, _number_edits),
+)
+
+
 def deobfuscate(text: str) -> Made | None:
     """The text with disguises undone; None where there is nothing to undo."""
     made = Made(text) if not text.isascii() and _LOOKALIKE.search(text) else None
-    for sign, edits_of in ((_SOME_SPELLED, _spelled_edits), (_DISGUISE_SIGN, _address_edits), (_DISGUISE_SIGN, _number_edits)):
+    for sign, edits_of in _TRANSDUCERS:
         current = made.text if made else text
         if sign.search(current) and (edits := edits_of(current)):
             made = made or Made(text)
