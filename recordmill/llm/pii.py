@@ -100,7 +100,9 @@ _STYLED = [*range(0x1D400, 0x1D800), *range(0x2460, 0x2469), *range(0x24B6, 0x24
 #: Mathematical letters and digits, circled ones, digits set high or low, by their compatibility forms.
 _LOOKALIKES |= {chr(c): plain for c in _STYLED if len(plain := unicodedata.normalize("NFKC", chr(c))) == 1 and plain.isascii() and plain.isalnum()}
 _LOOKALIKES |= {c: "" for c in "\u200b\u200c\u200d\u2060\ufeff\u00ad"}  # characters without width
-_LOOKALIKE = re.compile("[" + re.escape("".join(_LOOKALIKES)) + "]")
+#: Searched in two steps, as a class that reaches beyond 16 bits is walked range by range.
+_LOOKALIKE = re.compile("[" + re.escape("".join(c for c in _LOOKALIKES if c < "\U00010000")) + "]")
+_WIDE_LOOKALIKE = re.compile("[\U0001d400-\U0001d7ff]")
 _UNDISGUISED = str.maketrans(_LOOKALIKES)
 _WIDTHLESS = np.array([ord(c) for c, plain in _LOOKALIKES.items() if not plain], np.uint32)
 
@@ -254,7 +256,7 @@ _TRANSDUCERS = (
 
 def deobfuscate(text: str) -> Made | None:
     """The text with disguises undone; None where there is nothing to undo."""
-    made = Made(text) if not text.isascii() and _LOOKALIKE.search(text) else None
+    made = Made(text) if not text.isascii() and (_LOOKALIKE.search(text) or _WIDE_LOOKALIKE.search(text)) else None
     for sign, edits_of in _TRANSDUCERS:
         current = made.text if made else text
         if sign.search(current) and (edits := edits_of(current)):
