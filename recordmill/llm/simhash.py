@@ -193,7 +193,7 @@ class Forest:
             self.up[max(a, b)] = min(a, b)
 
 
-def group_links(left: np.ndarray, right: np.ndarray | None, radius: int, chunk: int = 1 << 17) -> list[tuple[int, int]]:
+def group_links(left: np.ndarray, right: np.ndarray | None, radius: int, chunk: int = 1 << 14) -> list[tuple[int, int]]:
     """Spanning forest of the links within ``left``, or between ``left`` and ``right``, as pairs of fingerprints."""
     if right is None:
         nodes, queries, offset = left, left, 0
@@ -270,8 +270,8 @@ def _pairwise(codes: np.ndarray, sides: np.ndarray, fps: np.ndarray, forests, ra
     out: list[tuple[int, int]] = []
     if small.any():
         s, n = starts[small], sizes[small]
-        for at in range(0, len(s), 2048):
-            out += _small_groups(fps, s[at : at + 2048], n[at : at + 2048], radius)
+        for at in range(0, len(s), 256):
+            out += _small_groups(fps, s[at : at + 256], n[at : at + 256], radius)
     large = (sizes > 1) & ~small
     for a, n in zip(starts[large].tolist(), sizes[large].tolist()):
         out += forests(codes[a : a + n], sides[a : a + n], fps[a : a + n])
