@@ -8,7 +8,8 @@ contract counts words. Patterns are places in one text of normalised words, and
 
 The benchmark is measured in Spark and broadcast in blocks of at most ``block_bytes`` of text. A benchmark of one block is
 searched in one pass in which documents stay where they are. A larger one is searched block by block over a copy of the
-documents with row numbers, each pass writing only the rows that it hits, and the hits are joined back once.
+documents with row numbers: the first pass tells of every row, the others only of the rows that they hit, and these are
+joined by number.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from recordmill.llm.common import discard, map_batches, quoted, ship, table, unused, without, written
+from recordmill.llm.common import map_batches, quoted, ship, stash, table, unused, without
 
 WINDOW = 13
 BLOCK = 3
@@ -162,18 +163,15 @@ def _searcher(patterns, text_at: int, kept: list[int], sparse: bool):
     return run
 
 
-def _join_hits(text_at: int):
-    """The last column, a list of hits of one row from several blocks, as one struct."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for text, parts in zip(b.column(text_at).to_pylist(), b.column(b.num_columns - 1).to_pylist()):
-                spans = [x for p in parts or [] for x in zip(p["starts"], p["ends"])]
-                rows.append((len(words_of(text)), merged(spans), {x for p in parts or [] for x in p["items"]}))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], _hits(rows)], names=b.schema.names)
-
-    return run
+def _join_hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The last two columns, the first block's hits and a list of other blocks' hits of the row, as one struct."""
+    for b in batches:
+        rows = []
+        for first, parts in zip(b.column(b.num_columns - 2).to_pylist(), b.column(b.num_columns - 1).to_pylist()):
+            parts = [first, *(parts or [])]
+            spans = [x for p in parts for x in zip(p["starts"], p["ends"])]
+            rows.append((first["n_words"], merged(spans), {x for p in parts for x in p["items"]}))
+        yield pa.RecordBatch.from_arrays([*b.columns[:-2], _hits(rows)], names=b.schema.names[:-1])
 
 
 def pattern_blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> list[DataFrame]:
@@ -184,34 +182,51 @@ def pattern_blocks(benchmark: DataFrame, item_col: str, text_col: str, block_byt
     return [items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == i) for i in range(n)]
 
 
-def find(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = 16 << 20, hits: str = "__hits") -> DataFrame:
-    """The input's rows and columns, and a struct ``hits`` (n_words, starts, ends, items), which replaces a column of that name.
+def _found(docs: DataFrame, blocks: list[DataFrame], text_col: str, kept: list[str], row: str, window: int, hits: str) -> DataFrame:
+    """``kept`` columns and the hits. With several blocks ``row`` is a column that numbers the rows alike in every pass, and the first of ``kept``.
+
+    The first pass tells the number of words of every row, the others only of rows that they hit; what they write is joined
+    by number, so texts move only where they are among ``kept``.
+    """
+    load = lambda block: docs.sparkSession.sparkContext.broadcast(Patterns([tuple(r) for r in block.collect()], window))
+    made = T.StructField(hits, HITS)
+    schema = T.StructType([*[docs.schema[docs.columns.index(c)] for c in kept], made])
+    first = map_batches(docs, _searcher(load(blocks[0]), docs.columns.index(text_col), [docs.columns.index(c) for c in kept], False), schema)
+    if len(blocks) == 1:
+        return first
+    others = None
+    for block in blocks[1:]:
+        patterns = load(block)
+        part = map_batches(docs.select(*quoted([row, text_col])), _searcher(patterns, 1, [0], True), T.StructType([T.StructField(row, T.LongType()), made]))
+        part = stash(part, "hits")
+        patterns.destroy()
+        others = part if others is None else others.unionAll(part)
+    (several,) = unused(first.columns, "__several")
+    others = others.groupBy(row).agg(F.collect_list(*quoted([hits])).alias(several))  # one of each block at most
+    return map_batches(first.join(others, row, "left"), _join_hits, schema)
+
+
+def _numbered(docs: DataFrame, *taken: str) -> tuple[DataFrame, str]:
+    """A copy of the rows in the shared folder with a number each, and that column's name."""
+    (row,) = unused([*docs.columns, *taken], "__row")
+    return stash(docs.select(F.monotonically_increasing_id().alias(row), "*"), "numbered"), row
+
+
+def find(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = 16 << 20, hits: str = "__hits", keep: list[str] | None = None) -> DataFrame:
+    """The input's rows, its columns or those named by ``keep``, and a struct ``hits`` (n_words, starts, ends, items), which replaces a column of that name.
 
     starts and ends are the merged word ranges, end exclusive, inside any occurrence of a window; items are the ids, as
     sorted strings, of items with an occurrence. Null text has no words. Items without id or words are passed over; equal
     texts under several ids count for each. An empty benchmark hits nothing.
     """
-    spark = docs.sparkSession
-    ship(spark)
+    ship(docs.sparkSession)
     docs = docs.select(*quoted([docs.columns[i] for i in without(docs.columns, [hits])]))
-    text_at, everything = docs.columns.index(text_col), list(range(len(docs.columns)))
+    kept = docs.columns if keep is None else keep
     blocks = pattern_blocks(benchmark, item_col, item_text, block_bytes)
-    made = T.StructField(hits, HITS)
-    load = lambda block: spark.sparkContext.broadcast(Patterns([tuple(r) for r in block.collect()], window))
     if len(blocks) == 1:
-        return map_batches(docs, _searcher(load(blocks[0]), text_at, everything, False), T.StructType([*docs.schema, made]))
-    (row,) = unused(docs.columns, "__row")
-    docs, copy = written(docs.select("*", F.monotonically_increasing_id().alias(row)), "numbered")
-    found = None
-    for i, block in enumerate(blocks):
-        patterns = load(block)
-        part = map_batches(docs.select(row, *quoted([text_col])), _searcher(patterns, 1, [0], True), T.StructType([T.StructField(row, T.LongType()), made]))
-        part, _ = written(part, "hits")
-        patterns.destroy()
-        found = part if found is None else found.unionAll(part)
-    found = found.groupBy(row).agg(F.collect_list(*quoted([hits])).alias(hits))  # one of each block at most
-    joined = docs.join(found, row, "left").drop(row)
-    return map_batches(joined, _join_hits(text_at), T.StructType([*joined.schema.fields[:-1], made]))
+        return _found(docs, blocks, text_col, kept, "", window, hits)
+    docs, row = _numbered(docs.select(*quoted(list(dict.fromkeys([*kept, text_col])))), hits)
+    return _found(docs, blocks, text_col, [row, *kept], row, window, hits).drop(row)
 
 
 def hit_words(hits: Column) -> Column:
@@ -237,15 +252,24 @@ def summary(found: DataFrame, *keep: str) -> DataFrame:
     )
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
-    """The input's rows and columns, whatever they are named, without documents of which at least one word in twenty is hit."""
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = 16 << 20) -> DataFrame:
+    """The input's rows and columns, whatever they are named, without documents of which at least one word in twenty is hit.
+
+    With several blocks of the benchmark only the numbers of rows to drop are joined to the copy of the documents.
+    """
+    ship(docs.sparkSession)
     (hits,) = unused(docs.columns, "__hits")
-    return find(docs, benchmark, text_col, hits=hits).where(~contaminated(F.col(hits))).select(*quoted(docs.columns))
+    blocks = pattern_blocks(benchmark, item_col, item_text, block_bytes)
+    if len(blocks) == 1:
+        return _found(docs, blocks, text_col, docs.columns, "", window, hits).where(~contaminated(F.col(hits))).select(*quoted(docs.columns))
+    copy, row = _numbered(docs, hits)
+    dropped = _found(copy, blocks, text_col, [row], row, window, hits).where(contaminated(F.col(hits))).select(row)
+    return copy.join(stash(dropped, "dropped"), row, "left_anti").select(*quoted(docs.columns))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return summary(find(docs, table(spark, sf_dir, "benchmark")), "doc_id")
+    return summary(find(docs, table(spark, sf_dir, "benchmark"), keep=["doc_id"]), "doc_id")
 
 
 ORACLE = r"""

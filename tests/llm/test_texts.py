@@ -10,6 +10,7 @@ import sentencepiece
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from recordmill.llm import bpe, decontaminate, pii, queries, token_counts
 
@@ -120,9 +121,13 @@ def test_decontamination_equals_brute_force(spark, block_bytes):
         assert (got[i]["n_words"], got[i]["n_hit"], got[i]["n_items"]) == (n, hit, len(items)), t
         assert got[i]["items_sha256"] == hashlib.sha256(",".join(items).encode()).hexdigest()
         assert got[i]["contaminated"] == (hit > 0 and 20 * hit >= n)
-    clean = decontaminate.drop_contaminated(docs, bench)
-    assert clean.columns == docs.columns
-    assert {r["doc_id"] for r in clean.collect()} == {i for i in got if not got[i]["contaminated"]}
+    narrow = decontaminate.find(docs, bench, block_bytes=block_bytes, keep=["doc_id"])
+    assert narrow.columns == ["doc_id", "__hits"]
+    assert {r["doc_id"]: r for r in decontaminate.summary(narrow, "doc_id").collect()} == {i: tuple(x for k, x in r.asDict().items() if k != "items") for i, r in got.items()}
+    twice = docs.unionAll(docs).withColumn("__row", F.lit("own")).withColumn("__HITS", F.lit("own"))
+    clean = decontaminate.drop_contaminated(twice, bench, block_bytes=block_bytes)
+    assert clean.columns == twice.columns and {r["__row"] for r in clean.collect()} == {"own"}
+    assert sorted(r["doc_id"] for r in clean.collect()) == sorted(2 * [i for i in got if not got[i]["contaminated"]])
     assert decontaminate.drop_contaminated(docs, bench.limit(0)).count() == len(TEXTS)
 
 
