@@ -255,7 +255,8 @@ def summary(found: DataFrame, *keep: str) -> DataFrame:
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = 16 << 20) -> DataFrame:
     """The input's rows and columns, whatever they are named, without documents of which at least one word in twenty is hit.
 
-    With several blocks of the benchmark only the numbers of rows to drop are joined to the copy of the documents.
+    With several blocks of the benchmark the numbers of rows to drop are joined to the copy of the documents, whose texts are
+    shuffled only where those numbers exceed Spark's bound for broadcasts.
     """
     ship(docs.sparkSession)
     (hits,) = unused(docs.columns, "__hits")
