@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from recordmill.functions.labels import clean_number
 from recordmill.operators.features import columns_by_suffix
-from recordmill.operators.shared import quantiles, stash
+from recordmill.operators.shared import stash, wide_quantiles
 
 # Positions of the 19 sites of the 10-20 layout on the unit disc.
 POSITIONS = {
@@ -31,7 +31,7 @@ def electrodes(spark) -> DataFrame:
 def class_medians(df: DataFrame, features: list[str], target: str = "macro_class", classes: tuple[str, ...] = CLASSES) -> DataFrame:
     """(feature, class, median) with exact medians."""
     rows = df.select(F.lower(F.col(target)).alias("class"), *[clean_number(F.col(f).cast("double")).alias(f) for f in features]).where(F.col("class").isin(*classes))
-    found = quantiles(rows.unpivot(["class"], features, "feature", "value"), ["feature", "class"], [0.5])
+    found = wide_quantiles(rows, ["class"], features, [0.5])
     frame = rows.sparkSession.createDataFrame([(f, c) for f in features for c in classes], "feature string, class string")
     present = rows.select("class").distinct()  # a class without a value of a feature has a null median
     return frame.join(F.broadcast(present), "class", "left_semi").join(found, ["feature", "class"], "left").select("feature", "class", F.col("q")[0].alias("median"))

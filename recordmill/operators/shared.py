@@ -7,7 +7,7 @@ import uuid
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from recordmill.operators.selection import selected
@@ -118,8 +118,12 @@ def quantiles(long: DataFrame, keys: list[str], probabilities: list[float], valu
     is larger than any number.
     """
     v = long.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__v"))
-    most = v.groupBy(*keys).count().agg(F.max("count")).first()[0]
-    if (most or 0) <= small:
+    return _quantiles(v, keys, probabilities, v.groupBy(*keys).agg(F.count("__v")).collect(), small)
+
+
+def _quantiles(v: DataFrame, keys: list[str], probabilities: list[float], counted: list[Row], small: int) -> DataFrame:
+    """quantiles of ``v`` (keys, __v), whose few groups' keys and sizes are ``counted``."""
+    if max((r[-1] for r in counted), default=0) <= small:
         group = Window.partitionBy(*keys)
         held = v.groupBy(*keys, "__v").agg(F.count(F.lit(1)).alias("__m"))
         held = held.withColumn("__upto", F.sum("__m").over(group.orderBy("__v").rowsBetween(Window.unboundedPreceding, 0))).withColumn("n", F.sum("__m").over(group))
@@ -127,13 +131,25 @@ def quantiles(long: DataFrame, keys: list[str], probabilities: list[float], valu
         value = lambda place: F.min(F.when(F.col("__upto") > place, F.col("__v")))
         found = held.groupBy(*keys, "n").agg(*[x for i, a in enumerate(at) for x in (value(F.floor(a)).alias(f"__a{i}"), value(F.ceil(a)).alias(f"__b{i}"))])
         return found.select(*keys, "n", F.array(*[mixed(F.col(f"__a{i}"), F.col(f"__b{i}"), a - F.floor(a)) for i, a in enumerate(at)]).alias("q"))
-    return selected(v, keys, probabilities)
+    return selected(v, keys, ["__v"], counted, probabilities).drop("__j")
+
+
+def wide_quantiles(df: DataFrame, keys: list[str], features: list[str], probabilities: list[float], small: int = SMALL) -> DataFrame:
+    """(keys, feature, n, q): quantiles of each column within keys, as from the long form; large groups are read as they stand, all columns in a pass."""
+    names = [f"__v{i}" for i in range(len(features))]
+    wide = df.select(*keys, *[F.col(f).cast("double").alias(n) for f, n in zip(features, names)])
+    counted = wide.groupBy(*keys).agg(*[F.count(n) for n in names]).collect() if features else []
+    if max((x for r in counted for x in r[len(keys) :]), default=0) <= small:
+        long = df.select(*keys, *[F.col(f).cast("double").alias(f) for f in features]).unpivot(keys, features, "feature", "value")
+        return quantiles(long, [*keys, "feature"], probabilities, small=small)
+    found = selected(wide, keys, names, counted, probabilities)
+    return found.select(*keys, F.element_at(F.lit(features), F.col("__j") + 1).alias("feature"), "n", "q")
 
 
 def column_quantiles(df: DataFrame, columns: dict[str, Column], probabilities: list[float], small: int = SMALL) -> DataFrame:
     """One row with an array column for each named expression: its exact quantiles, null where it has no value."""
     wide = df.select(*[c.cast("double").alias(n) for n, c in columns.items()])
-    found = quantiles(wide.unpivot([], list(columns), "feature", "value"), ["feature"], probabilities, small=small)
+    found = wide_quantiles(wide, [], list(columns), probabilities, small)
     return found.agg(*[F.max(F.when(F.col("feature") == n, F.col("q"))).alias(n) for n in columns])
 
 

@@ -57,3 +57,20 @@ def test_channels_of_a_recording_move_as_one_interval(spark, parts):
     assert {r["file"]: r["seconds"] for r in intervals.interval_union_duration(df, ["file", "label"], "a", "b").collect()} == {"f0": 29.5, "f1": 30.0, "f2": 30.0, "f3": 30.0}
     merged = df.select("file", "label", "a", "b").mapInArrow(intervals._coalesced, df.schema)
     assert merged.count() <= 25 * parts
+
+
+def test_columns_are_selected_side_by_side(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    g, x = rng.integers(0, 3, 2000), rng.normal(size=(2000, 3))
+    rows = [(f"k{a}" if a else None, float(v[0]), None if v[1] > 1 else float(v[1]), None if a == 2 else float(v[2])) for a, v in zip(g, x)]
+    df = spark.createDataFrame(rows, "g string, a double, b double, c double").repartition(3)
+    read = []
+    monkeypatch.setattr(shared, "selected", lambda v, *a: read.append(v.count()) or selection.selected(v, *a))
+    for small in (0, shared.SMALL):
+        got = {(r["g"], r["feature"]): (r["n"], r["q"]) for r in shared.wide_quantiles(df, ["g"], ["a", "b", "c"], [0.1, 0.5], small).collect()}
+        assert len(got) == 8 and ("k2", "c") not in got
+        for (k, f), (n, q) in got.items():
+            own = x[g == (int(k[1]) if k else 0), "abc".index(f)]
+            own = own[own <= 1] if f == "b" else own
+            assert n == len(own) and np.allclose(q, np.quantile(own, [0.1, 0.5]), rtol=1e-12, atol=0)
+    assert read == [2000]  # a row a window, not one for each of its columns
