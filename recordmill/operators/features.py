@@ -3,16 +3,15 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from recordmill.functions.labels import clean_number, sanitised
 from recordmill.operators.gram import class_moments, correlations
-from recordmill.operators.ranks import long_form
-from recordmill.operators.shared import quantiles, running_sum, stash
+from recordmill.operators.mutual import EULER, digamma, estimates  # noqa: F401  both names are also this module's
+from recordmill.operators.shared import wide_quantiles
 
-EULER = 0.5772156649015329  # fixed value
 REDUNDANCY_FLOOR = 0.001  # fixed value
 
 
@@ -68,63 +67,21 @@ def mutual_info(df: DataFrame, features: list[str], ids: list[str], target: str
     ties; without noise they stay as they are, as the estimate does not depend on the scale. Classes with one member are
     passed over, and k is at most a class's size less one. The ids are not read without noise.
     """
-    long = long_form(df.where(F.col(target).isNotNull()), features, [*ids, target]).where("value is not null")
-    stats = long.groupBy("feature").agg(F.stddev_pop("value").alias("sd"), F.avg(F.abs("value")).alias("size"))
-    seeded = (F.pmod(F.xxhash64("feature", *ids), F.lit(1 << 30)) / float(1 << 30) - 0.5) * noise
-    scaled = F.col("value") / F.when(F.col("sd") > 0, F.col("sd")).otherwise(1.0) + seeded * F.greatest(F.lit(1.0), F.col("size"))
-    x = long.join(F.broadcast(stats), "feature").withColumn("value", scaled) if noise else long  # a row a feature
-    # Equal values count as one row of their weight, so that a value that many rows share is no group of its own.
-    x = stash(x.groupBy("feature", F.col(target).alias("c"), F.col("value").alias("x")).agg(F.count(F.lit(1)).alias("weight")), "values")
-    sizes = x.groupBy("feature", "c").agg(F.sum("weight").alias("n_c")).where("n_c > 1").withColumn("k", F.least(F.lit(k), F.col("n_c") - 1).cast("int"))
-    near = _radius(x, k).join(F.broadcast(sizes), ["feature", "c"])  # a row a feature and class
-    near = near.withColumn("radius", F.element_at("gaps", F.col("k"))).withColumn("row", F.monotonically_increasing_id())
-    near = stash(near.select("row", "feature", "x", "weight", "radius", "k", "n_c"), "radius")
-    # Points strictly within the radius: those below its upper end less those up to its lower end, by running counts.
-    end = lambda at, side, sign: F.struct(at.alias("at"), F.lit(side).alias("side"), F.lit(sign).alias("sign"), (F.col("weight") if not sign else F.lit(0)).alias("points"))
-    places = F.array(end(F.col("x"), 1, 0), end(F.col("x") - F.col("radius"), 2, -1), end(F.col("x") + F.col("radius"), 0, 1))
-    told = near.select("row", "feature", "weight", "k", "n_c", F.explode(places).alias("e")).select("row", "feature", "weight", "k", "n_c", "e.*")
-    counts = running_sum(told, ["feature"], ["at", "side"], "points", "upto").where("sign != 0")
-    m = counts.groupBy("row", "feature", "weight", "k", "n_c").agg(F.greatest(F.sum(F.col("upto") * F.col("sign")), F.lit(1)).alias("m"))
-    psi = lambda c: digamma(F.col(c))
-    mean = lambda c: F.sum(psi(c) * F.col("weight")) / F.sum("weight")
-    out = m.groupBy("feature").agg(F.sum("weight").alias("n"), mean("k").alias("a"), mean("n_c").alias("b"), mean("m").alias("d"))
-    return out.select("feature", F.greatest(F.lit(0.0), psi("n") + F.col("a") - F.col("b") - F.col("d")).alias("mutual_info"))
-
-
-def _radius(x: DataFrame, k: int) -> DataFrame:
-    """(feature, c, x, weight, gaps): the distances to the k nearest others on either side within (feature, c), ascending.
-
-    ``x`` has a row for each distinct value with its weight, of which k + 1 copies at most can be among anyone's nearest.
-    They are range-partitioned by (feature, c, x). Neighbours come from windows within a part; a part lends its first and
-    last k rows of a group to the parts beside it, so that no group is one task.
-    """
-    cols = ["feature", "c", "x"]
-    copies = x.withColumn("copy", F.explode(F.sequence(F.lit(1), F.least(F.col("weight"), F.lit(k + 1)).cast("int"))))
-    copies = copies.select(*cols, "weight", (F.col("copy") == 1).alias("own"))
-    dealt = stash(copies.repartitionByRange(*cols).sortWithinPartitions(*cols).withColumn("part", F.spark_partition_id()), "ranged")
-    group = Window.partitionBy("feature", "c", "part")
-    ends = dealt.withColumn("up", F.row_number().over(group.orderBy("x"))).withColumn("down", F.row_number().over(group.orderBy(F.desc("x")))).where((F.col("up") <= k) | (F.col("down") <= k))
-    # Only up to 2k rows of a part and group: the last k rows before it and the first k after it, wherever they lie.
-    by = Window.partitionBy("feature", "c").orderBy("part", "x")
-    ends = ends.withColumn("before", F.collect_list("x").over(by.rowsBetween(-k, -1))).withColumn("after", F.collect_list("x").over(by.rowsBetween(1, k)))
-    edge = ends.groupBy("feature", "c", "part").agg(F.min_by("before", "up").alias("before"), F.min_by("after", "down").alias("after"))
-    lent = dealt.select(*cols, "weight", "part", "own")
-    for side in ("before", "after"):
-        lent = lent.unionByName(edge.select("feature", "c", "part", F.explode(side).alias("x"), F.lit(0).cast("long").alias("weight"), F.lit(False).alias("own")))
-    order = group.orderBy("x")
-    gaps = F.array(*[F.abs(F.col("x") - step("x", i).over(order)) for i in range(1, k + 1) for step in (F.lag, F.lead)])
-    return lent.withColumn("gaps", F.array_sort(F.filter(gaps, lambda g: g.isNotNull()))).where("own").select(*cols, "weight", "gaps")
-
-
-def digamma(n: Column) -> Column:
-    """psi of a positive integer: exact sums of reciprocals to 8, beyond that the asymptotic series, exact to a double."""
-    small = F.lit(-EULER)
-    for i in range(1, 8):
-        small = small + F.when(n > i, 1.0 / i).otherwise(0.0)
-    x = n.cast("double")
-    y = 1 / (x * x)
-    large = F.log(x) - 0.5 / x - y * (1 / 12 - y * (1 / 120 - y * (1 / 252 - y * (1 / 240 - y / 132))))
-    return F.when(n <= 8, small).otherwise(large)
+    values = [f"__v{i}" for i in range(len(features))]
+    rows = df.where(F.col(target).isNotNull()).select(*[F.col(c).alias(f"__i{i}") for i, c in enumerate(ids)], F.col(target).alias("__t"), *[clean_number(F.col(f).cast("double")).alias(v) for f, v in zip(features, values)])
+    if not features:
+        return df.sparkSession.createDataFrame([], "feature string, mutual_info double")
+    sizes = rows.groupBy("__t").agg(*[F.count(v) for v in values]).collect()  # a row a class
+    if noise:
+        stats = rows.agg(*[x for i, v in enumerate(values) for x in (F.stddev_pop(v).alias(f"sd{i}"), F.avg(F.abs(v)).alias(f"size{i}"))]).first()
+        scaled = {}
+        for i, (f, v) in enumerate(zip(features, values)):
+            sd, size = stats[f"sd{i}"], F.lit(stats[f"size{i}"])
+            seeded = (F.pmod(F.xxhash64(F.lit(f), *[f"__i{j}" for j in range(len(ids))]), F.lit(1 << 30)) / float(1 << 30) - 0.5) * noise
+            scaled[v] = F.col(v) / F.lit(1.0 if sd is None or sd == 0 else sd) + seeded * F.greatest(F.lit(1.0), size)
+        rows = rows.withColumns(scaled)
+    found = estimates(rows.select("__t", *values), "__t", values, k, sizes)
+    return found.select(F.element_at(F.lit(features), F.col("f") + 1).alias("feature"), "mutual_info")
 
 
 def rank_features(df: DataFrame, ids: list[str], target: str = "macro_class", top_k: int = 10, noise: float = 1e-10) -> DataFrame:
@@ -133,6 +90,6 @@ def rank_features(df: DataFrame, ids: list[str], target: str = "macro_class", to
     features = [c for c in clean.columns if c not in (target, *ids)]
     chosen = mrmr_select(clean, features, target, top_k)
     names = df.sparkSession.createDataFrame([(i + 1, c) for i, c in enumerate(chosen)], "mrmr_rank int, feature string")
-    q = quantiles(long_form(clean, chosen, []), ["feature"], [0.25, 0.75])
+    q = wide_quantiles(clean, [], chosen, [0.25, 0.75])
     spread = q.select("feature", (F.col("q")[1] - F.col("q")[0]).alias("iqr"))
     return names.join(mutual_info(clean, chosen, ids, target, noise=noise), "feature", "left").join(spread, "feature", "left").select("mrmr_rank", "feature", "mutual_info", "iqr").orderBy("mrmr_rank")

@@ -84,3 +84,30 @@ def test_neighbour_descent_of_few_rows(spark):
     want = {(r["id"], r["rank"], r["neighbour"]) for r in neighbours.knn_graph(df, "id", "v", 2).collect()}
     assert {(r["id"], r["rank"], r["neighbour"]) for r in graph.collect()} == want
     assert neighbours.neighbour_descent(df.limit(0), "id", "v", 2)[0].count() == 0
+
+
+@pytest.mark.parametrize("noise", [0.0, 1e-10])
+def test_mutual_information_over_many_ranges(spark, monkeypatch, noise):
+    from recordmill.operators import features, mutual
+
+    rng = np.random.default_rng(6)
+    n = 1500
+    c = np.where(rng.random(n) < 0.01, 3, rng.integers(0, 3, n))  # class 3 is sparse, so its intervals reach over ranges
+    x = np.column_stack([rng.normal(size=n) + c, rng.integers(0, 9, n), rng.normal(size=n)])
+    x[rng.random(n) < 0.1, 2] = np.nan
+    rows = [(i, f"k{c[i]}", *map(float, x[i])) for i in range(n)] + [(n, "one", 0.5, 0.5, 0.5), (n + 1, None, 0.1, 0.1, 0.1)]
+    df = spark.createDataFrame(rows, "id long, macro_class string, a double, b double, d double").repartition(3)
+    whole = {r["feature"]: r["mutual_info"] for r in features.mutual_info(df, ["a", "b", "d"], ["id"], noise=noise).collect()}
+    monkeypatch.setattr(mutual, "RANGE_POINTS", 40)
+    cut = {r["feature"]: r["mutual_info"] for r in features.mutual_info(df, ["a", "b", "d"], ["id"], noise=noise).collect()}
+    psi = np.concatenate(([0], -features.EULER + np.concatenate(([0], np.cumsum(1 / np.arange(1, n + 1))))))
+    for j, f in enumerate("abd"):
+        assert abs(whole[f] - cut[f]) < 1e-12
+        if f == "b" and noise:
+            continue
+        own = ~np.isnan(x[:, j])
+        v, g = x[own, j], c[own]
+        far = [np.sort(np.abs(v[g == g[i]] - v[i]))[3] for i in range(len(v))]
+        m = [max(1, (np.abs(v - v[i]) < far[i]).sum()) for i in range(len(v))]
+        want = np.mean([psi[len(v)] + psi[3] - psi[(g == g[i]).sum()] - psi[m[i]] for i in range(len(v))])
+        assert abs(cut[f] - max(0, want)) < (1e-3 if noise else 5e-3)
