@@ -16,11 +16,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from recordmill.operators.selection import numbered
-from recordmill.operators.shared import stash
+from recordmill.operators.shared import range_bounds, stash
 
 EULER = 0.5772156649015329  # fixed value
-#: Points of a range, values that a task sorts at a time, sampled values a range.
-RANGE_POINTS, HELD_VALUES, SAMPLED = 500_000, 4_000_000, 200
+#: Points of a range, and values that a task sorts at a time.
+RANGE_POINTS, HELD_VALUES = 500_000, 4_000_000
 
 
 def digamma(n: Column) -> Column:
@@ -249,13 +249,7 @@ def estimates(df: DataFrame, target: str, columns: list[str], k: int, sizes: lis
     spark, p = df.sparkSession, len(columns)
     codes = spark.createDataFrame([(r[0], i) for i, r in enumerate(sizes)], T.StructType([T.StructField("__k0", df.schema[target].dataType), T.StructField("__c", T.IntegerType())]))
     count = np.array([[x or 0 for x in r[1:]] for r in sizes], np.int64).reshape(-1, p)
-    ranges = [-(-int(n) // RANGE_POINTS) for n in np.where(count > 1, count, 0).sum(axis=0)]
-    bounds = [np.zeros(0)] * p
-    if max(ranges, default=0) > 1:
-        share = min(1.0, SAMPLED * max(ranges) / int(count.sum(axis=0).max()))
-        asked = {i: F.percentile_approx(c, [j / n for j in range(1, n)], 10_000).alias(c) for i, (c, n) in enumerate(zip(columns, ranges)) if n > 1}
-        cuts = df.sample(share, seed=7).agg(*asked.values()).first()
-        bounds = [np.unique(np.array(cuts[columns[i]] or [], float)) if i in asked else b for i, b in enumerate(bounds)]
+    bounds = range_bounds(df, columns, np.where(count > 1, count, 0).sum(axis=0).tolist(), RANGE_POINTS)
     feature = [f for f, b in enumerate(bounds) for _ in range(len(b) + 1)]
     rows = numbered(df, codes, [target], "__c").select("__c", *columns)
     pieces = rows.mapInArrow(_packed(count, bounds), "part int, x binary, c binary, w binary")

@@ -18,6 +18,10 @@ from recordmill.operators.ranktiles import rank_columns
 from recordmill.operators.shared import column_quantiles, hot_keys, join_salted, mixed, running_sums, stash
 
 
+#: Pairs with missing values that are ranked at a time.
+PAIRS = 16
+
+
 def long_form(df: DataFrame, features: list[str], ids: list[str]) -> DataFrame:
     """(ids, feature, value) with NaN as null."""
     return df.select(*ids, *[clean_number(F.col(f).cast("double")).alias(f) for f in features]).unpivot(ids, features, "feature", "value")
@@ -61,10 +65,10 @@ def pearson_matrix(df: DataFrame, features: list[str]) -> DataFrame:
 def spearman_matrix(df: DataFrame, features: list[str]) -> DataFrame:
     """(f1, f2, rho) for each pair once, each ranked over the rows where both have values; repeated rows count as often as they stand.
 
-    Features without a missing value are ranked once for all their pairs. Pairs with a missing value anywhere are ranked
-    together in one job, as keys of their own.
+    Features without a missing value are ranked once for all their pairs. Pairs with a missing value anywhere are ranked as
+    columns of their own, ``PAIRS`` of them at a time; a pair without common rows has a null rho.
     """
-    rows = _numbered(df, features)
+    spark, rows = df.sparkSession, _numbered(df, features)
     if len(features) < 2:
         return _pairs(rows, features, "rho")
     missing = rows.agg(*[F.count_if(F.col(f).isNull()).alias(f"m{i}") for i, f in enumerate(features)]).first()
@@ -73,13 +77,14 @@ def spearman_matrix(df: DataFrame, features: list[str]) -> DataFrame:
     others = [(a, b) for a, b in combinations(features, 2) if a not in whole or b not in whole]
     if not others:
         return out
-    told = F.array(*[F.struct(F.lit(a).alias("f1"), F.lit(b).alias("f2"), F.col(a).alias("x"), F.col(b).alias("y")) for a, b in others])
-    long = rows.select("__row", F.explode(told).alias("p")).select("__row", "p.*").where("x is not null and y is not null")
-    sides = long.select("__row", "f1", "f2", F.explode(F.array(F.struct(F.lit("x").alias("side"), F.col("x").alias("value")), F.struct(F.lit("y").alias("side"), F.col("y").alias("value")))).alias("s")).select("__row", "f1", "f2", "s.*")
-    ranked = average_rank(sides, ["f1", "f2", "side"], salt=["__row"])
-    both = ranked.groupBy("__row", "f1", "f2").pivot("side", ["x", "y"]).agg(F.first("average_rank"))
-    rho = F.try_divide(F.covar_samp("x", "y"), F.stddev_samp("x") * F.stddev_samp("y"))
-    return out.unionByName(both.groupBy("f1", "f2").agg(rho.alias("rho")))
+    for i in range(0, len(others), PAIRS):
+        some = others[i : i + PAIRS]
+        sides = {f"{side}{j}": F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), F.col(c)) for j, (a, b) in enumerate(some) for side, c in (("x", a), ("y", b))}
+        named = spark.createDataFrame([(f"x{j}", f"y{j}", a, b) for j, (a, b) in enumerate(some)], "f1 string, f2 string, a string, b string")
+        found = _pairs(rank_columns(rows.select("__row", *[c.alias(n) for n, c in sides.items()]), list(sides)), list(sides), "rho")
+        held = found.join(F.broadcast(named), ["f1", "f2"]).select(F.col("a").alias("f1"), F.col("b").alias("f2"), "rho")  # a row a pair
+        out = out.unionByName(held)
+    return out
 
 
 def rank_pca(df: DataFrame, features: list[str], ids: list[str]) -> tuple[DataFrame, DataFrame]:

@@ -1,7 +1,8 @@
 """Average ranks of many columns, row by row, without joining ranks back to rows.
 
-Columns of few distinct values take their ranks from a dictionary of checked size that goes to every task. The values of the
-others are sorted once by range, get their rank there, and come back as tiles of rows.
+Columns of few distinct values take their ranks from a dictionary of checked size that goes to every task. For the others a
+piece of rows sends its distinct values with their counts to ranges, packed, and gets their ranks back in the same order.
+A value that many rows share is one entry of a piece, so that none is bound to one task.
 """
 
 from __future__ import annotations
@@ -13,11 +14,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recordmill.operators.gram import matrix
-from recordmill.operators.shared import stash
+from recordmill.operators.shared import range_bounds, stash
 
-#: Distinct values of a column, and of all columns, that a dictionary holds; the power of two of a tile's rows.
-FEW, ENTRIES, TILE_BITS = 65_536, 2_000_000, 13
+#: Distinct values of a column, and of all columns, that a dictionary holds; the power of two of a piece's rows, at most; rows of a range.
+FEW, ENTRIES, TILE_BITS, RANGE_ROWS = 65_536, 2_000_000, 18, 1_000_000
+#: Rows that are tallied, or given out, at a time.
+HELD_ROWS, OUT_ROWS = 65_536, 16_384
 
 
 def _summed(values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -45,14 +47,26 @@ def _tallied(tallies: dict[int, _Tally]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, names=["f", "values", "counts"])
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        held.append(b)
+        if sum(x.num_rows for x in held) >= rows:
+            yield pa.Table.from_batches(held)
+            held = []
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def _tally(few: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, _Tally] = {}
-        for b in batches:
+        for b in _gathered(batches, HELD_ROWS):
             for f, c in enumerate(b.columns):
                 own = held.setdefault(f, _Tally(few))
                 if own.values is not None:
-                    own.add(*np.unique(c.to_numpy(zero_copy_only=False), return_counts=True))
+                    v = c.to_numpy()
+                    own.add(*np.unique(v[~np.isnan(v)] + 0.0, return_counts=True))
         if held:
             yield _tallied(held)
 
@@ -96,143 +110,161 @@ def dictionaries(rows: DataFrame, features: list[str], few: int = FEW, entries:
     return out
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(part, f, v, row) sorted by (f, v) to (part, f, v, row, lo, n): rows of the part's feature before the value's, and with it. Only a run of equal values is held."""
-    held, f_now, before, part = None, None, 0, 0
-
-    def told(f: np.ndarray, v: np.ndarray, row: np.ndarray) -> pa.RecordBatch:
-        nonlocal f_now, before
-        start = np.flatnonzero(np.concatenate(([True], (f[1:] != f[:-1]) | (v[1:] != v[:-1]))))
-        size = np.diff(np.append(start, len(f)))
-        of = f[start]
-        first = np.concatenate(([of[0] != f_now], of[1:] != of[:-1]))
-        lo = np.cumsum(size) - size
-        base = np.maximum.accumulate(np.where(first, np.arange(len(of)), 0))
-        shift = np.where((base == 0) & ~first[0], -before, lo[base])
-        lo = lo - shift
-        f_now, before = of[-1], int(lo[-1] + size[-1])
-        columns = [np.full(len(f), part, np.int32), f, v, row, np.repeat(lo, size), np.repeat(size, size)]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["part", "f", "v", "row", "lo", "n"])
+def _looked_up(known: dict[int, tuple[np.ndarray, np.ndarray]]):
+    """A batch (row, the features of ``known`` in order) to (row, their ranks)."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ranks = [np.append(r, np.nan)[np.searchsorted(v, c.to_numpy(zero_copy_only=False))] for c, (v, r) in zip(b.columns[1:], known.values())]
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(r, from_pandas=True) for r in ranks]], names=["__row", *[f"r{f}" for f in known]])
+
+    return run
+
+
+def _pieces(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """(the first row's number, columns) of consecutive rows whose numbers share all but the last ``bits``."""
+    held: list[list[np.ndarray]] = []
     for b in batches:
         if not b.num_rows:
             continue
-        part, own = b.column(0)[0].as_py(), [c.to_numpy(zero_copy_only=False) for c in b.columns[1:]]
-        own = own if held is None else [np.concatenate(x) for x in zip(held, own)]
-        cut = int(np.flatnonzero(np.concatenate(([True], (own[0][1:] != own[0][:-1]) | (own[1][1:] != own[1][:-1]))))[-1])
-        if cut:
-            yield told(*[c[:cut] for c in own])
-        held = [c[cut:] for c in own]
-    if held is not None:
-        yield told(*held)
-
-
-def _ends(summary: list) -> list[tuple]:
-    """(part, f, offset, v0, rank0, v1, rank1): where a part's rows of a feature begin, and the ranks of its first and last value, which may go on in other parts."""
-    out, f, offset, runs = [], None, 0, []
-
-    def close() -> None:
-        at = 0
-        while at < len(runs):
-            end = at
-            while end < len(runs) and runs[end][0] == runs[at][0]:
-                end += 1
-            rank = runs[at][1] + (sum(n for _, _, n, _, _ in runs[at:end]) + 1) / 2
-            for _, _, _, row, place in runs[at:end]:
-                for p in place:
-                    row[p] = rank
-            at = end
-        runs.clear()
-
-    for s in summary:
-        if s["f"] != f:
-            close()
-            f, offset = s["f"], 0
-        row = [s["part"], f, offset, s["v0"], None, s["v1"], None]
-        if s["v0"] == s["v1"]:
-            runs.append((s["v0"], offset, s["n0"], row, (4, 6)))
-        else:
-            runs += [(s["v0"], offset, s["n0"], row, (4,)), (s["v1"], offset + s["n"] - s["n1"], s["n1"], row, (6,))]
-        offset += s["n"]
-        out.append(row)
-    close()
-    return [tuple(r) for r in out]
-
-
-def _looked_up(known: dict[int, tuple[np.ndarray, np.ndarray]], packed: bool):
-    """A batch (row, the features of ``known`` in order) to (row, their ranks); packed, a row's ranks are one binary value, which travels more lightly than a list."""
+        columns = [c.to_numpy(zero_copy_only=False) for c in b.columns]
+        tile = columns[0] >> bits
+        cuts = [0, *(np.flatnonzero(tile[1:] != tile[:-1]) + 1).tolist(), b.num_rows]
+        for s, e in zip(cuts, cuts[1:]):
+            if held and held[0][0][0] >> bits != tile[s]:
+                yield int(held[0][0][0]), [np.concatenate(c) for c in zip(*held)]
+                held = []
+            held.append([c[s:e] for c in columns])
+    if held:
+        yield int(held[0][0][0]), [np.concatenate(c) for c in zip(*held)]
+
+
+def _distinct(v: np.ndarray) -> np.ndarray:
+    return np.unique(v[~np.isnan(v)] + 0.0)
+
+
+def _sent(bounds: list[np.ndarray], bits: int):
+    """(row, columns) to (part, piece, v, n): a piece's distinct values that lie in a range, ascending, and how often each occurs."""
+    first = np.cumsum([0, *[len(b) + 1 for b in bounds]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ranks = [r[np.searchsorted(v, c.to_numpy(zero_copy_only=False))] for c, (v, r) in zip(b.columns[1:], known.values())]
-            if packed:
-                ends = np.arange(b.num_rows + 1, dtype=np.int32) * (8 * len(known))
-                column = pa.Array.from_buffers(pa.binary(), b.num_rows, [None, pa.py_buffer(ends), pa.py_buffer(np.column_stack(ranks).tobytes())])
-                yield pa.RecordBatch.from_arrays([b.column(0), column], names=["__row", "ranks"])
-            else:
-                yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, ranks)], names=["__row", *[f"r{f}" for f in known]])
+        for piece, columns in _pieces(batches, bits):
+            for j, (cuts, c) in enumerate(zip(bounds, columns[1:])):
+                v, n = np.unique(c[~np.isnan(c)] + 0.0, return_counts=True)
+                ends = [0, *np.searchsorted(v, cuts, "left").tolist(), len(v)]
+                spans = [(i, s, e) for i, (s, e) in enumerate(zip(ends, ends[1:])) if e > s]
+                if spans:
+                    told = [pa.array([first[j] + i for i, _, _ in spans], pa.int32()), pa.array([piece] * len(spans), pa.int64())]
+                    told += [pa.array([a[s:e].tobytes() for _, s, e in spans], pa.binary()) for a in (v, n.astype(np.int32))]
+                    yield pa.RecordBatch.from_arrays(told, names=["part", "piece", "v", "n"])
 
     return run
 
 
-def _tiles(known: list[int], sorted_ones: list[int]):
-    """Records of a tile (tile, row, f, rank, ranks), sorted by tile, to its rows (row, all features' ranks in order)."""
-    order = {f: i for i, f in enumerate(sorted([*known, *sorted_ones]))}
+def _ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A range's values, sorted by part, to (part, piece, n, ranks): average ranks within the range, piece by piece in the order that it sent; n is the range's rows."""
 
-    def told(held: list[tuple]) -> pa.RecordBatch:
-        row, f, rank = (np.concatenate([h[i] for h in held]) for i in range(3))
-        rows, at = np.unique(row, return_inverse=True)
-        out = np.full((len(rows), len(order)), np.nan)
-        one = f >= 0
-        out[at[one], np.array([order.get(x, 0) for x in range(max(order) + 1)])[f[one]]] = rank[one]
-        if known:
-            out[np.ix_(at[~one], [order[x] for x in known])] = np.frombuffer(b"".join(x for h in held for x in h[3])).reshape(-1, len(known))
-        return pa.RecordBatch.from_arrays([pa.array(rows), *[pa.array(c) for c in out.T]], names=["__row", *[f"r{x}" for x in order]])
+    def told(part: int, held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        v, at = np.unique(np.concatenate([h[1] for h in held]), return_inverse=True)
+        n = np.bincount(at, np.concatenate([h[2] for h in held]), len(v)).astype(np.int64)
+        rank = (np.cumsum(n) - (n - 1) / 2)[at]
+        ends, total = np.cumsum([0, *[len(h[1]) for h in held]]), int(n.sum())
+        for i in range(0, len(held), 64):
+            some = range(i, min(i + 64, len(held)))
+            columns = [pa.array([part] * len(some), pa.int32()), pa.array([held[x][0] for x in some], pa.int64()), pa.array([total] * len(some)), pa.array([rank[ends[x] : ends[x + 1]].tobytes() for x in some], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["part", "piece", "n", "ranks"])
+
+    at, held = None, []
+    for b in batches:
+        for i in range(b.num_rows):
+            if (part := b.column(0)[i].as_py()) != at:
+                if held:
+                    yield from told(at, held)
+                at, held = part, []
+            held.append((b.column(1)[i].as_py(), np.frombuffer(b.column(2)[i].as_buffer(), np.float64), np.frombuffer(b.column(3)[i].as_buffer(), np.int32)))
+    if held:
+        yield from told(at, held)
+
+
+def _coded(known: list[np.ndarray], bits: int):
+    """(row, columns of dictionaries, the others) to (piece, rows, codes): each column's places among the values, four bytes each; a missing value's is the one beyond."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tile, held = None, []
-        for whole in batches:
-            if not whole.num_rows:
-                continue
-            code = whole.column(0).to_numpy(zero_copy_only=False)
-            cuts = [0, *(np.flatnonzero(code[1:] != code[:-1]) + 1).tolist(), whole.num_rows]
-            for s, e in zip(cuts, cuts[1:]):
-                if held and code[s] != tile:
-                    yield told(held)
-                    held = []
-                tile, b = code[s], whole.slice(s, e - s)
-                row, f, rank = (b.column(i).to_numpy(zero_copy_only=False) for i in (1, 2, 3))
-                held.append((row, f, rank, b.column(4).drop_null().to_pylist()))
-        if held:
-            yield told(held)
+        for piece, columns in _pieces(batches, bits):
+            codes = [np.searchsorted(v, c) for v, c in zip(known, columns[1:])]
+            for c in columns[1 + len(known) :]:
+                v = _distinct(c)
+                codes.append(np.searchsorted(v, c))
+            column = pa.array([np.array(codes, np.int32).tobytes()], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([piece]), pa.array([columns[0].tobytes()], pa.binary()), column], names=["piece", "rows", "codes"])
+
+    return run
+
+
+def _given(known: dict[int, np.ndarray], rest: list[int], feature: list[int], offsets: dict[int, int]):
+    """(piece, part, rows, codes, ranks), sorted by piece and part, a piece's rows before its ranks, to (row, all features' ranks in order)."""
+    order = [*known, *rest]
+
+    def told(row: np.ndarray, codes: np.ndarray, parts: list[tuple]) -> Iterator[pa.RecordBatch]:
+        ranks = dict(known)
+        for j, f in enumerate(rest):
+            own = [r + offsets[p] for p, r in parts if feature[p] == j]
+            ranks[f] = np.concatenate([*own, [np.nan]])
+        codes = codes.reshape(len(order), -1)
+        for f, c in zip(order, codes):
+            if f in rest and c.max() > len(ranks[f]) - 1:
+                raise RuntimeError("a piece of rows was read differently the second time")
+        out = [ranks[f][codes[order.index(f)]] for f in sorted(order)]
+        for i in range(0, len(row), OUT_ROWS):
+            yield pa.RecordBatch.from_arrays([pa.array(row[i : i + OUT_ROWS]), *[pa.array(c[i : i + OUT_ROWS], from_pandas=True) for c in out]], names=["__row", *[f"r{f}" for f in sorted(order)]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, rows, parts = None, None, []
+        for b in batches:
+            for i in range(b.num_rows):
+                if (piece := b.column(0)[i].as_py()) != at:
+                    if rows:
+                        yield from told(*rows, parts)
+                    at, rows, parts = piece, None, []
+                part = b.column(1)[i].as_py()
+                if part < 0:
+                    rows = np.frombuffer(b.column(2)[i].as_buffer(), np.int64), np.frombuffer(b.column(3)[i].as_buffer(), np.int32)
+                elif rows is None:
+                    raise RuntimeError("a piece of rows was read differently the second time")
+                else:
+                    parts.append((part, np.frombuffer(b.column(4)[i].as_buffer(), np.float64)))
+        if rows:
+            yield from told(*rows, parts)
 
     return run
 
 
 def rank_columns(rows: DataFrame, features: list[str], few: int = FEW, entries: int = ENTRIES) -> DataFrame:
-    """(__row, features): each feature's average ranks. ``rows`` has the features as doubles without a missing value, and unique ``__row``.
+    """(__row, features): each feature's average ranks among its values, null where it has none. ``rows`` has the features as doubles and unique ``__row``, and is read the same each time.
 
-    A feature in a dictionary costs no shuffle. The values of any other move twice: to their range, and back to their tile
-    of rows. Rows that share a value are dealt by row too, so that none is bound to one task.
+    A feature in a dictionary costs no shuffle. Of any other a piece's distinct values move to their ranges, and their ranks
+    back to the piece.
     """
     known = dictionaries(rows, features, few, entries)
     rest = [i for i in range(len(features)) if i not in known]
     schema = lambda fs: "__row long, " + ", ".join(f"r{f} double" for f in fs)
-    looked = rows.select("__row", *[F.col(features[f]) for f in known])
     if not rest:
-        return looked.mapInArrow(_looked_up(known, False), schema(known)).select("__row", *[F.col(f"r{i}").alias(f) for i, f in enumerate(features)])
-    long = rows.select("__row", F.explode(F.array(*[F.struct(F.lit(i).alias("f"), (F.col(features[i]) + 0.0).alias("v")) for i in rest])).alias("x")).select("x.f", "x.v", F.col("__row").alias("row"))
-    dealt = long.repartitionByRange("f", "v", "row").sortWithinPartitions("f", "v").select(F.spark_partition_id().alias("part"), "f", "v", "row")
-    runs = stash(dealt.mapInArrow(_runs, "part int, f int, v double, row long, lo long, n long"), "runs")
-    summary = runs.groupBy("f", "part").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("v0"), F.min_by("n", "v").alias("n0"), F.max("v").alias("v1"), F.max_by("n", "v").alias("n1"))
-    # A row for each part, and one more for each feature.
-    ends = rows.sparkSession.createDataFrame(_ends(summary.orderBy("f", "part").collect()), "part int, f int, offset long, v0 double, rank0 double, v1 double, rank1 double")
-    rank = F.when(F.col("v") == F.col("v0"), F.col("rank0")).when(F.col("v") == F.col("v1"), F.col("rank1")).otherwise(F.col("offset") + F.col("lo") + (F.col("n") + 1) / 2)
-    tile = lambda row: F.shiftright(F.col(row), TILE_BITS).alias("tile")
-    back = runs.join(F.broadcast(ends), ["part", "f"]).select(tile("row"), "row", "f", rank.alias("rank"), F.lit(None).cast("binary").alias("ranks"))
-    if known:
-        looked = looked.mapInArrow(_looked_up(known, True), "__row long, ranks binary")
-        back = back.unionAll(looked.select(tile("__row"), "__row", F.lit(-1), F.lit(None).cast("double"), "ranks"))
-    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a given number, as little data is much work here
-    tiles = back.repartition(tasks, "tile").sortWithinPartitions("tile").mapInArrow(_tiles(list(known), rest), schema(range(len(features))))
-    return tiles.select("__row", *[F.col(f"r{i}").alias(f) for i, f in enumerate(features)])
+        looked = rows.select("__row", *[F.col(features[f]) for f in known])
+        return looked.mapInArrow(_looked_up(known), schema(known)).select("__row", *[F.col(f"r{i}").alias(f) for i, f in enumerate(features)])
+    spark = rows.sparkSession
+    others = rows.select("__row", *[F.col(features[i]).alias(f"v{i}") for i in rest])
+    bounds = range_bounds(others, [f"v{i}" for i in rest], [rows.count()] * len(rest), RANGE_ROWS)
+    feature = [j for j, b in enumerate(bounds) for _ in range(len(b) + 1)]
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))  # a given number, as little data is much work here
+    sent = others.mapInArrow(_sent(bounds, TILE_BITS), "part int, piece long, v binary, n binary")
+    ranked = stash(sent.repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(_ranked, "part int, piece long, n long, ranks binary"), "ranked")
+    offsets, before = {}, [0] * len(rest)
+    for r in ranked.groupBy("part").agg(F.max("n").alias("n")).orderBy("part").collect():  # a row a range
+        offsets[r["part"]] = before[feature[r["part"]]]
+        before[feature[r["part"]]] += r["n"]
+    coded = rows.select("__row", *[F.col(features[f]) for f in known], *[F.col(features[i]) for i in rest]).mapInArrow(_coded([v for v, _ in known.values()], TILE_BITS), "piece long, rows binary, codes binary")
+    nothing = F.lit(None).cast("binary")
+    both = coded.select("piece", F.lit(-1).alias("part"), "rows", "codes", nothing.alias("ranks")).unionAll(ranked.select("piece", "part", nothing.alias("rows"), nothing.alias("codes"), "ranks"))
+    dealt = both.repartition(tasks, "piece").sortWithinPartitions("piece", "part")
+    given = dealt.mapInArrow(_given({f: np.append(r, np.nan) for f, (_, r) in known.items()}, rest, feature, offsets), schema(range(len(features))))
+    return given.select("__row", *[F.col(f"r{i}").alias(f) for i, f in enumerate(features)])

@@ -7,6 +7,7 @@ import uuid
 from functools import reduce
 from operator import and_
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -153,6 +154,16 @@ def column_quantiles(df: DataFrame, columns: dict[str, Column], probabilities: l
     return found.agg(*[F.max(F.when(F.col("feature") == n, F.col("q"))).alias(n) for n in columns])
 
 
+def range_bounds(df: DataFrame, columns: list[str], sizes: list[int], points: int, sampled: int = 200) -> list[np.ndarray]:
+    """For each column ascending bounds that cut its ``sizes`` values into ranges of about ``points``, read off about ``sampled`` values a range. Only the cuts rest on the sample."""
+    ranges = [-(-int(n) // points) for n in sizes]
+    asked = {i: F.percentile_approx(c, [j / n for j in range(1, n)], 10_000) for i, (c, n) in enumerate(zip(columns, ranges)) if n > 1}
+    if not asked:
+        return [np.zeros(0)] * len(columns)
+    cuts = df.sample(min(1.0, sampled * max(ranges) / max(sizes)), seed=7).agg(*[a.alias(f"b{i}") for i, a in asked.items()]).first()
+    return [np.unique(np.array(cuts[f"b{i}"] or [], float)) if i in asked else np.zeros(0) for i in range(len(columns))]
+
+
 def hot_keys(counts: DataFrame, amount: str, share: int = 2000, least: int = 1000) -> DataFrame:
     """The rows of ``counts`` (one a key) whose amount is above 1/``share`` of all and above ``least``: at most ``share`` rows."""
     total = counts.agg(F.sum(amount).alias("__all"))

@@ -111,3 +111,20 @@ def test_ranks_by_row_equal_numpy(spark, monkeypatch, few, entries):
         want = average(np.array([r[name] for r in held]))
         assert [got[r["__row"]][name] for r in held] == want.tolist(), name
     assert ranktiles.rank_columns(rows.limit(0), list("ab"), few, entries).count() == 0
+
+
+def test_ranks_over_many_ranges_with_missing_values(spark, monkeypatch):
+    monkeypatch.setattr(ranktiles, "TILE_BITS", 5)
+    monkeypatch.setattr(ranktiles, "RANGE_ROWS", 60)
+    rng = np.random.default_rng(5)
+    x = np.column_stack([rng.normal(size=600), np.where(rng.random(600) < 0.5, 1.0, rng.normal(size=600)), rng.integers(0, 5, 600), rng.normal(size=600)]).astype(float)
+    x[rng.random(x.shape) < [0.2, 0.1, 0.3, 0]] = np.nan
+    from recordmill.operators.shared import stash
+
+    rows = stash(spark.createDataFrame([tuple(None if np.isnan(v) else float(v) for v in r) for r in x], "a double, b double, c double, d double").repartition(5).withColumn("__row", F.monotonically_increasing_id()), "rows")
+    for few in (20, 0):
+        got, held = {r["__row"]: r for r in ranktiles.rank_columns(rows, list("abcd"), few).collect()}, rows.collect()
+        for name in "abcd":
+            own = [r for r in held if r[name] is not None]
+            assert [got[r["__row"]][name] for r in own] == average(np.array([r[name] for r in own])).tolist(), name
+            assert all(got[r["__row"]][name] is None for r in held if r[name] is None)
