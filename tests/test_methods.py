@@ -111,3 +111,16 @@ def test_mutual_information_over_many_ranges(spark, monkeypatch, noise):
         m = [max(1, (np.abs(v - v[i]) < far[i]).sum()) for i in range(len(v))]
         want = np.mean([psi[len(v)] + psi[3] - psi[(g == g[i]).sum()] - psi[m[i]] for i in range(len(v))])
         assert abs(cut[f] - max(0, want)) < (1e-3 if noise else 5e-3)
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_neighbour_descent_from_small_blocks(spark, kind):
+    x = np.random.default_rng(10).normal(size=(1500, 16)).astype("float32")
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], f"id long, v array<{kind}>")
+    graph, report = neighbours.neighbour_descent(df, "id", "v", 20, first_rows=200)
+    want = {(r["id"], r["neighbour"]): r["distance"] for r in neighbours.knn_graph(df, "id", "v", 20, block_rows=400).collect()}
+    got = {(r["id"], r["neighbour"]): r["distance"] for r in graph.collect()}
+    assert len(want) == len(got) == 30000 and len(got.keys() & want.keys()) >= 0.9 * len(want)
+    assert all(abs(got[p] - want[p]) < 1e-12 for p in got.keys() & want.keys())
+    assert report.count() > 1
+    assert len(neighbours.neighbour_descent(df, "id", "v", 20)[0].collect()) == len(want)  # one block: as exact
