@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 
 from recordmill.operators.shared import discard, exists, fresh_path, hot_keys, join_salted, shared_dir, stash, written  # noqa: F401
 
+#: Rows of a narrow table that a join may broadcast.
+FEW_ROWS = 200_000
 #: Bytes of an Arrow batch that goes to a Python worker, unless one row is larger.
 BATCH_BYTES = 2 << 20
 ROOT = str(Path(__file__).resolve().parents[2])
@@ -71,6 +73,19 @@ def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterato
     return df.toDF(*[f"c{i}" for i in range(len(df.columns))]).mapInArrow(named, schema)
 
 
+def merging(df: DataFrame) -> DataFrame:
+    """One side of a join that is to sort and merge, however small Spark believes the tables.
+
+    For tables that grow with the input: Spark sizes them by compressed files, and leaves out the rows that an explode adds.
+    """
+    return df.hint("merge")
+
+
+def few_or_merging(df: DataFrame) -> DataFrame:
+    """A written table as one side of a join: broadcast where it was counted to have at most ``FEW_ROWS`` narrow rows, else merged."""
+    return F.broadcast(df) if df.count() <= FEW_ROWS else merging(df)
+
+
 def held_out(doc_id: str, modulus: int, remainder: int) -> Column:
     """crc32 of the id as text falls on the remainder; rows without an id are held out too, so never learned from."""
     crc = F.crc32(F.col(doc_id).cast("string").cast("binary"))

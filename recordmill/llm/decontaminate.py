@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from recordmill.llm.common import map_batches, quoted, ship, stash, table, unused, without
+from recordmill.llm.common import few_or_merging, map_batches, quoted, ship, stash, table, unused, without
 
 WINDOW = 13
 BLOCK = 3
@@ -256,7 +256,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
     """The input's rows and columns, whatever they are named, without documents of which at least one word in twenty is hit.
 
     With several blocks of the benchmark the numbers of rows to drop are joined to the copy of the documents, whose texts are
-    shuffled only where those numbers exceed Spark's bound for broadcasts.
+    shuffled only where there are more of those numbers than a join may broadcast.
     """
     ship(docs.sparkSession)
     (hits,) = unused(docs.columns, "__hits")
@@ -265,7 +265,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
         return _found(docs, blocks, text_col, docs.columns, "", window, hits).where(~contaminated(F.col(hits))).select(*quoted(docs.columns))
     copy, row = _numbered(docs, hits)
     dropped = _found(copy, blocks, text_col, [row], row, window, hits).where(contaminated(F.col(hits))).select(row)
-    return copy.join(stash(dropped, "dropped"), row, "left_anti").select(*quoted(docs.columns))
+    return copy.join(few_or_merging(stash(dropped, "dropped")), row, "left_anti").select(*quoted(docs.columns))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from recordmill.llm.common import discard, map_batches, quoted, ship, stash, table, unused, written
+from recordmill.llm.common import discard, few_or_merging, map_batches, merging, quoted, ship, stash, table, unused, written
 
 SEED = 42
 RADIUS = 4
@@ -318,7 +318,7 @@ def links(fps: DataFrame, radius: int = RADIUS, block_rows: int = 4096) -> DataF
     dealt = fps.select("fp", F.explode(keys).alias("k")).select("fp", "k.band", "k.key")
     sizes = dealt.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     blocks = F.ceil(F.col("n") / F.lit(block_rows)).cast("int")
-    placed = dealt.join(sizes, ["band", "key"]).select("fp", "band", "key", blocks.alias("blocks"), F.pmod(F.xxhash64("fp"), blocks).cast("int").alias("own"))
+    placed = dealt.join(merging(sizes), ["band", "key"]).select("fp", "band", "key", blocks.alias("blocks"), F.pmod(F.xxhash64("fp"), blocks).cast("int").alias("own"))
     # A row of block x goes to the pair of blocks (x, y) for each y: as the left side where x is the lower one.
     to = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
     rows = placed.select("fp", "band", "key", "own", F.explode(to).alias("other")).select(
@@ -347,11 +347,11 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         up, hooks = written(up, "hooks")
         for _ in range(2):
             over = up.select(F.col("node").alias("root"), F.col("root").alias("above"))
-            up, halved = written(up.join(over, "root").select("node", F.col("above").alias("root")), "hooks")
+            up, halved = written(up.join(merging(over), "root").select("node", F.col("above").alias("root")), "hooks")
             discard(spark, hooks)
             hooks = halved
         for name in ("a", "b"):
-            left = left.join(up.select(F.col("node").alias(name), F.col("root").alias(f"{name}_root")), name)
+            left = left.join(merging(up.select(F.col("node").alias(name), F.col("root").alias(f"{name}_root"))), name)
         left, edge = written(left.select(F.greatest("a_root", "b_root").alias("a"), F.least("a_root", "b_root").alias("b")).where("a <> b").distinct(), "edges")
         discard(spark, old)
         old = edge
@@ -359,7 +359,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             mapping, mapped = up, hooks
         else:
             over = up.select(F.col("node").alias("root"), F.col("root").alias("above"))
-            mapping, path = written(mapping.join(over, "root", "left").select("node", F.coalesce("above", "root").alias("root")), "roots")
+            mapping, path = written(mapping.join(merging(over), "root", "left").select("node", F.coalesce("above", "root").alias("root")), "roots")
             discard(spark, mapped, hooks)
             mapped = path
     else:
@@ -379,10 +379,10 @@ def word_links(distinct: DataFrame, prints: int, radius: int = RADIUS, block_row
     for k in range(prints):
         own = distinct.select("fp", F.conv(F.substring("fp", 16 * k + 1, 16), 16, -10).cast("long").alias("own"))
         least = stash(own.groupBy("own").agg(F.min("fp").alias("rep"), F.count(F.lit(1)).alias("n")), "reps")
-        found.append(own.join(least.where("n > 1"), "own").where("fp <> rep").select(F.col("fp").alias("a"), F.col("rep").alias("b")))
+        found.append(own.join(merging(least.where("n > 1")), "own").where("fp <> rep").select(F.col("fp").alias("a"), F.col("rep").alias("b")))
         near = links(least.select(F.col("own").alias("fp")), radius, block_rows).distinct()
         for name in ("a", "b"):
-            near = near.join(least.select(F.col("own").alias(name), F.col("rep").alias(f"{name}_rep")), name)
+            near = near.join(merging(least.select(F.col("own").alias(name), F.col("rep").alias(f"{name}_rep"))), name)
         found.append(near.select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b")))
     return reduce(DataFrame.unionAll, found)
 
@@ -393,9 +393,9 @@ def _members(docs: DataFrame, id_col: str, text_col: str, radius: int, block_row
     distinct = stash(prints.groupBy("fp").agg(F.min("id").alias("least_id")), "distinct")
     names = distinct.select("fp")
     roots = components(word_links(names, n_prints, radius, block_rows) if n_prints else links(names, radius, block_rows))
-    joined = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "least_id")
+    joined = distinct.join(merging(roots), distinct.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "least_id")
     least = joined.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    return prints, stash(joined.join(least, "root").select("fp", "root", "component_id"), "members")
+    return prints, stash(joined.join(merging(least), "root").select("fp", "root", "component_id"), "members")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, block_rows: int = 4096) -> DataFrame:
@@ -406,7 +406,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     an empty result; other columns are ignored.
     """
     prints, members = _members(docs, id_col, text_col, radius, block_rows)
-    return prints.join(members, "fp").select("id", "fp", "component_id")
+    return prints.join(merging(members), "fp").select("id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, block_rows: int = 4096, n_prints: int = 0) -> DataFrame:
@@ -419,15 +419,15 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ra
     """
     prints, members = _members(docs, id_col, text_col, radius, block_rows, n_prints)
     kept_id, n, print_col, root, component = unused(docs.columns, "__kept", "__n", "__fp", "__root", "__component")
-    ids = prints.where("id is not null").join(members, "fp").groupBy(F.col("id").alias(kept_id))
+    ids = prints.where("id is not null").join(merging(members), "fp").groupBy(F.col("id").alias(kept_id))
     ids = stash(ids.agg(F.max(F.col("id") == F.col("component_id")).alias("least"), (F.min("root") != F.max("root")).alias("spread")).where("least"), "kept")
-    named = docs.join(ids.where("not spread").select(kept_id), F.col(id_col) == F.col(kept_id), "left_semi")
+    named = docs.join(merging(ids.where("not spread").select(kept_id)), F.col(id_col) == F.col(kept_id), "left_semi")  # dealt by id, as the window below needs it
     first = Window.partitionBy(id_col).orderBy(F.xxhash64(text_col))
     named = named.withColumn(n, F.row_number().over(first)).where(F.col(n) == 1).drop(n)
-    spread = stash(ids.where("spread").select(kept_id), "spread")  # so few as a rule that Spark broadcasts them
+    spread = few_or_merging(stash(ids.where("spread").select(kept_id), "spread"))
     others = docs.join(spread, F.col(id_col) == F.col(kept_id), "left_semi").unionByName(docs.where(F.col(id_col).isNull()))
     of = members.select(F.col("fp").alias(print_col), F.col("root").alias(root), F.col("component_id").alias(component))
-    others = _with_print(others, text_col, print_col, n_prints).join(of, print_col).where(F.col(id_col).eqNullSafe(F.col(component)))
+    others = _with_print(others, text_col, print_col, n_prints).join(merging(of), print_col).where(F.col(id_col).eqNullSafe(F.col(component)))
     least = Window.partitionBy(root).orderBy(print_col)
     others = others.withColumn(n, F.row_number().over(least)).where(F.col(n) == 1).select(*quoted(docs.columns))
     return named.unionByName(others)

@@ -192,3 +192,25 @@ def test_tree_prunes_but_misses_nothing():
     for q in range(20):
         want = sorted((-float(points[q] @ points[j]), j) for j in range(3000) if j != q)[:4]
         assert [(s, i) for s, i, _ in best.rows[q]] == want
+
+
+def _hash_joined(spark, run):
+    """Nodes of joins by a broadcast hash table in all plans that ``run`` starts."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    run()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    plans = [store.planGraph(store.executionsList().apply(i).executionId()) for i in range(before, store.executionsCount())]
+    return [n for g in plans for n in (g.allNodes().apply(i).desc() for i in range(g.allNodes().size())) if n.startswith("BroadcastHashJoin")]
+
+
+def test_tables_that_grow_are_never_broadcast(spark):
+    """Spark leaves out of a table's size the rows that an explode adds, so small estimates stand for large hash tables."""
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(400)]
+    texts = [rng.choices(words, k=60) for _ in range(120)]
+    texts += [[*t[:30], "other", *t[31:]] for t in texts[:60]] + texts[:30]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert not _hash_joined(spark, lambda: simhash.near_duplicates(docs).collect())
+    met = _hash_joined(spark, lambda: simhash.keep_one(docs, n_prints=4).collect())
+    assert all("LeftSemi" in n for n in met)  # the counted ids whose rows fall in several components
